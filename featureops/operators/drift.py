@@ -83,7 +83,7 @@ def ks_by_column(
         F.sum("is_new").alias("a"), F.sum(1 - F.col("is_new")).alias("b")
     )
     whole = Window.partitionBy("col_pos")
-    upto = whole.orderBy("value")
+    upto = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     counted = per_value.select(
         "col_pos",
         F.sum("a").over(upto).alias("a_upto"),
@@ -124,6 +124,12 @@ def _counts(wide: DataFrame, n_cols: int) -> list[tuple[int, int]]:
     return [(one[2 * i], one[2 * i + 1]) for i in range(n_cols)]
 
 
+def _long(wide: DataFrame, states: Sequence[_ColumnState]) -> DataFrame:
+    """(is_new, col_pos, value)."""
+    cells = [F.struct(F.lit(s.pos).alias("col_pos"), F.col(f"c{s.pos}").alias("value")) for s in states]
+    return wide.select("is_new", F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+
+
 def _bucketed(wide: DataFrame, states: Sequence[_ColumnState]) -> DataFrame:
     """(is_new, col_pos, value, bucket); the bucket search is a binary search inside the JVM."""
     inf = float("inf")
@@ -136,7 +142,9 @@ def _bucketed(wide: DataFrame, states: Sequence[_ColumnState]) -> DataFrame:
     ).transform(wide)
     cells = [
         F.struct(
-            F.lit(s.pos).alias("col_pos"), F.col(f"c{s.pos}").alias("value"), F.col(f"b{s.pos}").cast("int").alias("bucket")
+            F.lit(s.pos).alias("col_pos"),
+            F.col(f"c{s.pos}").alias("value"),
+            F.col(f"b{s.pos}").cast("int").alias("bucket"),
         )
         for s in states
     ]
@@ -146,7 +154,7 @@ def _bucketed(wide: DataFrame, states: Sequence[_ColumnState]) -> DataFrame:
 def _new_splits(rows: DataFrame, states: Sequence[_ColumnState], buckets: int, seed: int) -> dict[int, list[float]]:
     """Split points from a sample of ``rows``; they steer the work only, never the result."""
     total = sum(s.largest_open for s in states)
-    fraction = min(1.0, 200_000.0 * len(states) / max(total, 1))
+    fraction = min(1.0, 50.0 * buckets * len(states) / max(total, 1))
     sample = rows if fraction >= 1.0 else rows.sample(fraction, seed)
     at = [(i + 1) / buckets for i in range(buckets - 1)]
     picked = sample.groupBy("col_pos").agg(F.percentile_approx("value", at, 4 * buckets).alias("splits")).collect()
@@ -201,39 +209,39 @@ def ks_full(
     wide = _wide(new, ref, columns)
     limit = max(min_values, 1)
     states = {
-        i: _ColumnState(i, n, m, [], largest_open=n + m)
+        i: _ColumnState(i, n, m, [0.0], largest_open=n + m)
         for i, (n, m) in enumerate(_counts(wide, len(columns)))
         if n >= limit and m >= limit
     }
     if not states:
         return ks_by_column(new, ref, [], min_values)
-    pending = wide
+    rows = _long(wide, list(states.values()))
     for _ in range(rounds):
         active = [s for s in states.values() if s.open_buckets is None or s.largest_open > bucket_rows]
         if not active:
             break
-        rows = _bucketed(pending, active)
-        if any(s.open_buckets is not None for s in active):
-            rows = rows.join(F.broadcast(_open_table(spark, active)), ["col_pos", "bucket"], "left_semi")
         added = _new_splits(rows, active, buckets, seed)
         for s in active:
-            s.splits = sorted({*s.splits, *added.get(s.pos, [0.0])})
-        edges = _bucketed(wide, active).groupBy("col_pos", "bucket").agg(
+            s.splits = sorted({*s.splits, *added.get(s.pos, [])})
+        bucketed, covered = _bucketed(wide, active), {s.pos for s in active}
+        edges = bucketed.groupBy("col_pos", "bucket").agg(
             F.sum("is_new").alias("a"), F.sum(1 - F.col("is_new")).alias("b")
         )
         _judge(edges, {s.pos: s for s in active})
+        rows = bucketed.join(F.broadcast(_open_table(spark, active)), ["col_pos", "bucket"], "left_semi")
 
-    done = list(states.values())
+    done = [s for s in states.values() if s.open_buckets]
     head = spark.createDataFrame(
-        [(s.pos, s.n_new, s.n_ref, s.best) for s in done], "col_pos int, n_new bigint, n_ref bigint, edge double"
+        [(s.pos, s.n_new, s.n_ref, s.best) for s in states.values()], "col_pos int, n_new bigint, n_ref bigint, edge double"
     )
+    if not {s.pos for s in done} <= covered:
+        bucketed = _bucketed(wide, done)
     inner = (
-        _bucketed(wide, done)
-        .join(F.broadcast(_open_table(spark, done)), ["col_pos", "bucket"])
+        bucketed.join(F.broadcast(_open_table(spark, done)), ["col_pos", "bucket"])
         .groupBy("col_pos", "bucket", "value", "a0", "b0", "n_new", "n_ref")
         .agg(F.sum("is_new").alias("a"), F.sum(1 - F.col("is_new")).alias("b"))
     )
-    upto = Window.partitionBy("col_pos", "bucket").orderBy("value")
+    upto = Window.partitionBy("col_pos", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     distance = F.abs(
         (F.col("a0") + F.sum("a").over(upto)) / F.col("n_new") - (F.col("b0") + F.sum("b").over(upto)) / F.col("n_ref")
     )

@@ -26,9 +26,9 @@ QUERIES: dict[str, Query] = {}
 
 AS_OF = "2024-02-01T00:00:00"
 HALF = "2024-01-16"
-HOUR, DAY = 3_600_000_000, 86_400_000_000
+HOUR = 3_600_000_000
 GRID = EvalGrid(epoch_us("2024-01-02T00:00:00"), epoch_us("2024-01-30T00:00:00"), 6 * HOUR)
-ERROR_WINDOW, LATENCY_WINDOW, LOOKBACK = DAY, 12 * HOUR, 3 * HOUR
+ERROR_WINDOW, LATENCY_WINDOW, LOOKBACK = 18 * HOUR, 12 * HOUR, 3 * HOUR
 BOUNDS = (10, 25, 50, 100, 250)
 # Event tables are sparse, so the limits are scaled down to what they can reach.
 LIMITS = RollbackLimits(max_5xx_ratio=0.00025, max_5xx_rps=0.00025, max_p95_sec=200.0)
@@ -387,7 +387,7 @@ def shown_rates(rated: DataFrame, *labels: str) -> DataFrame:
 
 
 def by_time(df: DataFrame, *names: str) -> DataFrame:
-    return shown(df.withColumn("eval_sec", F.unix_seconds("eval_ts")), "job", "namespace", "eval_sec", *names)
+    return df.select("job", "namespace", F.unix_seconds("eval_ts").alias("eval_sec"), *names)
 
 
 @query
@@ -403,23 +403,26 @@ def request_rate_extrapolated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates.error_signals(rates.request_rates(event_samples(spark, sf_dir), GRID, ERROR_WINDOW, extrapolate=False))
+    """Error signals with 9 digits, and -1 for null."""
+    rated = rates.request_rates(event_samples(spark, sf_dir), GRID, ERROR_WINDOW, extrapolate=False)
+    names = ("total_rps", "rps_5xx", "ratio_5xx")
+    return rates.error_signals(rated).withColumns({c: F.coalesce(F.round(c, 9), F.lit(-1.0)) for c in names})
 
 
 @query
 def error_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_time(errors(spark, sf_dir).withColumn("ratio_5xx", F.coalesce("ratio_5xx", F.lit(-1.0))), "ratio_5xx")
+    return by_time(errors(spark, sf_dir), "ratio_5xx")
 
 
 @query
 def error_rps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_time(errors(spark, sf_dir).withColumn("rps_5xx", F.coalesce("rps_5xx", F.lit(-1.0))), "total_rps", "rps_5xx")
+    return by_time(errors(spark, sf_dir), "total_rps", "rps_5xx")
 
 
 @query
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = rates.bucket_rates(event_samples(spark, sf_dir), GRID, LATENCY_WINDOW, extrapolate=False)
-    return by_time(rates.latency_quantile(rated), "p95")
+    return by_time(rates.latency_quantile(rated).withColumn("p95", F.round("p95", 6)), "p95")
 
 
 @query
