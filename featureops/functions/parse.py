@@ -23,7 +23,7 @@ NEGATIVE_INF_WORDS = ("-inf", "-infinity")
 # Year-month-day, then "T" or white space, then hour:minute:second, parts may be
 # unpadded and a one-digit day may follow one extra blank.
 WALL_CLOCK = (
-    r"^(\d{4})-(1[0-2]|0?[1-9])-(?: (?=[1-9](?:[Tt]|\s)))?(3[01]|[12]\d|0?[1-9])"
+    r"^((?!0000)\d{4})-(1[0-2]|0?[1-9])-(?: (?=[1-9](?:[Tt]|\s)))?(3[01]|[12]\d|0?[1-9])"
     r"(?:[Tt]|\s+)(2[0-3]|[01]?\d):([0-5]?\d):([0-5]?\d)$"
 )
 
