@@ -59,13 +59,18 @@ def day_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.entity_features(daily, AS_OF, entity=DAY_KEY)
 
 
+def rounded(c: Column, digits: int = 6) -> Column:
+    """Engines disagree on ties (averages over 64 rows have them); moved up a little, none is left."""
+    return F.round(c + 10.0 ** -(digits + 2), digits)
+
+
 def shown(df: DataFrame, *names: str) -> DataFrame:
     """Doubles rounded to 6 digits, dates as text: comparable between engines."""
     out = []
     for name in names or df.columns:
         kind = df.schema[name].dataType.typeName()
         c = F.col(name)
-        out.append({"double": F.round(c, 6), "date": c.cast("string"), "timestamp": F.unix_seconds(c)}.get(kind, c).alias(name))
+        out.append({"double": rounded(c), "date": c.cast("string"), "timestamp": F.unix_seconds(c)}.get(kind, c).alias(name))
     return df.select(*out)
 
 
@@ -382,7 +387,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shown_rates(rated: DataFrame, *labels: str) -> DataFrame:
     return rated.select(
         "job", "namespace", *[F.col("labels")[c].alias(c) for c in labels],
-        F.unix_seconds("eval_ts").alias("eval_sec"), F.round("rate", 9).alias("rate"),
+        F.unix_seconds("eval_ts").alias("eval_sec"), rounded(F.col("rate"), 9).alias("rate"),
     )
 
 
@@ -406,7 +411,7 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error signals with 9 digits, and -1 for null."""
     rated = rates.request_rates(event_samples(spark, sf_dir), GRID, ERROR_WINDOW, extrapolate=False)
     names = ("total_rps", "rps_5xx", "ratio_5xx")
-    return rates.error_signals(rated).withColumns({c: F.coalesce(F.round(c, 9), F.lit(-1.0)) for c in names})
+    return rates.error_signals(rated).withColumns({c: F.coalesce(rounded(F.col(c), 9), F.lit(-1.0)) for c in names})
 
 
 @query
@@ -422,7 +427,7 @@ def error_rps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = rates.bucket_rates(event_samples(spark, sf_dir), GRID, LATENCY_WINDOW, extrapolate=False)
-    return by_time(rates.latency_quantile(rated).withColumn("p95", F.round("p95", 6)), "p95")
+    return by_time(rates.latency_quantile(rated).withColumn("p95", rounded(F.col("p95"))), "p95")
 
 
 @query
@@ -444,7 +449,9 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rollback_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_time(slo.rollback_decision(signals(spark, sf_dir), LIMITS), "should_rollback", "reason")
+    moved = {c: F.col(c) + 1e-9 for c in ("ratio_5xx", "rps_5xx", "p95")}  # no ties in printed digits
+    decided = slo.rollback_decision(signals(spark, sf_dir).withColumns(moved), LIMITS)
+    return by_time(decided, "should_rollback", "reason")
 
 
 def outcomes(rows: DataFrame) -> DataFrame:
@@ -530,7 +537,7 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
     )
     rated = stream_counter_rates(samples, 86_400, 86_400, "1 hour", extrapolate=False, chunk_sec=3_600)
-    return shown_rates(collected(spark, rated, "stream-rates"), "kind").withColumn("rate", F.round("rate", 6))
+    return shown_rates(collected(spark, rated, "stream-rates"), "kind").withColumn("rate", rounded(F.col("rate")))
 
 
 @query
