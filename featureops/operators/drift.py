@@ -5,7 +5,8 @@ all pooled values. Two exact plans compute it:
 
 * ``ks_by_column`` counts rows per distinct value and runs one window per column. It is meant
   for samples: at most 2 x ``sample_n`` values per column.
-* ``ks_full`` is for whole tables. Counting rows per value bucket needs no shuffle of values, only
+* ``ks_full`` is for whole tables. It counts first, and hands small inputs to the plan above. For
+  the rest: counting rows per value bucket needs no shuffle of values, only
   of bucket counts; at bucket edges the distance is then known exactly, and inside a bucket it
   is bounded. Only buckets whose bound beats the best edge are looked into, after splitting
   them again if they are still large.
@@ -67,7 +68,8 @@ def _names(columns: Sequence[str]) -> Column:
 def ks_by_column(
     new: DataFrame, ref: DataFrame, columns: Sequence[str], min_values: int = DriftLimits.min_values
 ) -> DataFrame:
-    """One row per column with enough values on both sides. For samples (see module text)."""
+    """One row per column with enough values on both sides. For samples (see module text): the
+    values of a column end up in one task."""
     spark = new.sparkSession
     if not columns:
         return spark.createDataFrame(
@@ -196,11 +198,13 @@ def ks_full(
     buckets: int = 1024,
     rounds: int = 3,
     bucket_rows: int = 5_000_000,
+    one_level_rows: int = 2_000_000,
     seed: int = DriftLimits.seed,
 ) -> DataFrame:
     """Same result as ``ks_by_column`` on tables of any size. Reads its inputs several times.
 
-    The driver sees bucket counts and split points only (columns x buckets numbers a round). Give
+    Up to ``one_level_rows`` rows a column are left to one task per column; a bucket with more
+    than ``bucket_rows`` rows is split again before it is looked into. The driver sees bucket counts and split points only (columns x buckets numbers a round). Give
     stored tables as inputs, not long plans, as each round scans the compared columns again.
     """
     spark = new.sparkSession
@@ -208,9 +212,12 @@ def ks_full(
         return ks_by_column(new, ref, columns, min_values)
     wide = _wide(new, ref, columns)
     limit = max(min_values, 1)
+    counts = _counts(wide, len(columns))
+    if max(n + m for n, m in counts) <= one_level_rows:
+        return ks_by_column(new, ref, columns, min_values)
     states = {
         i: _ColumnState(i, n, m, [0.0], largest_open=n + m)
-        for i, (n, m) in enumerate(_counts(wide, len(columns)))
+        for i, (n, m) in enumerate(counts)
         if n >= limit and m >= limit
     }
     if not states:

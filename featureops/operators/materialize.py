@@ -78,6 +78,15 @@ class ServingTable:
         mark = self._mark()
         return self._store(materialize_full(features, end, start), mark.snapshot + 1 if mark else 1, end)
 
+    def merge(self, rows: DataFrame, snapshot: int) -> None:
+        """Bring the table up to ``snapshot`` with new rows in any order; a finished snapshot stays."""
+        mark = self._mark()
+        if mark is not None and mark.snapshot >= snapshot:
+            return
+        fresh = latest_per_entity(rows)
+        merged = latest_per_entity(self.read().unionByName(fresh)) if mark else fresh
+        self._store(merged, snapshot, 0)
+
     def advance(self, features: DataFrame, end) -> DataFrame:
         """Only rows after the last mark are read; without a mark this is a full refresh."""
         mark = self._mark()

@@ -58,17 +58,17 @@ def chunk_summaries(counters: DataFrame, grid: EvalGrid, window_us: int) -> Data
         "job", "namespace", series_key(), "ts", "value", chunk_index(F.col("ts"), grid, chunk).alias("chunk")
     )
     in_chunk = Window.partitionBy(*SERIES, "chunk").orderBy("ts", "value")
-    steps = placed.withColumn("_prev", F.lag("value").over(in_chunk))
-    at = F.struct("ts", "value")
+    steps = placed.where(F.col("value").isNotNull()).withColumns(
+        {"_prev": F.lag("value").over(in_chunk), "_next": F.lead("value").over(in_chunk)}
+    )
+    # plain numbers only in the aggregates: they stay in the hash aggregation
     return steps.groupBy(*SERIES, "chunk").agg(
         F.count("*").alias("n"),
-        F.min(at).alias("_first"),
-        F.max(at).alias("_last"),
+        F.min("ts").alias("first_ts"),
+        F.max(F.when(F.col("_prev").isNull(), F.col("value"))).alias("first_v"),
+        F.max("ts").alias("last_ts"),
+        F.max(F.when(F.col("_next").isNull(), F.col("value"))).alias("last_v"),
         F.coalesce(F.sum(_increase(F.col("_prev"), F.col("value"))), F.lit(0.0)).alias("inc"),
-    ).select(
-        *SERIES, "chunk", "n", "inc",
-        F.col("_first.ts").alias("first_ts"), F.col("_first.value").alias("first_v"),
-        F.col("_last.ts").alias("last_ts"), F.col("_last.value").alias("last_v"),
     )
 
 
@@ -105,12 +105,13 @@ def counter_rates(counters: DataFrame, grid: EvalGrid, window_us: int, extrapola
     joined = spread.withColumn("_prev", F.lag("last_v").over(in_window))
     totals = joined.groupBy(*SERIES, "eval_ts").agg(
         F.sum("n").alias("n"),
-        F.min(F.struct("chunk", "first_ts", "first_v")).alias("_first"),
+        F.min("first_ts").alias("first_ts"),
+        F.max(F.when(F.col("_prev").isNull(), F.col("first_v"))).alias("first_v"),
         F.max("last_ts").alias("last_ts"),
         (F.sum("inc") + F.coalesce(F.sum(_increase(F.col("_prev"), F.col("first_v"))), F.lit(0.0))).alias("increase"),
     )
     rate = rate_value(
-        F.col("n"), F.col("_first.first_ts"), F.col("_first.first_v"), F.col("last_ts"), F.col("increase"),
+        F.col("n"), F.col("first_ts"), F.col("first_v"), F.col("last_ts"), F.col("increase"),
         F.unix_micros("eval_ts"), window_us, extrapolate,
     )
     rated = totals.withColumn("rate", rate).where(F.col("rate").isNotNull())
@@ -186,13 +187,13 @@ def newest_in_lookback(gauges: DataFrame, grid: EvalGrid, lookback_us: int) -> D
         within(gauges, grid, lookback_us)
         .select("job", "namespace", series_key(), "ts", "value", chunk_index(F.col("ts"), grid, chunk).alias("chunk"))
         .groupBy(*SERIES, "chunk")
-        .agg(F.max(F.struct("ts", "value")).alias("at"))
+        .agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
     )
     return (
         over_grid(newest, grid, lookback_us, chunk)
         .groupBy(*SERIES, "eval_ts")
-        .agg(F.max("at").alias("at"))
-        .select("job", "namespace", series_labels(), "eval_ts", F.col("at.value").alias("value"))
+        .agg(F.max_by("value", "ts").alias("value"))
+        .select("job", "namespace", series_labels(), "eval_ts", "value")
     )
 
 

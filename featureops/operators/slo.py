@@ -79,21 +79,29 @@ def escalation(
     """Adds ``consecutive`` (unavailable outcomes in a row so far) and ``severity``.
 
     Needs columns target..., order... (first one a timestamp; together unique per target),
-    should_rollback, reason. A target's history is cut into time chunks: rows are ordered inside
+    should_rollback, reason; a row without target or time belongs to no history. A target's history is cut into time chunks: rows are ordered inside
     a chunk only, and the run a chunk starts with is carried over from chunk totals. ``carried``
     (target..., consecutive) holds the runs before the first row, for incremental use.
     """
     missing = ~F.col("should_rollback") & F.col("reason").startswith(UNAVAILABLE)
-    rows = outcomes.withColumn("_missing", missing).withColumn(
-        "_chunk", F.floor(F.unix_micros(F.col(order[0])) / (chunk_sec * 1_000_000))
+    placed = F.col(order[0]).isNotNull()
+    for c in target:
+        placed = placed & F.col(c).isNotNull()
+    rows = outcomes.where(placed).select(
+        "*",
+        missing.alias("_missing"),
+        F.floor(F.unix_micros(F.col(order[0])) / (chunk_sec * 1_000_000)).alias("_chunk"),
     )
     in_chunk = Window.partitionBy(*target, "_chunk").orderBy(*order)
     rows = rows.withColumn("_island", F.sum(F.when(F.col("_missing"), 0).otherwise(1)).over(in_chunk))
     in_island = Window.partitionBy(*target, "_chunk", "_island").orderBy(*order)
     rows = rows.withColumn("_run", F.sum(F.when(F.col("_missing"), 1).otherwise(0)).over(in_island))
 
-    # One row per (target, chunk): does the run go through, and how long is it at the end?
-    last = F.max(F.struct("_island", *order, "_run"))
+    # One row per (target, chunk): does the run go through, and how long is it at the end? The last
+    # row is taken with all its columns, so that this branch and the rows below need the same
+    # shuffle and Spark runs it once.
+    others = [c for c in rows.columns if c not in (*target, *order, "_chunk", "_island", "_run")]
+    last = F.max_by(F.struct("_run", *others), F.struct("_island", *order))
     chunks = rows.groupBy(*target, "_chunk").agg(F.max("_island").alias("_resets"), last["_run"].alias("_tail"))
     if carried is not None:
         start = carried.select(
@@ -109,7 +117,7 @@ def escalation(
         *target, "_chunk", F.coalesce(F.lag("_end_run").over(over_chunks), F.lit(0)).alias("_carry")
     ).where(F.col("_chunk").isNotNull())
 
-    joined = rows.join(carry, [*target, "_chunk"])
+    joined = rows.join(carry, [*target, "_chunk"], "left")
     run = F.col("_run") + F.when(F.col("_island") == 0, F.col("_carry")).otherwise(0)
     severity = (
         F.when(~F.col("_missing"), F.when(F.col("should_rollback"), "rollback").otherwise("ok"))

@@ -18,7 +18,7 @@ from ..sources.feature_store import FeatureStore
 from ..sources.raw_events import non_blank_lines, read_raw_events, typed_events
 from ..streaming.escalation import escalation_sink
 from ..streaming.features import stream_features
-from ..streaming.jobs import collected, run_sink
+from ..streaming.jobs import collected, per_batch, run_sink
 from ..streaming.rates import stream_counter_rates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,7 +215,8 @@ def feature_store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = day_features(spark, sf_dir)
+    """Two feature batches, stored first as in production: the comparison scans them several times."""
+    rows = written(day_features(spark, sf_dir), "halves")
     return rows.where(F.col("day") >= F.lit(HALF).cast("date")), rows.where(F.col("day") < F.lit(HALF).cast("date"))
 
 
@@ -225,7 +226,7 @@ def shifted_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def halves_ks(new: DataFrame, ref: DataFrame) -> DataFrame:
-    return drift.ks_by_column(new, ref, drift.common_columns(new, ref, 20))
+    return drift.ks_full(new, ref, drift.common_columns(new, ref, 20))
 
 
 def shown_decision(decision: DataFrame) -> DataFrame:
@@ -239,17 +240,17 @@ def drift_ks_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def drift_ks_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of a large table, narrowed by buckets."""
+    """All rows of a large table, by the bucket plan whatever the size."""
     rows = table(spark, sf_dir, "lineitem")
     is_new = F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
     columns = drift.numeric_columns(rows.schema, 20)
-    return shown(drift.ks_full(rows.where(is_new), rows.where(~is_new), columns))
+    return shown(drift.ks_full(rows.where(is_new), rows.where(~is_new), columns, one_level_rows=0))
 
 
 @query
 def sampled_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, ref = (exact_sample(side, 2000, DAY_KEY, 42) for side in halves(spark, sf_dir))
-    return shown(halves_ks(new, ref))
+    return shown(drift.ks_by_column(new, ref, drift.common_columns(new, ref, 20)))
 
 
 @query
@@ -471,7 +472,7 @@ def outcomes(rows: DataFrame) -> DataFrame:
 @query
 def observe_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = slo.escalation(outcomes(table(spark, sf_dir, "events")), order=("ts", "event_id"))
-    return judged.select("event_id", "namespace", "consecutive", "severity")
+    return judged.select("event_id", "namespace", "reason", "consecutive", "severity")
 
 
 @query
@@ -540,9 +541,28 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_rates(collected(spark, rated, "stream-rates"), "kind").withColumn("rate", rounded(F.col("rate")))
 
 
+@query
+def stream_error_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error ratio of each closed day, from the same stream read as requests by status."""
+    status = F.when(F.col("event_type") == "error", "500").otherwise("200")
+    samples = event_stream(spark, sf_dir).select(
+        F.lit("web").alias("job"),
+        F.concat(F.lit("ns-"), (F.col("user_id") % 3).cast("string")).alias("namespace"),
+        F.create_map(F.lit("status"), status).alias("labels"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        "value",
+    )
+    rated = stream_counter_rates(samples, 86_400, 86_400, "1 hour", extrapolate=False, chunk_sec=3_600)
+    base = scratch_path(spark, "stream-errors")
+    run_sink(rated, per_batch(rates.error_signals, f"{base}/out"), f"{base}/checkpoint").awaitTermination()
+    names = ("total_rps", "rps_5xx", "ratio_5xx")
+    stored = spark.read.parquet(f"{base}/out")
+    return by_time(stored.withColumns({c: rounded(F.col(c)) for c in names}), *names)
+
+
 @query
 def stream_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "stream-escalation")
     sink = escalation_sink(f"{base}/data", order=("ts", "event_id"))
     run_sink(outcomes(event_stream(spark, sf_dir)), sink, f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/data/out").select("event_id", "namespace", "consecutive", "severity")
+    return spark.read.parquet(f"{base}/data/out").select("event_id", "namespace", "reason", "consecutive", "severity")

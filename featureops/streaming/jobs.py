@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.materialize import ServingTable
+from ..params import TIME_COL
 from ..session import scratch_path, written
 from ..sources.contract import Contract
 from ..sources.feature_store import FeatureStore
-from ..params import TIME_COL
 
 
 def store_stream(df: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -31,6 +32,31 @@ def collected(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def per_batch(transform: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: a batch transformation of each micro-batch, in its own folder.
+
+    For windowed input in append mode: a closed window is emitted for all its keys in one
+    micro-batch, so sums over series and quantiles over buckets see whole windows.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return apply
+
+
+def serving_sink(serving: ServingTable) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` function: keeps a serving table, used by this stream only, at the newest row per entity.
+
+    A batch run again after a failure finds its snapshot finished and does nothing.
+    """
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        serving.merge(batch, batch_id + 1)
+
+    return apply
+
+
 def version_sink(store: FeatureStore, pipeline: str, source: str, contract: Contract) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: every closed feature window becomes one store version.
 

@@ -25,9 +25,14 @@ def normal(mean, n, seed=42):
     return np.random.default_rng(seed).normal(mean, 1, n).tolist()
 
 
+def test_small_input_takes_the_short_plan(spark):
+    a, b = frame(spark, normal(0, 300)), frame(spark, normal(1, 300, 1))
+    assert ks_full(a, b, ["x"]).collect() == ks_by_column(a, b, ["x"]).collect()
+
+
 PLANS = {
     "one_level": lambda a, b, c=("x",), m=1: ks_by_column(a, b, c, m),
-    "buckets": lambda a, b, c=("x",), m=1: ks_full(a, b, c, m, buckets=8, bucket_rows=30),
+    "buckets": lambda a, b, c=("x",), m=1: ks_full(a, b, c, m, buckets=8, bucket_rows=30, one_level_rows=0),
 }
 
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from featureops.operators.features import entity_features
-from featureops.operators.rates import counter_rates
+from featureops.operators.materialize import ServingTable
+from featureops.operators.rates import counter_rates, latency_quantile
 from featureops.params import EvalGrid
 from featureops.session import epoch_us
 from featureops.sources.contract import parse_contract
@@ -13,7 +14,7 @@ from featureops.sources.feature_store import FeatureStore
 from featureops.sources.metric_samples import SAMPLE_SCHEMA
 from featureops.streaming.escalation import escalation_sink
 from featureops.streaming.features import stream_features
-from featureops.streaming.jobs import collected, run_sink, version_sink
+from featureops.streaming.jobs import collected, per_batch, run_sink, serving_sink, version_sink
 from featureops.streaming.rates import stream_counter_rates
 
 from test_metrics_and_slo import OUTCOMES, counted, outcome_rows
@@ -112,6 +113,33 @@ def test_stream_rates_chunk_must_fit(spark, tmp_path):
         stream_counter_rates(stream, 60, 15, "1 minute", chunk_sec=10)
 
 
+def test_stream_signals_see_whole_windows(spark, tmp_path):
+    rows = []
+    for i in range(60):
+        at = T0 + timedelta(seconds=15 * i)
+        for pod in ("a", "b", "c"):
+            rows += [("m", "job", "ns", {"pod": pod, "le": le}, at, float(n * i)) for le, n in (("0.1", 2), ("1", 4), ("+Inf", 4))]
+    stream = as_stream(spark, tmp_path, split_in(rows, 4, lambda r: r[4]), SAMPLE_SCHEMA)
+    rated = stream_counter_rates(stream, 60, 30, "30 seconds")
+    sink = per_batch(lambda batch: latency_quantile(batch, 0.75), str(tmp_path / "out"))
+    run_sink(rated, sink, str(tmp_path / "ckpt")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(got) == len({r.eval_ts for r in got}) > 20
+    assert all(r.p95 == pytest.approx(0.1 + 0.9 * 0.5) for r in got)
+
+
+def test_stream_into_serving_table(spark, tmp_path):
+    schema = "user_id long, event_timestamp timestamp, x double"
+    parts = [[(1, T0, 1.0), (2, T0, 2.0)], [(1, T0 - timedelta(days=1), 0.0), (3, T0, 3.0)], [(2, T0 + timedelta(days=1), 9.0)]]
+    serving = ServingTable(spark, str(tmp_path / "serving"))
+    sink = serving_sink(serving)
+    run_sink(as_stream(spark, tmp_path, parts, schema), sink, str(tmp_path / "ckpt")).awaitTermination()
+    want = {1: 1.0, 2: 9.0, 3: 3.0}
+    assert {r.user_id: r.x for r in serving.read().collect()} == want
+    sink(spark.createDataFrame([(7, T0, 7.0)], schema), 2)  # a repeated batch id
+    assert {r.user_id: r.x for r in serving.read().collect()} == want
+
+
 def test_stream_escalation_carries_runs(spark, tmp_path):
     rows = outcome_rows(40, 11)
     stream = as_stream(spark, tmp_path, split_in(rows, 4, lambda r: r[2]), OUTCOMES)
