@@ -52,8 +52,7 @@ def over_grid(chunks: DataFrame, grid: EvalGrid, window_us: int, chunk: int) ->
     )
 
 
-def chunk_summaries(counters: DataFrame, grid: EvalGrid, window_us: int) -> DataFrame:
-    chunk = chunk_us(grid, window_us)
+def chunk_summaries(counters: DataFrame, grid: EvalGrid, window_us: int, chunk: int) -> DataFrame:
     placed = within(counters, grid, window_us).select(
         "job", "namespace", series_key(), "ts", "value", chunk_index(F.col("ts"), grid, chunk).alias("chunk")
     )
@@ -97,10 +96,18 @@ def rate_value(
     return F.when((n >= 2) & (span > 0), increase * ((span + to_start + to_end) / span) / window_sec)
 
 
-def counter_rates(counters: DataFrame, grid: EvalGrid, window_us: int, extrapolate: bool = True) -> DataFrame:
-    """(job, namespace, labels, eval_ts, rate): no row for a window with fewer than two samples."""
-    chunk = chunk_us(grid, window_us)
-    spread = over_grid(chunk_summaries(counters, grid, window_us), grid, window_us, chunk)
+def counter_rates(
+    counters: DataFrame, grid: EvalGrid, window_us: int, extrapolate: bool = True, chunk: int | None = None
+) -> DataFrame:
+    """(job, namespace, labels, eval_ts, rate): no row for a window with fewer than two samples.
+
+    ``chunk`` (microseconds, a divisor of window and step) makes the ordered groups smaller where
+    scrapes are very dense.
+    """
+    chunk = chunk or chunk_us(grid, window_us)
+    if window_us % chunk or (grid.last > 0 and grid.step_us % chunk):
+        raise ValueError("chunk must divide window and step")
+    spread = over_grid(chunk_summaries(counters, grid, window_us, chunk), grid, window_us, chunk)
     in_window = Window.partitionBy(*SERIES, "eval_ts").orderBy("chunk")
     joined = spread.withColumn("_prev", F.lag("last_v").over(in_window))
     totals = joined.groupBy(*SERIES, "eval_ts").agg(

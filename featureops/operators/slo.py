@@ -72,7 +72,7 @@ def escalation(
     outcomes: DataFrame,
     target: Sequence[str] = ("job", "namespace"),
     order: Sequence[str] = ("ts",),
-    chunk_sec: int = 86_400,
+    chunk_sec: int = 60,
     after: int = RollbackLimits.escalate_after,
     carried: DataFrame | None = None,
 ) -> DataFrame:
@@ -80,7 +80,8 @@ def escalation(
 
     Needs columns target..., order... (first one a timestamp; together unique per target),
     should_rollback, reason; a row without target or time belongs to no history. A target's history is cut into time chunks: rows are ordered inside
-    a chunk only, and the run a chunk starts with is carried over from chunk totals. ``carried``
+    a chunk only, and the run a chunk starts with is carried over from chunk totals, so one task
+    sees at most one chunk of one target, or one total per chunk of a target. ``carried``
     (target..., consecutive) holds the runs before the first row, for incremental use.
     """
     missing = ~F.col("should_rollback") & F.col("reason").startswith(UNAVAILABLE)

@@ -527,17 +527,32 @@ def stream_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(stored, "user_id", TIME_COL, *FEATURES)
 
 
-@query
-def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event values read as samples of 15 counters, by day."""
-    samples = event_stream(spark, sf_dir).select(
+def minute_scrapes(spark: SparkSession, sf_dir: str, label: str, value: Column) -> DataFrame:
+    """The event stream reduced to one scrape a minute per series: the largest event value."""
+    scrapes = (
+        event_stream(spark, sf_dir)
+        .select((F.col("user_id") % 3).alias("ns"), value.alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "value")
+        .withWatermark("ts", "1 hour")
+        .groupBy("ns", "kind", F.window("ts", "1 minute").alias("minute"))
+        .agg(F.max("value").alias("value"))
+    )
+    return scrapes.select(
         F.lit("web").alias("job"),
-        F.concat(F.lit("ns-"), (F.col("user_id") % 3).cast("string")).alias("namespace"),
-        F.create_map(F.lit("kind"), F.col("event_type")).alias("labels"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("ns-"), F.col("ns").cast("string")).alias("namespace"),
+        F.create_map(F.lit(label), F.col("kind")).alias("labels"),
+        F.window_time("minute").alias("ts"),
         "value",
     )
-    rated = stream_counter_rates(samples, 86_400, 86_400, "1 hour", extrapolate=False, chunk_sec=3_600)
+
+
+def daily_stream_rates(scrapes: DataFrame) -> DataFrame:
+    return stream_counter_rates(scrapes, 86_400, 86_400, None, extrapolate=False, chunk_sec=3_600)
+
+
+@query
+def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values scraped by the minute and read as 15 counters, by day."""
+    rated = daily_stream_rates(minute_scrapes(spark, sf_dir, "kind", F.col("event_type")))
     return shown_rates(collected(spark, rated, "stream-rates"), "kind").withColumn("rate", rounded(F.col("rate")))
 
 
@@ -545,14 +560,7 @@ def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_error_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error ratio of each closed day, from the same stream read as requests by status."""
     status = F.when(F.col("event_type") == "error", "500").otherwise("200")
-    samples = event_stream(spark, sf_dir).select(
-        F.lit("web").alias("job"),
-        F.concat(F.lit("ns-"), (F.col("user_id") % 3).cast("string")).alias("namespace"),
-        F.create_map(F.lit("status"), status).alias("labels"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        "value",
-    )
-    rated = stream_counter_rates(samples, 86_400, 86_400, "1 hour", extrapolate=False, chunk_sec=3_600)
+    rated = daily_stream_rates(minute_scrapes(spark, sf_dir, "status", status))
     base = scratch_path(spark, "stream-errors")
     run_sink(rated, per_batch(rates.error_signals, f"{base}/out"), f"{base}/checkpoint").awaitTermination()
     names = ("total_rps", "rps_5xx", "ratio_5xx")

@@ -14,7 +14,7 @@ def escalation_sink(
     path: str,
     target: Sequence[str] = ("job", "namespace"),
     order: Sequence[str] = ("ts",),
-    chunk_sec: int = 86_400,
+    chunk_sec: int = 60,
     after: int = RollbackLimits.escalate_after,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function. Results go to <path>/out/batch=<id>, and the run length per

@@ -41,7 +41,7 @@ def stream_counter_rates(
     counters: DataFrame,
     window_sec: int,
     step_sec: int,
-    watermark: str,
+    watermark: str | None,
     extrapolate: bool = True,
     chunk_sec: int | None = None,
 ) -> DataFrame:
@@ -49,15 +49,20 @@ def stream_counter_rates(
 
     Two chained stateful steps. State keeps the samples of one chunk of one series until the
     chunk is closed, then one summary per chunk until the windows over it are closed. A shorter
-    ``chunk_sec`` (a divisor of window and step) spreads a busy series further.
+    ``chunk_sec`` (a divisor of window and step) spreads a busy series further. A chunk should hold
+    few scrapes; raw events are to be reduced to scrapes first. If that was a windowed aggregate
+    of the stream, ``ts`` must be its ``window_time`` and ``watermark`` None: the one there is kept.
     """
     chunk = chunk_sec or math.gcd(window_sec, step_sec)
     if window_sec % chunk or step_sec % chunk:
         raise ValueError("chunk_sec must divide window and step")
-    # Spark windows are [start, end): moved back by one microsecond they become (start, end].
-    placed = counters.select(
-        "job", "namespace", series_key(), "value", "ts", F.timestamp_micros(F.unix_micros("ts") - 1).alias("_at")
-    ).withWatermark("_at", watermark)
+    columns = ("job", "namespace", series_key(), "value", "ts")
+    if watermark is None:
+        placed = counters.select(*columns, F.col("ts").alias("_at"))
+    else:
+        # Spark windows are [start, end): moved back by one microsecond they become (start, end].
+        moved = F.timestamp_micros(F.unix_micros("ts") - 1)
+        placed = counters.select(*columns, moved.alias("_at")).withWatermark("_at", watermark)
     sample = F.struct(
         F.col("ts").alias("first_ts"), F.col("value").alias("first_v"), F.col("ts").alias("last_ts"),
         F.col("value").alias("last_v"), F.lit(1).cast("bigint").alias("n"), F.lit(0.0).alias("inc"),
