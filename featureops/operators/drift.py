@@ -153,14 +153,22 @@ def _bucketed(wide: DataFrame, states: Sequence[_ColumnState]) -> DataFrame:
     return tagged.select("is_new", F.inline(F.array(*cells))).where(F.col("value").isNotNull())
 
 
-def _new_splits(rows: DataFrame, states: Sequence[_ColumnState], buckets: int, seed: int) -> dict[int, list[float]]:
-    """Split points from a sample of ``rows``; they steer the work only, never the result."""
-    total = sum(s.largest_open for s in states)
-    fraction = min(1.0, 50.0 * buckets * len(states) / max(total, 1))
-    sample = rows if fraction >= 1.0 else rows.sample(fraction, seed)
+def _sample_share(states: Sequence[_ColumnState], buckets: int) -> float:
+    """Share of rows that gives each column about 50 values a bucket."""
+    return min(1.0, 50.0 * buckets / max(min(s.largest_open for s in states), 1))
+
+
+def _new_splits(sample: DataFrame, buckets: int) -> dict[int, list[float]]:
+    """Split points from a sample; they steer the work only, never the result."""
     at = [(i + 1) / buckets for i in range(buckets - 1)]
     picked = sample.groupBy("col_pos").agg(F.percentile_approx("value", at, 4 * buckets).alias("splits")).collect()
-    return {r.col_pos: [v for v in r.splits or [] if np.isfinite(v)] for r in picked}
+    return {r.col_pos: _with_ties([v for v in r.splits or [] if np.isfinite(v)]) for r in picked}
+
+
+def _with_ties(points: list[float]) -> list[float]:
+    """A value met more than once is frequent: the next double closes a bucket that holds it alone."""
+    ties = {a for a, b in zip(points, points[1:]) if a == b}
+    return [*points, *(float(np.nextafter(v, np.inf)) for v in ties)]
 
 
 def _judge(edges: DataFrame, states: dict[int, _ColumnState]) -> None:
@@ -178,11 +186,23 @@ def _judge(edges: DataFrame, states: dict[int, _ColumnState]) -> None:
         a0, b0 = a1 - a, b1 - b
         new1, ref1, new0, ref0 = a1 / s.n_new, b1 / s.n_ref, a0 / s.n_new, b0 / s.n_ref
         s.best = float(np.max(np.abs(new1 - ref1), initial=0.0))
-        hidden = np.maximum(new1 - ref0, ref1 - new0) > s.best
+        ends = np.array([-np.inf, *s.splits, np.inf])
+        single = ends[bucket + 1] <= np.nextafter(ends[bucket], np.inf)  # one value: the edge says it all
+        hidden = (np.maximum(new1 - ref0, ref1 - new0) > s.best) & ~single
         s.open_buckets = {int(k): (int(x), int(y)) for k, x, y in zip(bucket[hidden], a0[hidden], b0[hidden])}
         s.largest_open = int(np.max((a + b)[hidden], initial=0))
 
 
+def _near_open(wide: DataFrame, states: Sequence[_ColumnState]) -> DataFrame:
+    """Cells outside the range of their column's open buckets as null: they need no bucket search."""
+    kept = {}
+    for s in states:
+        edges = [float("-inf"), *s.splits, float("inf")]
+        low, high = edges[min(s.open_buckets)], edges[max(s.open_buckets) + 1]
+        kept[f"c{s.pos}"] = F.when(F.col(f"c{s.pos}").between(low, high), F.col(f"c{s.pos}"))
+    return wide.withColumns(kept)
+
+
 def _open_table(spark: SparkSession, states: Sequence[_ColumnState]) -> DataFrame:
     rows = [(s.pos, k, a0, b0, s.n_new, s.n_ref) for s in states for k, (a0, b0) in (s.open_buckets or {}).items()]
     return spark.createDataFrame(
@@ -204,8 +224,9 @@ def ks_full(
     """Same result as ``ks_by_column`` on tables of any size. Reads its inputs several times.
 
     Up to ``one_level_rows`` rows a column are left to one task per column; a bucket with more
-    than ``bucket_rows`` rows is split again before it is looked into. The driver sees bucket counts and split points only (columns x buckets numbers a round). Give
-    stored tables as inputs, not long plans, as each round scans the compared columns again.
+    than ``bucket_rows`` rows is split again before it is looked into. The driver sees bucket
+    counts and split points only (columns x buckets numbers a round). Give stored tables as
+    inputs, not long plans, as each round scans the compared columns again.
     """
     spark = new.sparkSession
     if not columns:
@@ -222,29 +243,40 @@ def ks_full(
     }
     if not states:
         return ks_by_column(new, ref, [], min_values)
-    rows = _long(wide, list(states.values()))
+    active = list(states.values())
     for _ in range(rounds):
-        active = [s for s in states.values() if s.open_buckets is None or s.largest_open > bucket_rows]
-        if not active:
-            break
-        added = _new_splits(rows, active, buckets, seed)
+        # the first sample is of whole rows, later ones are of the values in open buckets
+        share = _sample_share(active, buckets)
+        rows = wide if share == 1.0 else wide.sample(share, seed)
+        if active[0].open_buckets is None:
+            added = _new_splits(_long(rows, active), buckets)
+        else:
+            opened = F.broadcast(_open_table(spark, active))
+            added = _new_splits(
+                _bucketed(_near_open(rows, active), active).join(opened, ["col_pos", "bucket"], "left_semi"), buckets
+            )
         for s in active:
             s.splits = sorted({*s.splits, *added.get(s.pos, [])})
-        bucketed, covered = _bucketed(wide, active), {s.pos for s in active}
-        edges = bucketed.groupBy("col_pos", "bucket").agg(
+        edges = _bucketed(wide, active).groupBy("col_pos", "bucket").agg(
             F.sum("is_new").alias("a"), F.sum(1 - F.col("is_new")).alias("b")
         )
         _judge(edges, {s.pos: s for s in active})
-        rows = bucketed.join(F.broadcast(_open_table(spark, active)), ["col_pos", "bucket"], "left_semi")
-
+        active = [s for s in states.values() if s.largest_open > bucket_rows]
+        if not active:
+            break
     done = [s for s in states.values() if s.open_buckets]
     head = spark.createDataFrame(
         [(s.pos, s.n_new, s.n_ref, s.best) for s in states.values()], "col_pos int, n_new bigint, n_ref bigint, edge double"
     )
-    if not {s.pos for s in done} <= covered:
-        bucketed = _bucketed(wide, done)
+    if not done:
+        found = head.withColumn("ks", F.col("edge"))
+        return found.select(
+            "col_pos", _names(columns).alias("col_name"), "n_new", "n_ref", "ks",
+            ks_p_value(F.col("ks"), F.col("n_new"), F.col("n_ref")).alias("p_value"),
+        )
     inner = (
-        bucketed.join(F.broadcast(_open_table(spark, done)), ["col_pos", "bucket"])
+        _bucketed(_near_open(wide, done), done)
+        .join(F.broadcast(_open_table(spark, done)), ["col_pos", "bucket"])
         .groupBy("col_pos", "bucket", "value", "a0", "b0", "n_new", "n_ref")
         .agg(F.sum("is_new").alias("a"), F.sum(1 - F.col("is_new")).alias("b"))
     )
