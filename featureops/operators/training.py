@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.ranking import hash_cuts, order_hash
-from ..params import FEATURE_COLS, LABEL_COL, TrainInput, TrainLimits
+from ..params import FEATURE_COLS, LABEL_COL, RunSource, TrainLimits
 from ..session import instant_lit, written
 from .evaluation import classification_metrics
 
@@ -179,7 +179,7 @@ class TrainResult:
     scored_test: DataFrame | None
 
 
-def _run_row(spark: SparkSession, run_time, source: TrainInput, limits: TrainLimits, **values) -> DataFrame:
+def _run_row(spark: SparkSession, run_time, source: RunSource, limits: TrainLimits, **values) -> DataFrame:
     known = dict(
         env=source.env, fs_version=source.fs_version, schema_hash=source.schema_hash, feature_uri=source.feature_uri,
         code_version=source.code_version, C=float(limits.C), max_iter=limits.max_iter, feature_cols=",".join(FEATURE_COLS),
@@ -194,7 +194,7 @@ def _run_row(spark: SparkSession, run_time, source: TrainInput, limits: TrainLim
 def train(
     features: DataFrame,
     key_cols: Sequence[str],
-    source: TrainInput,
+    source: RunSource,
     run_time: datetime | str | int,
     limits: TrainLimits = TrainLimits(),
     skip_reason: str | None = None,

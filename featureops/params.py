@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 FEATURE_COLS = ("f_total_events_7d", "f_avg_session_sec_7d", "f_last_event_age_sec")
 LABEL_COL = "label"
@@ -86,10 +86,11 @@ class EvalGrid:
 
 
 @dataclass(frozen=True)
-class TrainInput:
+class RunSource:
+    """Where the rows of a training run come from, as recorded with the run."""
+
     feature_uri: str
     fs_version: str | None = None
     schema_hash: str | None = None
     env: str | None = None
     code_version: str | None = None
-    tags: dict = field(default_factory=dict)

@@ -11,7 +11,7 @@ from ..operators.drift import drift_gate
 from ..operators.features import align_to_contract, batch_quality, entity_features
 from ..operators.promotion import promotion_decision
 from ..operators.training import TrainResult, save_model, train
-from ..params import ENTITY_COL, DriftLimits, LabelRule, QualityLimits, TrainInput, TrainLimits
+from ..params import ENTITY_COL, DriftLimits, LabelRule, QualityLimits, RunSource, TrainLimits
 from ..session import configure
 from ..sources.contract import Contract
 from ..sources.feature_store import FeatureStore, size_guard
@@ -76,7 +76,7 @@ def release_version(
     spark = configure(store.spark)
     uri = store.feature_uri(version)
     gate = gate_version(store, version, drift, whole_drift).first()
-    source = TrainInput(uri, version, schema_hash, env, code_version)
+    source = RunSource(uri, version, schema_hash, env, code_version)
     too_large = size_guard(spark, uri, limits.max_bytes)
     result = train(store.read(version), [ENTITY_COL], source, run_time, limits, too_large)
     result.run.write.mode("append").json(runs_path)

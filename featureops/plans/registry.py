@@ -10,9 +10,9 @@ from ..functions.parse import first_non_empty, float_or_zero, int_or_zero, wall_
 from ..functions.ranking import exact_sample
 from ..operators import drift, evaluation, features, materialize, promotion, rates, slo, training
 from ..params import (
-    LATENCY_METRIC, REQUESTS_METRIC, TIME_COL, UP_METRIC, EvalGrid, RollbackLimits, TrainInput,
+    LATENCY_METRIC, REQUESTS_METRIC, TIME_COL, UP_METRIC, EvalGrid, RollbackLimits, RunSource,
 )
-from ..session import configure, epoch_us, instant_lit, scratch_path, written
+from ..session import configure, epoch_us, scratch_path, written
 from ..sources.contract import parse_contract
 from ..sources.feature_store import FeatureStore
 from ..sources.raw_events import non_blank_lines, read_raw_events, typed_events
@@ -299,14 +299,14 @@ def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out rows with the class probabilities of a freshly trained model."""
     rows = written(day_features(spark, sf_dir), "training")
-    result = training.train(rows, DAY_KEY, TrainInput(sf_dir), AS_OF)
+    result = training.train(rows, DAY_KEY, RunSource(sf_dir), AS_OF)
     return shown(result.scored_test, *DAY_KEY, "label", "prediction", "probability")
 
 
 @query
 def training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(day_features(spark, sf_dir), "training")
-    run = training.train(rows, DAY_KEY, TrainInput("features", "v1"), AS_OF).run
+    run = training.train(rows, DAY_KEY, RunSource("features", "v1"), AS_OF).run
     return run.select("status", "fs_version", "C", "max_iter", "feature_cols", "train_rows", "train_classes", "n_features", "n_classes")
 
 

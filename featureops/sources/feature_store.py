@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from ..params import TIME_COL, WALL_CLOCK_OFFSET
-from ..session import epoch_us, instant_lit
+from ..session import instant_lit
 from .contract import Contract
 
 VERSION_SCHEMA = (
@@ -29,6 +29,10 @@ VERSION_SCHEMA = (
 PUBLISHED_SCHEMA = "version string, published_at timestamp"
 
 
+class VersionExists(ValueError):
+    """The version is finished and will not be written again."""
+
+
 def version_id(run_time: Column) -> Column:
     """``v_`` and the wall-clock second of the run."""
     wall = F.from_utc_timestamp(run_time, WALL_CLOCK_OFFSET)
@@ -82,7 +86,7 @@ class FeatureStore:
         one = self.spark.range(1)
         version = one.select(version_id(instant_lit(run_time)).alias("v")).first().v
         if not self.versions().where(F.col("version") == version).isEmpty():
-            raise ValueError(f"version exists: {version}")
+            raise VersionExists(version)
         uri = self.feature_uri(version)
         with_utc_event_time(features, run_time).write.mode("overwrite").parquet(uri)
         if csv_copy:

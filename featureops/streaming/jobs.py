@@ -11,7 +11,7 @@ from ..operators.materialize import ServingTable
 from ..params import TIME_COL
 from ..session import scratch_path, written
 from ..sources.contract import Contract
-from ..sources.feature_store import FeatureStore
+from ..sources.feature_store import FeatureStore, VersionExists
 
 
 def store_stream(df: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -72,8 +72,7 @@ def version_sink(store: FeatureStore, pipeline: str, source: str, contract: Cont
             rows = batch.where(f"{TIME_COL} = timestamp_micros({end})")
             try:
                 store.write(rows, end, pipeline, source, contract)
-            except ValueError as e:
-                if "version exists" not in str(e):
-                    raise
+            except VersionExists:
+                continue
 
     return apply

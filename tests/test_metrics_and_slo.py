@@ -3,10 +3,8 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
-
 from featureops.operators.rates import (
-    counter_rates, error_signals, latency_quantile, min_up, newest_in_lookback, quantile_of_buckets, series_present, target_signals,
+    counter_rates, error_signals, latency_quantile, min_up, newest_in_lookback, quantile_of_buckets, series_present,
 )
 from featureops.operators.slo import escalation, fleet_convergence, rollback_decision
 from featureops.params import EvalGrid, RollbackLimits

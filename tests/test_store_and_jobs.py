@@ -7,7 +7,7 @@ from featureops.operators.materialize import ServingTable, latest_per_entity, ma
 from featureops.params import DriftLimits
 from featureops.plans.feature_job import build_version, gate_version, release_version
 from featureops.sources.contract import parse_contract
-from featureops.sources.feature_store import FeatureStore, size_guard, stored_bytes, with_utc_event_time
+from featureops.sources.feature_store import FeatureStore, VersionExists, size_guard, stored_bytes, with_utc_event_time
 
 CONTRACT = parse_contract(
     '{"feature_set": "act", "columns": [{"name": "user_id"}, {"name": "f_total_events_7d"}, {"name": "f_avg_session_sec_7d"},'
@@ -55,7 +55,7 @@ def test_versions_and_release(spark, store, tmp_path):
     assert row.version == first.version and row.raw_path.endswith("a.csv")
     lineage = store.versions().orderBy("version").first()
     assert lineage.schema_hash == CONTRACT.fingerprint and lineage.generated_at == datetime(2025, 11, 20)
-    with pytest.raises(ValueError):
+    with pytest.raises(VersionExists):
         store.write(stored, "2025-11-21T00:00:00", "nightly", "x", CONTRACT)
     copy = spark.read.option("header", True).csv(f"{store.base}/act/csv/version={first.version}")
     assert copy.columns == list(CONTRACT.columns) and copy.count() == 300

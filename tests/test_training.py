@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from featureops.operators.evaluation import classification_metrics
 from featureops.operators.promotion import promotion_decision
 from featureops.operators.training import can_stratify, save_model, score, smoke_check, split, train, training_check
-from featureops.params import FEATURE_COLS, TrainInput
+from featureops.params import FEATURE_COLS, RunSource
 
 AT = "2025-11-20T00:00:00"
 
@@ -70,7 +70,7 @@ def test_metrics(spark):
 
 def test_train_score_save(spark, tmp_path):
     df = frame(spark, [0] * 60 + [2] * 60 + [5] * 60)  # labels need not be 0, 1, 2
-    result = train(df, ["user_id"], TrainInput("uri", "v_1", "hash", "dev", "abc"), AT)
+    result = train(df, ["user_id"], RunSource("uri", "v_1", "hash", "dev", "abc"), AT)
     run = result.run.first()
     assert run.status == "ok" and run.accuracy == result.accuracy > 0.8 and run.run_id == result.run_id
     assert (run.train_rows, run.train_classes, run.n_features, run.n_classes) == (180, "0,2,5", 3, 3)
@@ -84,15 +84,15 @@ def test_train_score_save(spark, tmp_path):
 
 
 def test_train_two_classes(spark):
-    result = train(frame(spark, [1] * 40 + [4] * 40), ["user_id"], TrainInput("uri"), AT)
+    result = train(frame(spark, [1] * 40 + [4] * 40), ["user_id"], RunSource("uri"), AT)
     assert result.accuracy > 0.8 and {r.prediction for r in result.scored_test.collect()} <= {1, 4}
 
 
 def test_train_skips_and_fails(spark):
-    skipped = train(frame(spark, [0] * 30), ["user_id"], TrainInput("uri"), AT)
+    skipped = train(frame(spark, [0] * 30), ["user_id"], RunSource("uri"), AT)
     assert skipped.accuracy is None and skipped.run.first().status == "skip" and skipped.run.first().reason == "classes=1"
     with pytest.raises(ValueError):
-        train(frame(spark, [0, None] * 20), ["user_id"], TrainInput("uri"), AT)
+        train(frame(spark, [0, None] * 20), ["user_id"], RunSource("uri"), AT)
 
 
 @pytest.mark.parametrize("accuracy, flag, reason", [
