@@ -15,7 +15,11 @@ from featureops.llm import bpe, decontaminate, ngram_join, pii, quality
 from featureops.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-KEY = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and ``key``: the doc_id, or where there is none the text's hash."""
+    return docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))).alias("key"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +30,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each class of near duplicates."""
-    keyed = docs.select(*COLUMNS, KEY.alias("key"))
-    classes = ngram_join.joined(keyed.select(F.col("key").alias("doc_id"), "text"))
+    rows = keyed(docs)
+    classes = ngram_join.joined(rows.select(F.col("key").alias("doc_id"), "text"))
     firsts = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("key")).distinct()
     again = classes.where("n_copies > 0").select(F.col("doc_id").alias("key")).groupBy("key").count().where("count > 1")
-    kept = keyed.join(firsts, "key", "left_semi")
+    kept = rows.join(firsts, "key", "left_semi")
     # only rows that share their key with another may be repeated
     single, several = kept.join(again, "key", "left_anti"), kept.join(again, "key", "left_semi").dropDuplicates(["key", "text"])
     return single.select(*COLUMNS).union(several.select(*COLUMNS))
@@ -38,9 +42,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    keyed = docs.select(*COLUMNS, KEY.alias("key"))
-    found = decontaminate.leaks(keyed.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return keyed.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
+    rows = keyed(docs)
+    found = decontaminate.leaks(rows.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select(*COLUMNS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
