@@ -296,7 +296,8 @@ def joined(docs: DataFrame) -> DataFrame:
     sizes = near.groupBy("root").agg(F.count("*").alias("size"))
     wanted = near.join(sizes, "root").select("set_id", "root", "size", "copies", F.col("first").alias("doc_id"))
     named = wanted.select(*(F.col(c) for c in wanted.columns if c != "doc_id"), F.col("doc_id").alias("first"))
-    full = named.join(texts(docs), F.col("first").eqNullSafe(F.col("doc_id")))
+    # a merge join at every size: the candidates grow with the documents
+    full = named.join(texts(docs).hint("merge"), F.col("first").eqNullSafe(F.col("doc_id")))
     full = shingled(full.select("set_id", "root", "size", "copies", "text")).dropDuplicates(["set_id"])
     full = cells(full, "root", "size", "set_id").select("root", "x", "y", "mine", "set_id", "copies", "shingles")
     judged = written(by_cell(full, verified, "a binary, b binary, links long"), "join-judged")
