@@ -27,41 +27,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureops.llm.common import scan, table, texts
-from featureops.llm.hashing import word_hashes
+from featureops.llm.common import scan, table, texts, words, written
 
 PASSAGE, STRIDE = 48, 16
 UNITS = PASSAGE // STRIDE
-RANK, EXTRA = 128, 16
+RANK, EXTRA = 64, 16
 COMMON, FEW = 0.02, 6
-COSINE = 0.4
+COSINE = 0.5
 SURE, LIKELY = 0.75, 0.5
 ITEM_BLOCK = 2_000
 BLOCK = 4_096  # passages compared at once
+PRODUCT = 30_000  # values multiplied at once
 
 
 class Items:
-    """A block of benchmark items: their words, and the vocabulary of all of them."""
+    """A block of benchmark items: their words as terms, which are numbers in the vocabulary of all of them."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
-        kept = [(i, t, word_hashes(t)[0]) for i, t in rows]
-        kept = [k for k in kept if len(k[2])]
-        self.ids = [k[0] for k in kept]
-        self.words = [k[2] for k in kept]
-        self.answers = [answer_of(k[1], k[2]) for k in kept]
-        self.vocabulary = np.unique(np.concatenate(self.words)) if kept else np.zeros(0, "u8")
+        kept = [(i, t, row) for i, t in rows if (row := words(t))]
+        self.ids = [i for i, _, _ in kept]
+        self.term_of = {w: k for k, w in enumerate(sorted({w for _, _, row in kept for w in row}))}
+        self.terms = [np.array([self.term_of[w] for w in row], "i4") for _, _, row in kept]
+        self.answers = [answer_of(t, row) for (_, t, _), row in zip(kept, self.terms)]
+        self.size = len(self.term_of)
 
-    def terms(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of words in the vocabulary, and their terms."""
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        where = np.flatnonzero(self.vocabulary[at] == words)
-        return where, at[where]
 
-
-def answer_of(text: str, words: np.ndarray) -> np.ndarray:
+def answer_of(text: str, terms: np.ndarray) -> np.ndarray:
     parts = [p for p in re.split(r"(?<=[.!?])\s+|\n+", text) if p.split()]
-    n = len(parts[-1].encode().split()) if len(parts) > 1 else max(1, len(words) // 3)
-    return words[-n:]
+    n = len(parts[-1].encode().split()) if len(parts) > 1 else max(1, len(terms) // 3)
+    return terms[-n:]
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -78,30 +72,61 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def frequencies(docs: DataFrame, items: Any) -> tuple[np.ndarray, int]:
+def coded(docs: DataFrame, items: Any) -> DataFrame:
+    """doc_id, n_words, at, terms: where the vocabulary's words stand in each text. Other words match no item."""
+
+    def make() -> Any:
+        get = items.value.term_of.get
+
+        def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
+            if batch is None:
+                return
+            out: dict[str, Any] = {"doc_id": batch.column(0), "n_words": [], "at": [], "terms": []}
+            for value in batch.column(1):
+                row = words(value.as_py())
+                ids = np.array([get(w, -1) for w in row], "i4")
+                at = np.flatnonzero(ids >= 0)
+                out["n_words"].append(len(row))
+                out["at"].append(at.astype("i4").tobytes())
+                out["terms"].append(ids[at].tobytes())
+            yield out
+
+        return step
+
+    return scan(docs.select("doc_id", "text"), make, "doc_id long, n_words long, at binary, terms binary")
+
+
+def stream(batch: pa.RecordBatch, first: int, unit: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch's coded rows from column ``first`` on: all terms, their units of ``unit`` words, numbered
+    through with ``gap`` empty ones after each row, and each row's first unit (one more for the end)."""
+    sizes = batch.column(first).to_numpy()
+    starts = np.concatenate([[0], np.cumsum(-(-sizes // unit) + gap)])
+    rows = batch.column(first + 1).to_pylist()
+    at = np.frombuffer(b"".join(rows), "i4")
+    terms = np.frombuffer(b"".join(batch.column(first + 2).to_pylist()), "i4")
+    return terms.astype("i8"), np.repeat(starts[:-1], [len(r) // 4 for r in rows]) + at // unit, starts
+
+
+def frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Number of passages with each term, over all documents, and of passages."""
 
     def make() -> Any:
-        known: Items = items.value
-        total = np.zeros(len(known.vocabulary) + 1, "i8")  # the last counts passages
+        total = np.zeros(size + 1, "i8")  # the last counts passages
 
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
+            nonlocal total
             if batch is None:
                 some = np.flatnonzero(total)
                 yield {"term": some, "n": total[some]}
                 return
-            size = len(known.vocabulary)
-            for value in batch.column(0):
-                words, _, _ = word_hashes(value.as_py())
-                where, terms = known.terms(words)
-                pairs = np.unique((where // PASSAGE) * size + terms)
-                np.add.at(total, pairs % size, 1)
-                total[size] += -(-len(words) // PASSAGE)
+            terms, group, starts = stream(batch, 0, PASSAGE, 0)
+            total += np.bincount(np.unique(group * size + terms) % size, minlength=size + 1)
+            total[size] += starts[-1]
 
         return step
 
-    got = scan(docs.select("text"), make, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(items.value.vocabulary) + 1, "i8")
+    got = scan(rows.select("n_words", "at", "terms"), make, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, "i8")
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out[:-1], int(out[-1])
 
@@ -109,8 +134,7 @@ def frequencies(docs: DataFrame, items: Any) -> tuple[np.ndarray, int]:
 def term_weights(items: Items, df: np.ndarray, passages: int) -> np.ndarray:
     """IDF; 0 for words that are too common to tell."""
     keep = df <= COMMON * passages
-    for words in items.words:
-        _, terms = items.terms(words)
+    for terms in items.terms:
         if keep[np.unique(terms)].sum() < FEW:
             keep[terms] = True
     return np.where(keep, np.log((1 + passages) / (1 + df)), 0.0).astype("f4")
@@ -141,12 +165,12 @@ def add_product(total: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarra
     total[term[order][first]] += np.add.reduceat(back, first, 0)
 
 
-def range_sketch(docs: DataFrame, items: Any, weights: np.ndarray, omega: Any) -> np.ndarray:
+def range_sketch(rows: DataFrame, weights: np.ndarray, omega: Any) -> np.ndarray:
     """A^T (A omega) over all passages: partial sums by task, then by term."""
     width = omega.value.shape[1]
 
     def make() -> Any:
-        known, draw = items.value, omega.value
+        draw = omega.value
         total = np.zeros(draw.shape, "f4")
 
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
@@ -154,15 +178,14 @@ def range_sketch(docs: DataFrame, items: Any, weights: np.ndarray, omega: Any) -
                 some = np.flatnonzero(total.any(1))
                 yield {"term": some, "part": [r.tobytes() for r in total[some]]}
                 return
-            groups, terms, at = [], [], 0
-            for value in batch.column(0):
-                words, _, _ = word_hashes(value.as_py())
-                where, t = known.terms(words)
-                keep = weights[t] > 0
-                groups.append(at + where[keep] // PASSAGE)
-                terms.append(t[keep])
-                at += -(-len(words) // PASSAGE)
-            add_product(total, rows_of(np.concatenate(groups), np.concatenate(terms), weights), draw)
+            terms, group, _ = stream(batch, 0, PASSAGE, 0)
+            keep = weights[terms] > 0
+            row, term, value = rows_of(group[keep], terms[keep], weights)
+            at = 0
+            while at < len(row):  # whole rows, some ten thousand values at once
+                to = int(np.searchsorted(row, row[min(at + PRODUCT, len(row) - 1)], "right"))
+                add_product(total, (row[at:to] - row[at], term[at:to], value[at:to]), draw)
+                at = to
 
         return step
 
@@ -179,7 +202,7 @@ def range_sketch(docs: DataFrame, items: Any, weights: np.ndarray, omega: Any) -
 
         return step
 
-    parts = scan(docs.select("text"), make, "term int, part binary")
+    parts = scan(rows.select("n_words", "at", "terms"), make, "term int, part binary")
     got = scan(parts.repartition("term"), add, "term int, part binary").toArrow()
     out = np.zeros(omega.value.shape)
     for term, part in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
@@ -187,18 +210,16 @@ def range_sketch(docs: DataFrame, items: Any, weights: np.ndarray, omega: Any) -
     return out
 
 
-def latent_space(docs: DataFrame, items: Any, weights: np.ndarray, passages: int) -> np.ndarray:
+def latent_space(rows: DataFrame, known: Items, weights: np.ndarray, passages: int) -> np.ndarray:
     """Leading right singular vectors (term, direction) of passages and benchmark together."""
-    known: Items = items.value
     size = len(weights)
     g = np.random.default_rng(2)
     draw = g.standard_normal((size, min(size, RANK + EXTRA))).astype("f4")
-    omega = docs.sparkSession.sparkContext.broadcast(draw)
-    sketch = range_sketch(docs, items, weights, omega)
+    omega = rows.sparkSession.sparkContext.broadcast(draw)
+    sketch = range_sketch(rows, weights, omega)
     own = np.zeros(draw.shape, "f4")
-    where = [known.terms(w)[1] for w in known.words]
-    add_product(own, rows_of(np.repeat(np.arange(len(where)), [len(t) for t in where]), np.concatenate(where), weights), draw)
-    sketch += own * max(1.0, passages / len(known.words))
+    add_product(own, rows_of(np.repeat(np.arange(len(known.terms)), [len(t) for t in known.terms]), np.concatenate(known.terms).astype("i8"), weights), draw)
+    sketch += own * max(1.0, passages / len(known.terms))
     # A^T A is near sketch core^+ sketch^T with core = omega^T sketch
     core = draw.T.astype("f8") @ sketch
     value, vector = np.linalg.eigh((core + core.T) / 2)
@@ -208,34 +229,25 @@ def latent_space(docs: DataFrame, items: Any, weights: np.ndarray, passages: int
     return u[:, :RANK]
 
 
-def matches(docs: DataFrame, items: Any, embed: Any) -> DataFrame:
-    """doc_id, item_id, cosine, lcs, answer of the pairs that pass the checks; one scan of the documents."""
+def matches(rows: DataFrame, items: Any, embed: Any) -> DataFrame:
+    """doc_id, item_id, cosine, lcs, answer of the pairs that pass the checks."""
 
     def make() -> Any:
         known, e = items.value, embed.value
         used = e.any(1)
-        each = np.zeros((len(known.words), e.shape[1]), "f4")
-        for i, words in enumerate(known.words):
-            each[i] = e[known.terms(words)[1]].sum(0)
+        each = np.stack([e[t].sum(0) for t in known.terms])
         size = np.linalg.norm(each, axis=1, keepdims=True)
         each = np.ascontiguousarray((each / np.maximum(size, 1e-12)).T)
 
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
             if batch is None:
                 return
-            all_words, first, units, terms, at = [], [], [], [], 0
-            for value in batch.column(1):
-                words, _, _ = word_hashes(value.as_py())
-                where, t = known.terms(words)
-                keep = used[t]
-                all_words.append(words)
-                first.append(at)
-                units.append(at + where[keep] // STRIDE)
-                terms.append(t[keep])
-                at += -(-len(words) // STRIDE) + UNITS - 1  # empty units keep passages within their document
-            first_unit = np.array(first)
-            unit, term = np.concatenate(units), np.concatenate(terms)
+            # empty units keep the passages within their document
+            terms, unit, first_unit = stream(batch, 1, STRIDE, UNITS - 1)
+            keep = used[terms]
+            term, unit = terms[keep], unit[keep]
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
+            read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
             # a passage begins at each unit up to two before one that has a word of the vocabulary
             busy = np.unique(unit)
             start = np.unique((busy[:, None] - np.arange(UNITS)).ravel())
@@ -248,15 +260,19 @@ def matches(docs: DataFrame, items: Any, embed: Any) -> DataFrame:
                 if a < b:
                     edge = np.flatnonzero(np.concatenate([[True], unit[a + 1 : b] != unit[a : b - 1]]))
                     sums[unit[a:b][edge] - part[0]] = np.add.reduceat(e[term[a:b]], edge, 0)
-                rows = sum(sums[part - part[0] + k] if k == 0 else np.where((part - part[0] + k < span)[:, None], sums[np.minimum(part - part[0] + k, span - 1)], 0) for k in range(UNITS))
-                norm = np.linalg.norm(rows, axis=1)
-                near = rows @ each
+                passages = sum(sums[part - part[0] + k] for k in range(UNITS))
+                norm = np.linalg.norm(passages, axis=1)
+                near = passages @ each
                 for p, i in np.argwhere(near >= COSINE * np.maximum(norm, 1e-9)[:, None]).tolist():
                     d = int(np.searchsorted(first_unit, part[p], "right")) - 1
-                    item, words = known.words[i], all_words[d]
-                    begin = (int(part[p]) - first[d]) * STRIDE
+                    item = known.terms[i]
+                    begin = (int(part[p]) - int(first_unit[d])) * STRIDE
                     more = STRIDE + max(0, len(item) - PASSAGE)
-                    around = words[max(0, begin - more) : begin + PASSAGE + more]
+                    if d not in read:
+                        read[d] = (np.frombuffer(batch.column(2)[d].as_py(), "i4"), np.frombuffer(batch.column(3)[d].as_py(), "i4"))
+                    at, own = read[d]
+                    low_at, high_at = np.searchsorted(at, [begin - more, begin + PASSAGE + more])
+                    around = own[low_at:high_at]
                     lcs = common_length(item, around) / len(item)
                     if lcs < LIKELY:
                         continue
@@ -272,7 +288,7 @@ def matches(docs: DataFrame, items: Any, embed: Any) -> DataFrame:
 
         return step
 
-    return scan(docs.select("doc_id", "text"), make, "doc_id long, item_id long, cosine double, lcs double, answer double")
+    return scan(rows.select("doc_id", "n_words", "at", "terms"), make, "doc_id long, item_id long, cosine double, lcs double, answer double")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -283,16 +299,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = max(1, -(-named.count() // ITEM_BLOCK))
     out: DataFrame | None = None
     for block in range(blocks):
-        rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        known = Items([tuple(r) for r in rows])
-        if not len(known.vocabulary):
+        some = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        known = Items([tuple(r) for r in some])
+        if not known.size:
             continue
         items = spark.sparkContext.broadcast(known)
-        df, passages = frequencies(docs, items)
+        rows = written(coded(docs, items), "leaks-coded")
+        df, passages = frequencies(rows, known.size)
         weights = term_weights(known, df, passages)
-        vectors = latent_space(docs, items, weights, passages)
+        vectors = latent_space(rows, known, weights, passages)
         embed = spark.sparkContext.broadcast((vectors * weights[:, None]).astype("f4"))
-        one = matches(docs, items, embed)
+        one = matches(rows, items, embed)
         out = one if out is None else out.union(one)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs double, answer double")
 

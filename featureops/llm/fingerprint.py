@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from featureops.llm.common import table, written
 
 BINS = 64
-DIGITS = 6  # hexadecimal digits of a bin in the fingerprint
+DIGITS = 4  # hexadecimal digits of a bin in the fingerprint
 BLOCK = 10_000  # ids in a block when neighbours are looked up
 # Fixed value: white space between words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -95,11 +95,13 @@ def compared(docs: DataFrame) -> DataFrame:
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int").alias("half"))
     wanted = following(named.groupBy("id").agg(F.max("half").alias("half")))
     asked = wanted.select(F.col("next_id").alias("p"), "id", "half")
-    heads = rows.where("doc_id is not null").select("p", "h", "text").join(asked, "p").select("id", "h", F.substring("text", F.lit(1), F.col("half")).alias("head"))
-    heads = heads.groupBy(F.col("id").alias("p")).agg(F.min_by("head", "h").alias("head"))
+    # no filter on the rows here, or it would go below their exchange, which all branches share
+    heads = rows.select("p", "doc_id", "h", "text").join(asked, "p")
+    heads = heads.select("id", "h", F.when(F.col("doc_id").isNotNull(), F.substring("text", F.lit(1), F.col("half"))).alias("head"))
+    heads = heads.groupBy(F.col("id").alias("p")).agg(F.min_by("head", F.when(F.col("head").isNotNull(), F.col("h"))).alias("head"))
     kept = F.substring("text", F.lit(1), (size - half).cast("int"))
     mine = F.substring(F.coalesce("head", F.lit("")), F.lit(1), half)
-    both = rows.join(heads.select("p", F.lit(True).alias("named"), "head"), "p", "left").select(
+    both = rows.join(heads, "p", "left").select(
         "p", "doc_id", "h", "times", "text",
         F.concat(kept, F.when(F.col("doc_id").isNotNull(), mine).otherwise(F.lit(""))).alias("edited"))
 
