@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from featureops.llm.common import table, written
 
 BINS = 64
+EMPTY = "----"  # an empty bin
 DIGITS = 4  # hexadecimal digits of a bin in the fingerprint
+PARTS = 4  # partitions of texts for each shuffle partition
 BLOCK = 10_000  # ids in a block when neighbours are looked up
 # Fixed value: white space between words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,16 +52,19 @@ def fingerprints(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     weighted = split.select(*keys, F.explode(pairs).alias("term")).groupBy(*keys, "term").agg(F.count("*").cast("double").alias("w"))
     drawn = weighted.select(*keys, F.pmod(F.xxhash64("term", F.lit(0)), F.lit(BINS)).alias("bin"), sample(F.col("term"), F.col("w")).alias("a"))
     least = drawn.groupBy(*keys, "bin").agg(F.min("a").alias("a"))
-    sign = F.concat(F.lpad(F.hex("bin"), 2, "0"), F.lpad(F.right(F.hex(F.xxhash64("a")), F.lit(DIGITS)), DIGITS, "0"))
-    return least.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(sign)), " ").alias("fingerprint"))
+    sign = F.lpad(F.right(F.hex(F.xxhash64("a")), F.lit(DIGITS)), DIGITS, "0")
+    filled = least.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", sign.alias("s")))).alias("bins"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.try_element_at("bins", i), F.lit(EMPTY)))
+    return filled.select(*keys, F.array_join(places, "").alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Equal bins over the bins that one of two fingerprints has filled."""
-    left, right = F.split(a, " "), F.split(b, " ")
-    bins = lambda x: F.transform(x, lambda s: F.left(s, F.lit(2)))
-    some = F.size(F.array_intersect(left, right)) / F.size(F.array_union(bins(left), bins(right)))
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(some)
+    at = lambda x, i: F.substring(x, i * DIGITS + 1, F.lit(DIGITS))
+    places = F.sequence(F.lit(0), F.lit(BINS - 1))
+    same = F.size(F.filter(places, lambda i: (at(a, i) == at(b, i)) & (at(a, i) != EMPTY)))
+    some = F.size(F.filter(places, lambda i: (at(a, i) != EMPTY) | (at(b, i) != EMPTY)))
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(same / some)
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -87,7 +92,9 @@ def compared(docs: DataFrame) -> DataFrame:
     h = F.xxhash64("text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # p deals rows out by doc_id, and those without one by their text.
-    rows = rows.select(F.coalesce("doc_id", h).alias("p"), "doc_id", h.alias("h"), "text").repartition("p")
+    rows = rows.select(F.coalesce("doc_id", h).alias("p"), "doc_id", h.alias("h"), "text")
+    # the terms of a text take some twenty times its room while they are counted
+    rows = rows.repartition(PARTS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "p")
     rows = rows.groupBy("p", "doc_id", "h").agg(F.first("text").alias("text"), F.count("*").alias("times"))
     size = F.length("text").cast("long")
     half = F.floor(F.length("text") / 2).cast("int")
@@ -105,13 +112,19 @@ def compared(docs: DataFrame) -> DataFrame:
         "p", "doc_id", "h", "times", "text",
         F.concat(kept, F.when(F.col("doc_id").isNotNull(), mine).otherwise(F.lit(""))).alias("edited"))
 
-    kinds = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"))))
-    signs = fingerprints(both.select("p", "h", kinds.alias("x")).select("p", "h", "x.kind", "x.t"), ["p", "h", "kind"], "t")
-    of = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("fingerprint"))), F.lit(""))
-    signs = signs.groupBy("p", "h").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
-    info = both.select("p", "doc_id", "h", "times", size.alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    # What the result needs beside fingerprints rides along as the key of a third, one-word text.
+    note = F.concat_ws(" ", size.cast("string"), F.col("times").cast("string"), F.col("doc_id").isNotNull().cast("string"), F.sha2("edited", 256))
+    kind = lambda k, t, n: F.struct(F.lit(k).alias("kind"), t.alias("t"), n.alias("note"))
+    none = F.lit(None).cast("string")
+    kinds = F.explode(F.array(kind(0, F.col("text"), none), kind(1, F.col("edited"), none), kind(2, F.lit("-"), note)))
+    signs = fingerprints(both.select("p", "h", kinds.alias("x")).select("p", "h", "x.kind", "x.note", "x.t"), ["p", "h", "kind", "note"], "t")
     blank = F.lit("")
-    info = info.join(signs, ["p", "h"], "left").withColumns({c: F.coalesce(c, blank) for c in ("fingerprint", "edited_fingerprint")})
+    of = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("fingerprint"))), blank)
+    signs = signs.groupBy("p", "h").agg(F.split(F.max("note"), " ").alias("n"), of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
+    part = lambda i: F.get("n", F.lit(i))
+    info = signs.select(
+        "p", "h", F.when(part(2) == "true", F.col("p")).alias("doc_id"), part(1).cast("int").alias("times"), part(0).cast("long").alias("n_chars"),
+        part(3).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
     info = written(info, "cws-fingerprints")
 
     near = info.where("doc_id is not null").groupBy("p").agg(F.min_by("fingerprint", "h").alias("next_fingerprint"))
@@ -120,7 +133,7 @@ def compared(docs: DataFrame) -> DataFrame:
     out = info.join(near, "doc_id", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(one, edited).alias("near_edited"), likeness(one, other).alias("near_next"), "times")
-    return out.select(*out.columns[:-1], F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("again")).drop("again")
+    return out.select(*out.columns[:-1], F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("again")).drop("again")
 
 
 def op8_cws_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
