@@ -12,8 +12,8 @@
    every 31 words have a position, the stretches of a longer passage overlap and are joined, to any length.
 
 Suffixes are dealt out by range; those of a run with more than ``HOT`` occurrences are spread over ranges.
-Null, empty and short texts have no passages. Repeated rows (doc_id and text alike) count once; rows without
-doc_id are compared with each other by text hash, and their passages are returned without doc_id.
+Null, empty and short texts have no passages. Repeated rows (doc_id and text alike) count once; rows that share a
+doc_id, or have none, are documents of their own if their texts differ.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def sparse_suffixes(rows: DataFrame) -> DataFrame:
 
 
 def surroundings(rows: DataFrame) -> DataFrame:
-    """doc, named, text and marks (pos, run, n, partner, stays) -> a row for each mark.
+    """doc, doc_id, text and marks (pos, run, n, partner, stays) -> a row for each mark.
 
     The surroundings' words come as 32-bit hashes: right, and left from the position backwards; starts and
     ends are the words' own, in code points. Where a partner has the same surroundings, their outer
@@ -79,7 +79,7 @@ def surroundings(rows: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
             if batch is None:
                 return
-            names = ("doc", "named", "run", "n", "partner", "pos", "before", "after", "first", "last", "left", "right", "starts", "ends")
+            names = ("doc", "doc_id", "run", "n", "partner", "pos", "before", "after", "first", "last", "left", "right", "starts", "ends")
             out: dict[str, list] = {c: [] for c in names}
             for doc, named, value, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 text = value.as_py()
@@ -100,7 +100,7 @@ def surroundings(rows: DataFrame) -> DataFrame:
 
         return step
 
-    schema = ("doc long, named boolean, run long, n long, partner long, pos int, before int, after int, first int, last int, "
+    schema = ("doc long, doc_id long, run long, n long, partner long, pos int, before int, after int, first int, last int, "
               "left binary, right binary, starts array<int>, ends array<int>")
     return scan(rows, make, schema)
 
@@ -162,10 +162,10 @@ def stretches(rows: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Per repeated passage of a document: doc_id, start, end (code points, end exclusive), n_words, and
-    partner_doc_id, a document that shares its first stretch (its text's hash, if it has no doc_id)."""
-    h = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(3))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), h).alias("doc"), F.col("doc_id").isNotNull().alias("named"), F.coalesce("text", F.lit("")).alias("text"))
+    """Per repeated passage of a document: doc_id, start, end (code points, end exclusive), n_words."""
+    # doc tells documents apart that share a doc_id or have none
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     suffixes = written(sparse_suffixes(rows), "repeats-suffixes")
 
     runs = suffixes.groupBy("run").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("run", "n")
@@ -174,11 +174,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     marked = alive.join(same, ["run", "around"], "left").select(
         "doc", "run", "n", "pos", F.when(F.col("a") == F.col("doc"), F.col("z")).otherwise(F.col("a")).alias("partner"), (F.col("a") == F.col("doc")).alias("stays"))
     marks = marked.groupBy("doc").agg(F.collect_list(F.struct("pos", "run", "n", "partner", "stays")).alias("marks"))
-    held = rows.distinct().join(marks, "doc").select("doc", "named", "text", "marks")
+    held = rows.distinct().join(marks, "doc").select("doc", "doc_id", "text", "marks")
     found = written(surroundings(held), "repeats-around")
 
     whole = found.where((F.col("partner").isNotNull()) & (F.col("before") + F.col("after") >= MIN_WORDS)).select(
-        "doc", "named", (F.col("pos") - F.col("before")).alias("low"), (F.col("pos") + F.col("after")).alias("high"), "first", "last", "partner")
+        "doc", "doc_id", (F.col("pos") - F.col("before")).alias("low"), (F.col("pos") + F.col("after")).alias("high"), "first", "last", "partner")
     suffix = found.where("right is not null")
     matched: DataFrame | None = None
     for by, then in (("right", "left"), ("left", "right")):
@@ -188,20 +188,20 @@ def repeated(docs: DataFrame) -> DataFrame:
         matched = one if matched is None else matched.union(one)
     # Matches of one position overlap in it, so their union runs from the farthest word before to the farthest after.
     matched = matched.groupBy("doc", "pos").agg(F.max("before").alias("l"), F.max("after").alias("r"), F.min("partner").alias("partner"))
-    edges = suffix.select("doc", "named", "pos", "before", "starts", "ends")
+    edges = suffix.select("doc", "doc_id", "pos", "before", "starts", "ends")
     partly = matched.join(edges, ["doc", "pos"]).select(
-        "doc", "named", (F.col("pos") - F.col("l")).alias("low"), (F.col("pos") + F.col("r")).alias("high"),
+        "doc", "doc_id", (F.col("pos") - F.col("l")).alias("low"), (F.col("pos") + F.col("r")).alias("high"),
         F.get("starts", F.col("before") - F.col("l")).alias("first"), F.get("ends", F.col("before") + F.col("r") - 1).alias("last"), "partner")
 
     # At most one row for sixteen words of a document meets here.
-    order = Window.partitionBy("doc", "named").orderBy("low", "high")
+    order = Window.partitionBy("doc", "doc_id").orderBy("low", "high")
     reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = whole.union(partly).withColumn("new", F.when(F.col("low") < reach, 0).otherwise(1))
     islands = islands.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("doc", "named", "island").agg(
-        F.min("first").alias("start"), F.max("last").alias("end"), (F.max("high") - F.min("low")).cast("long").alias("n_words"), F.min_by("partner", "low").alias("partner"),
-    ).select(F.when(F.col("named"), F.col("doc")).alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", F.col("partner").alias("partner_doc_id"))
+    return islands.groupBy("doc", "doc_id", "island").agg(
+        F.min("first").alias("start"), F.max("last").alias("end"), (F.max("high") - F.min("low")).cast("long").alias("n_words"),
+    ).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words")
 
 
 def op10_sparse_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(table(spark, sf_dir, "documents")).drop("partner_doc_id")
+    return repeated(table(spark, sf_dir, "documents"))
