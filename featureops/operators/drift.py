@@ -5,9 +5,8 @@ all pooled values. Two exact plans compute it:
 
 * ``ks_by_column`` counts rows per distinct value and runs one window per column. It is meant
   for samples: at most 2 x ``sample_n`` values per column.
-* ``ks_full`` is for whole tables. It counts first, and hands small inputs to the plan above. For
-  the rest: counting rows per value bucket needs no shuffle of values, only
-  of bucket counts; at bucket edges the distance is then known exactly, and inside a bucket it
+* ``ks_full`` is for whole tables, of any size: counting rows per value bucket needs no shuffle of
+  values, only of bucket counts; at bucket edges the distance is then known exactly, and inside a bucket it
   is bounded. Only buckets whose bound beats the best edge are looked into, after splitting
   them again if they are still large.
 """
@@ -28,8 +27,8 @@ from ..params import DriftLimits
 KS_COLUMNS = ("col_pos", "col_name", "n_new", "n_ref", "ks", "p_value")
 
 
-def numeric_columns(schema: T.StructType, max_columns: int, exclude: Sequence[str] = ()) -> list[str]:
-    """Numeric and boolean columns in table order, cut to ``max_columns``."""
+def numeric_columns(schema: T.StructType, max_columns: int | None = None, exclude: Sequence[str] = ()) -> list[str]:
+    """Numeric and boolean columns in table order, cut to ``max_columns`` if that is given."""
     numeric = [
         f.name
         for f in schema
@@ -38,7 +37,7 @@ def numeric_columns(schema: T.StructType, max_columns: int, exclude: Sequence[st
     return numeric[:max_columns]
 
 
-def common_columns(new: DataFrame, ref: DataFrame, max_columns: int, exclude: Sequence[str] = ()) -> list[str]:
+def common_columns(new: DataFrame, ref: DataFrame, max_columns: int | None = None, exclude: Sequence[str] = ()) -> list[str]:
     """Cut first, then keep the columns the reference batch has too."""
     have = set(ref.columns)
     return [c for c in numeric_columns(new.schema, max_columns, exclude) if c in have]
@@ -168,7 +167,8 @@ def _new_splits(sample: DataFrame, buckets: int) -> dict[int, list[float]]:
 def _with_ties(points: list[float]) -> list[float]:
     """A value met more than once is frequent: the next double closes a bucket that holds it alone."""
     ties = {a for a, b in zip(points, points[1:]) if a == b}
-    return [*points, *(float(np.nextafter(v, np.inf)) for v in ties)]
+    after = (float(np.nextafter(v, np.inf)) for v in ties)
+    return [*points, *(v for v in after if np.isfinite(v))]  # nothing but infinity follows the largest double
 
 
 def _judge(edges: DataFrame, states: dict[int, _ColumnState]) -> None:
@@ -187,7 +187,8 @@ def _judge(edges: DataFrame, states: dict[int, _ColumnState]) -> None:
         new1, ref1, new0, ref0 = a1 / s.n_new, b1 / s.n_ref, a0 / s.n_new, b0 / s.n_ref
         s.best = float(np.max(np.abs(new1 - ref1), initial=0.0))
         ends = np.array([-np.inf, *s.splits, np.inf])
-        single = ends[bucket + 1] <= np.nextafter(ends[bucket], np.inf)  # one value: the edge says it all
+        # one value: the edge says it all; the last bucket holds infinity too
+        single = (ends[bucket + 1] <= np.nextafter(ends[bucket], np.inf)) & np.isfinite(ends[bucket + 1])
         hidden = (np.maximum(new1 - ref0, ref1 - new0) > s.best) & ~single
         s.open_buckets = {int(k): (int(x), int(y)) for k, x, y in zip(bucket[hidden], a0[hidden], b0[hidden])}
         s.largest_open = int(np.max((a + b)[hidden], initial=0))
@@ -216,15 +217,13 @@ def ks_full(
     columns: Sequence[str],
     min_values: int = DriftLimits.min_values,
     buckets: int = 1024,
-    rounds: int = 3,
     bucket_rows: int = 5_000_000,
-    one_level_rows: int = 2_000_000,
     seed: int = DriftLimits.seed,
 ) -> DataFrame:
     """Same result as ``ks_by_column`` on tables of any size. Reads its inputs several times.
 
-    Up to ``one_level_rows`` rows a column are left to one task per column; a bucket with more
-    than ``bucket_rows`` rows is split again before it is looked into. The driver sees bucket
+    A bucket with more than ``bucket_rows`` rows is split again before it is looked into, until none
+    is left or no split parts one any more (its rows then have few values). The driver sees bucket
     counts and split points only (columns x buckets numbers a round). Give stored tables as
     inputs, not long plans, as each round scans the compared columns again.
     """
@@ -234,8 +233,6 @@ def ks_full(
     wide = _wide(new, ref, columns)
     limit = max(min_values, 1)
     counts = _counts(wide, len(columns))
-    if max(n + m for n, m in counts) <= one_level_rows:
-        return ks_by_column(new, ref, columns, min_values)
     states = {
         i: _ColumnState(i, n, m, [0.0], largest_open=n + m)
         for i, (n, m) in enumerate(counts)
@@ -244,7 +241,7 @@ def ks_full(
     if not states:
         return ks_by_column(new, ref, [], min_values)
     active = list(states.values())
-    for _ in range(rounds):
+    while active:
         # the first sample is of whole rows, later ones are of the values in open buckets
         share = _sample_share(active, buckets)
         rows = wide if share == 1.0 else wide.sample(share, seed)
@@ -255,15 +252,15 @@ def ks_full(
             added = _new_splits(
                 _bucketed(_near_open(rows, active), active).join(opened, ["col_pos", "bucket"], "left_semi"), buckets
             )
+        before = sum(len(s.splits) for s in active)
         for s in active:
             s.splits = sorted({*s.splits, *added.get(s.pos, [])})
+        parted = sum(len(s.splits) for s in active) > before
         edges = _bucketed(wide, active).groupBy("col_pos", "bucket").agg(
             F.sum("is_new").alias("a"), F.sum(1 - F.col("is_new")).alias("b")
         )
         _judge(edges, {s.pos: s for s in active})
-        active = [s for s in states.values() if s.largest_open > bucket_rows]
-        if not active:
-            break
+        active = [s for s in states.values() if s.largest_open > bucket_rows] if parted else []
     done = [s for s in states.values() if s.open_buckets]
     head = spark.createDataFrame(
         [(s.pos, s.n_new, s.n_ref, s.best) for s in states.values()], "col_pos int, n_new bigint, n_ref bigint, edge double"
@@ -303,7 +300,7 @@ def top_columns(ks: DataFrame, n: int = 5) -> DataFrame:
 def drift_decision(ks: DataFrame, threshold: float = DriftLimits.ks_threshold) -> DataFrame:
     """One row: block when the worst D is strictly above the threshold; the first column wins ties.
 
-    ``ks`` has one row per compared column (at most ``max_columns``).
+    ``ks`` has one row per compared column.
     """
     worst = F.max(
         F.when(F.col("ks") > 0, F.struct("ks", (-F.col("col_pos")).alias("first"), "col_name", "p_value"))
@@ -341,15 +338,14 @@ def drift_gate(
     spark: SparkSession,
     limits: DriftLimits = DriftLimits(),
     exclude: Sequence[str] = (),
-    whole: bool = False,
 ) -> DataFrame:
-    """One decision row. ``whole`` compares all rows instead of ``sample_n`` rows a side."""
+    """One decision row over all rows and all numeric columns, unless ``limits`` names a sample or a number of columns."""
     if new is None or ref is None:
         return _skipped(spark, "missing feature_uri or latest_prefix")
     columns = common_columns(new, ref, limits.max_columns, exclude)
     if not columns:
         return _skipped(spark, "no common numeric columns")
-    if whole:
+    if limits.sample_n is None:
         ks = ks_full(new, ref, columns, limits.min_values, seed=limits.seed)
     else:
         ks = ks_by_column(

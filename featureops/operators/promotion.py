@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.compare import at_least
-from ..functions.parse import number_or_null
+from ..functions.parse import number_or_null, strip
 from ..params import TrainLimits
 
-# Texts that mean "drift blocks promotion" after trimming, in lower case.
+# The reason codes, and texts that mean "drift blocks promotion" after trimming, in lower case.
 TRUE_WORDS = ("1", "true", "yes", "y", "on")
 
 
 def promotion_decision(runs: DataFrame, threshold: float = TrainLimits.accuracy_threshold) -> DataFrame:
     """Adds ``decision`` and ``shadow_reason`` to runs with text columns ``accuracy``, ``drift_block``."""
-    drift = F.lower(F.trim(F.col("drift_block").cast("string"))).isin(*TRUE_WORDS)
+    drift = F.lower(strip(F.col("drift_block").cast("string"))).isin(*TRUE_WORDS)
     text = F.col("accuracy").cast("string")
     accuracy = number_or_null(text)
     reason = (

@@ -19,9 +19,6 @@ from ..params import FEATURE_COLS, LABEL_COL, RunSource, TrainLimits
 from ..session import instant_lit, written
 from .evaluation import classification_metrics
 
-# A table with one row per class is broadcast up to this many classes.
-MAX_BROADCAST_CLASSES = 100_000
-
 RUN_SCHEMA = (
     "run_id string, run_time timestamp, status string, reason string, env string, fs_version string, "
     "schema_hash string, feature_uri string, code_version string, C double, max_iter int, "
@@ -101,20 +98,17 @@ def split(
     label: str = LABEL_COL,
     limits: TrainLimits = TrainLimits(),
     stratify: bool = True,
-    n_classes: int | None = None,
 ) -> DataFrame:
     """Input rows with ``is_test``. ``key_cols`` identify a row.
 
     Each class gets one cut in the hash order, and the table of cuts (one row per class) is
-    joined to the rows. If ``n_classes`` says that table is small it is broadcast and the rows
-    are not shuffled at all. Without ``stratify`` the cut is one scalar.
+    joined to the rows; AQE broadcasts it where it is small. Without ``stratify`` the cut is one scalar.
     """
     h = order_hash(key_cols, limits.seed)
     if stratify:
-        small = n_classes is not None and n_classes <= MAX_BROADCAST_CLASSES
         quotas = split_quotas(df, label, limits.test_size)
-        cuts = hash_cuts(df, quotas, label, key_cols, limits.seed, small)
-        joined = df.join(F.broadcast(cuts) if small else cuts, label, "left")
+        cuts = hash_cuts(df, quotas, label, key_cols, limits.seed, False)
+        joined = df.join(cuts, label, "left")
         return joined.withColumn("is_test", F.coalesce(h <= F.col("_cut"), F.lit(False))).drop("_cut").select(
             *df.columns, "is_test"
         )
@@ -212,7 +206,7 @@ def train(
     stratify = can_stratify(check.n_rows, check.n_classes, check.min_class_rows, limits.test_size)
     typed = features.withColumn(LABEL_COL, F.col(LABEL_COL).cast("int"))
     # Written once and read back: fitting scans it many times, and lost executors must not redo the split.
-    parts = written(split(typed, key_cols, limits=limits, stratify=stratify, n_classes=check.n_classes), "split")
+    parts = written(split(typed, key_cols, limits=limits, stratify=stratify), "split")
     train_part, test_part = parts.where(~F.col("is_test")), parts.where("is_test")
     n_test = math.ceil(limits.test_size * check.n_rows)
     model = fit_classifier(train_part, check.n_rows - n_test, limits)

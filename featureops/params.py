@@ -35,8 +35,8 @@ class QualityLimits:
 @dataclass(frozen=True)
 class DriftLimits:
     ks_threshold: float = 0.20
-    sample_n: int = 2000
-    max_columns: int = 20
+    sample_n: int | None = None
+    max_columns: int | None = None
     min_values: int = 50
     seed: int = 42
 
@@ -51,7 +51,6 @@ class TrainLimits:
     accuracy_threshold: float = 0.60
     C: float = 1.0
     max_iter: int = 200
-    max_bytes: int | None = None
 
 
 @dataclass(frozen=True)

@@ -14,7 +14,7 @@ from ..operators.training import TrainResult, save_model, train
 from ..params import ENTITY_COL, DriftLimits, LabelRule, QualityLimits, RunSource, TrainLimits
 from ..session import configure
 from ..sources.contract import Contract
-from ..sources.feature_store import FeatureStore, size_guard
+from ..sources.feature_store import FeatureStore
 from ..sources.raw_events import read_raw_events, require_raw_data, typed_events
 
 
@@ -45,11 +45,11 @@ def build_version(
     return BuildResult(version, lines, batch_quality(store.read(version), quality))
 
 
-def gate_version(store: FeatureStore, version: str, limits: DriftLimits = DriftLimits(), whole: bool = False) -> DataFrame:
-    """Compare a version with the one before it (not with itself)."""
+def gate_version(store: FeatureStore, version: str, limits: DriftLimits = DriftLimits()) -> DataFrame:
+    """Compare a version with the newest published one before it: a blocked batch is no baseline."""
     previous = store.previous(version)
     ref = store.read(previous) if previous else None
-    return drift_gate(store.read(version), ref, [ENTITY_COL], store.spark, limits, whole=whole)
+    return drift_gate(store.read(version), ref, [ENTITY_COL], store.spark, limits)
 
 
 @dataclass
@@ -70,24 +70,25 @@ def release_version(
     schema_hash: str | None = None,
     drift: DriftLimits = DriftLimits(),
     limits: TrainLimits = TrainLimits(),
-    whole_drift: bool = False,
 ) -> ReleaseResult:
-    """Gate, train, record the run, decide, and publish the version if it is promoted."""
+    """Gate, train, record the run, decide, and publish the version if it is promoted.
+
+    A model goes to a folder of its run, ``<model_path>/run=<run_id>``; no run overwrites another's. The decision
+    carries the gate's reason."""
     spark = configure(store.spark)
     uri = store.feature_uri(version)
-    gate = gate_version(store, version, drift, whole_drift).first()
+    gate = gate_version(store, version, drift).first()
     source = RunSource(uri, version, schema_hash, env, code_version)
-    too_large = size_guard(spark, uri, limits.max_bytes)
-    result = train(store.read(version), [ENTITY_COL], source, run_time, limits, too_large)
+    result = train(store.read(version), [ENTITY_COL], source, run_time, limits)
     result.run.write.mode("append").json(runs_path)
     if result.model is not None:
-        save_model(result.model, model_path)
+        save_model(result.model, f"{model_path.rstrip('/')}/run={result.run_id}")
     decision = promotion_decision(
         result.run.select("run_id", F.col("accuracy").cast("string").alias("accuracy")).withColumn(
             "drift_block", F.lit(str(gate.block_promotion))
         ),
         limits.accuracy_threshold,
-    )
+    ).withColumn("drift_reason", F.lit(gate.reason))
     if decision.first().decision == "promote":
         store.publish(version, run_time)
     gate_row = spark.createDataFrame([gate], "block_promotion boolean, reason string, worst_col string, "

@@ -226,7 +226,7 @@ def shifted_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def halves_ks(new: DataFrame, ref: DataFrame) -> DataFrame:
-    return drift.ks_full(new, ref, drift.common_columns(new, ref, 20))
+    return drift.ks_full(new, ref, drift.common_columns(new, ref))
 
 
 def shown_decision(decision: DataFrame) -> DataFrame:
@@ -240,17 +240,17 @@ def drift_ks_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def drift_ks_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of a large table, by the bucket plan whatever the size."""
+    """All rows of a large table, by the bucket plan."""
     rows = table(spark, sf_dir, "lineitem")
     is_new = F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
-    columns = drift.numeric_columns(rows.schema, 20)
-    return shown(drift.ks_full(rows.where(is_new), rows.where(~is_new), columns, one_level_rows=0))
+    columns = drift.numeric_columns(rows.schema)
+    return shown(drift.ks_full(rows.where(is_new), rows.where(~is_new), columns))
 
 
 @query
 def sampled_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, ref = (exact_sample(side, 2000, DAY_KEY, 42) for side in halves(spark, sf_dir))
-    return shown(drift.ks_by_column(new, ref, drift.common_columns(new, ref, 20)))
+    return shown(drift.ks_by_column(new, ref, drift.common_columns(new, ref)))
 
 
 @query
@@ -280,13 +280,13 @@ def train_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training.split(day_features(spark, sf_dir), DAY_KEY, n_classes=3)
+    rows = training.split(day_features(spark, sf_dir), DAY_KEY)
     return shown(rows, *DAY_KEY, "label", "is_test")
 
 
 @query
 def stratified_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = training.split(day_features(spark, sf_dir), DAY_KEY, n_classes=3)
+    rows = training.split(day_features(spark, sf_dir), DAY_KEY)
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if("is_test").alias("n_test"))
 
 

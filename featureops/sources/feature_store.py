@@ -115,8 +115,8 @@ class FeatureStore:
         return self.published().agg(F.max_by("version", F.struct("published_at", "version")).alias("v")).first().v
 
     def previous(self, version: str) -> str | None:
-        """The newest finished version before this one; version ids sort by time."""
-        older = self.versions().where(F.col("version") < version)
+        """The newest published version before this one; version ids sort by time."""
+        older = self.published().where(F.col("version") < version)
         return older.agg(F.max("version").alias("v")).first().v
 
     def read(self, version: str) -> DataFrame:
@@ -145,17 +145,3 @@ def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
     )
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
-
-
-def size_guard(spark: SparkSession, path: str, max_bytes: int | str | None) -> str | None:
-    """A skip reason when the input is larger than the limit. An unusable limit does not block."""
-    try:
-        limit = int(str(max_bytes)) if max_bytes else 0
-    except ValueError:
-        return None
-    if limit == 0:
-        return None
-    size = stored_bytes(spark, path).first()["bytes"]
-    if 0 < size and limit < size:
-        return f"features too large: {size} bytes > {limit}"
-    return None

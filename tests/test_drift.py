@@ -25,14 +25,24 @@ def normal(mean, n, seed=42):
     return np.random.default_rng(seed).normal(mean, 1, n).tolist()
 
 
-def test_small_input_takes_the_short_plan(spark):
-    a, b = frame(spark, normal(0, 300)), frame(spark, normal(1, 300, 1))
-    assert ks_full(a, b, ["x"]).collect() == ks_by_column(a, b, ["x"]).collect()
+def test_extreme_and_hot_values(spark):
+    top = 1.7976931348623157e308
+    for x, y in (([top] * 60 + [1.0], [top] * 30 + [2.0] * 31), ([-top] * 50 + [math.inf] * 9, [top] * 50 + [-math.inf] * 9), ([7.0] * 400 + normal(0, 50), [7.0] * 10 + normal(1, 300))):
+        a, b = frame(spark, x), frame(spark, y)
+        for extra in ({}, {"buckets": 4, "bucket_rows": 5}):
+            assert ks_full(a, b, ["x"], 1, **extra).first().ks == pytest.approx(ks_by_column(a, b, ["x"], 1).first().ks)
+
+
+def test_every_column_is_compared(spark):
+    base = spark.range(200).select(*[(F.col("id") % 50).cast("double").alias(f"c{i}") for i in range(26)])
+    moved = base.withColumn("c24", F.col("c24") + 40)
+    row = drift_gate(moved, base, ["c0"], spark).first()
+    assert row.block_promotion and row.worst_col == "c24" and len(row.signals) == 26
 
 
 PLANS = {
     "one_level": lambda a, b, c=("x",), m=1: ks_by_column(a, b, c, m),
-    "buckets": lambda a, b, c=("x",), m=1: ks_full(a, b, c, m, buckets=8, bucket_rows=30, one_level_rows=0),
+    "buckets": lambda a, b, c=("x",), m=1: ks_full(a, b, c, m, buckets=8, bucket_rows=30),
 }
 
 
@@ -121,10 +131,10 @@ def features(spark, scale=1.0, n=300):
 
 @pytest.mark.parametrize("whole", [False, True])
 def test_gate(spark, whole):
-    limits = DriftLimits(sample_n=200)
-    blocked = drift_gate(features(spark, 3.0), features(spark), ["user_id"], spark, limits, ("user_id",), whole).first()
+    limits = DriftLimits(sample_n=None if whole else 200)
+    blocked = drift_gate(features(spark, 3.0), features(spark), ["user_id"], spark, limits, ("user_id",)).first()
     assert blocked.block_promotion and blocked.worst_col == "f"
-    fine = drift_gate(features(spark), features(spark), ["user_id"], spark, limits, (), whole).first()
+    fine = drift_gate(features(spark), features(spark), ["user_id"], spark, limits, ()).first()
     assert not fine.block_promotion and fine.reason.startswith("DRIFT_OK")
 
 

@@ -35,15 +35,14 @@ def test_training_check_columns(spark):
     assert row.status == "skip" and all(c in row.reason for c in FEATURE_COLS)
 
 
-@pytest.mark.parametrize("classes", [3, None])
-def test_stratified_split(spark, classes):
+def test_stratified_split(spark):
     labels = [0] * 331 + [1] * 97 + [2] * 29
-    rows = split(frame(spark, labels), ["user_id"], n_classes=classes).collect()
+    rows = split(frame(spark, labels), ["user_id"]).collect()
     assert len(rows) == len(labels) and rows[0].asDict().keys() >= {"user_id", "is_test", "label"}
     tests = Counter(r.label for r in rows if r.is_test)
     assert sum(tests.values()) == 92  # ceil(0.2 * 457)
     assert all(abs(tests[c] - 0.2 * labels.count(c)) < 1 for c in (0, 1, 2))
-    again = split(frame(spark, labels).repartition(5), ["user_id"], n_classes=classes).collect()
+    again = split(frame(spark, labels).repartition(5), ["user_id"]).collect()
     assert {r.user_id for r in rows if r.is_test} == {r.user_id for r in again if r.is_test}
 
 
