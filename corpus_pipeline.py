@@ -25,7 +25,9 @@ def keyed(docs: DataFrame) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts."""
     docs = docs.select(*COLUMNS)
-    return quality.scored(docs, table(spark, sf_dir, "labels"), keys=COLUMNS).where("predicted = 1").select(*COLUMNS)
+    # Stored before it is filtered: a filter on the score would go below the statistics and repeat them for each rule.
+    scored = written(quality.scored(docs, table(spark, sf_dir, "labels"), keys=COLUMNS), "pipeline-scored")
+    return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
