@@ -6,6 +6,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from compare import connect, differences
+from featureops.plans.oracle import ORACLE
+from featureops.plans.registry import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ROWS_ONLY = {"model_scores"}  # a fitted model has no SQL form
@@ -18,7 +20,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     df = queries()[name](spark, SF_DIR)
     if name in ROWS_ONLY:
@@ -28,7 +30,8 @@ def test_query(spark, duck, name):
 
 
 def test_all_have_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY and set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY and set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
