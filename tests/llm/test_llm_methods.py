@@ -150,9 +150,10 @@ def test_join_in_many_cells(spark, monkeypatch):
     assert got == {i: (top(i), links[i]) for i in sets}
 
 
-def test_repeats_on_random_texts(spark):
+@pytest.mark.parametrize("hot", [repeats.HOT, 5])
+def test_repeats_on_random_texts(spark, hot):
     g = random.Random(9)
-    passages = [[f"p{k}w{i}" for i in range(g.randrange(40, 130))] for k in range(6)]
+    passages = [[f"p{k}w{i}" + "x" * (300 * (i % 17 == 0)) for i in range(g.randrange(40, 130))] for k in range(6)]
     rows = []
     for d in range(60):
         words = []
@@ -175,8 +176,9 @@ def test_repeats_on_random_texts(spark):
                 covered.update(range(i, i + 50))
         want[d] = len(covered)
     got = Counter()
-    for r in repeats.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    for r in repeats.repeated(spark.createDataFrame(rows, "doc_id long, text string"), hot).collect():
         got[r.doc_id] += r.n_words
+        assert len(rows[r.doc_id][1][r.start : r.end].split()) == r.n_words
     assert got == +want
 
 
