@@ -242,7 +242,7 @@ def drift_ks_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drift_ks_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of a large table, by the bucket plan."""
     rows = table(spark, sf_dir, "lineitem")
-    is_new = F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    is_new = F.coalesce(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz"), F.lit(False))
     columns = drift.numeric_columns(rows.schema)
     return shown(drift.ks_full(rows.where(is_new), rows.where(~is_new), columns))
 

@@ -123,9 +123,13 @@ class FeatureStore:
         return self.spark.read.parquet(self.feature_uri(version))
 
     def read_all(self) -> DataFrame:
-        """Every finished version, with its ``version`` column (filters on it prune folders)."""
+        """Every finished version, with its ``version`` column (filters on it prune folders).
+
+        Columns are the union over the versions, null where a version has none; a column whose type changed raises.
+        """
         finished = self.versions().select("version").distinct()
-        stored = self.spark.read.option("basePath", self._path("features")).parquet(self._path("features"))
+        reader = self.spark.read.option("basePath", self._path("features")).option("mergeSchema", True)
+        stored = reader.parquet(self._path("features"))
         return stored.join(finished, "version", "left_semi")
 
     def run_summary(self, pipeline: str) -> DataFrame:

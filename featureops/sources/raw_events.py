@@ -11,7 +11,7 @@ CELLS_COL = "_cells"
 _BAD_LINE = "_corrupt_record"
 # All characters that end a line.
 _LINE_BREAKS = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85\x{2028}\x{2029}]"
-_COMMA_OUTSIDE_QUOTES = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+_QUOTED = '"[^"]*("|$)'  # up to the line's end where the quote is never closed
 
 
 def read_raw_events(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -20,8 +20,12 @@ def read_raw_events(spark: SparkSession, path: str, multi_line: bool = False) ->
     A blank cell and a missing trailing cell both read as null, and only ``_cells`` tells them
     apart, so the CSV reader must parse whole lines (no column pruning). Leave ``multi_line``
     off unless quoted line breaks occur: files then stay splittable.
+
+    All files must have the same header; one that differs, in names or order, raises when it is read.
+    Only where the header has unnamed columns are files bound by position.
     """
     names = spark.read.option("header", True).option("escape", '"').csv(path).columns
+    named = not any(c == f"_c{i}" for i, c in enumerate(names))
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _BAD_LINE]])
     lines = (
         spark.read.schema(schema)
@@ -29,11 +33,12 @@ def read_raw_events(spark: SparkSession, path: str, multi_line: bool = False) ->
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("columnPruning", False)
+        .option("enforceSchema", not named)
         .option("columnNameOfCorruptRecord", _BAD_LINE)
         .csv(path)
     )
     counted = F.when(F.col(_BAD_LINE).isNull(), F.lit(len(names))).otherwise(
-        F.size(F.split(F.col(_BAD_LINE), _COMMA_OUTSIDE_QUOTES, -1))
+        F.size(F.split(F.regexp_replace(F.col(_BAD_LINE), _QUOTED, ""), ",", -1))
     )
     return lines.withColumn(CELLS_COL, counted).drop(_BAD_LINE)
 

@@ -155,3 +155,25 @@ def test_contract_document(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text(text, encoding="utf-8")
     assert read_contract(spark, str(path), "f") == parse_contract(text, "f")
+
+
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    folder = tmp_path / "raw"
+    folder.mkdir()
+    (folder / "a.csv").write_text("user_id,event_ts,session_length_sec\n1,2025-11-19T10:00:00,60\n")
+    (folder / "b.csv").write_text("user_id,event_ts,session_length_sec\n1,2025-11-19T11:00:00,20\n")
+    assert built(spark, str(folder))[1].f_avg_session_sec_7d == 40.0
+    (folder / "c.csv").write_text("session_length_sec,user_id,event_ts\n60,1,2025-11-19T10:00:00\n")
+    with pytest.raises(Exception, match="header"):
+        built(spark, str(folder))
+
+
+def test_cells_of_long_and_quoted_lines(spark, raw_file):
+    lines = ["user_id,event_ts,note", "1,x," + "," * 19_000, '2,"a,b","c ""d, e"" f",g', '3,x,"never, closed, at all', "4"]
+    rows = read_raw_events(spark, raw_file("\n".join(lines) + "\n")).select("user_id", "_cells").collect()
+    assert {r.user_id: r._cells for r in rows} == {"1": 19_003, "2": 4, "3": 3, "4": 1}
+
+
+def test_unnamed_header_cells_are_read(spark, raw_file):
+    f = built(spark, raw_file("user_id,event_ts,session_length_sec,\n1,2025-11-19T10:00:00,60,\n"))
+    assert f[1].f_avg_session_sec_7d == 60.0

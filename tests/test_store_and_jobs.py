@@ -121,3 +121,11 @@ def test_serving_table(spark, tmp_path):
     late = history(spark, [(9, 0, "a", 1.0)])  # before the mark: not picked up until a full refresh
     assert serving.advance(rows.union(late), "2026-01-11T00:00:00").count() == 3
     assert serving.refresh(rows.union(late), "2026-01-11T00:00:00").count() == 4
+
+
+def test_versions_with_other_columns_are_read_together(spark, store):
+    contract = parse_contract('{"feature_set": "act", "columns": [{"name": "user_id"}, {"name": "f_x"}]}', "act")
+    store.write(spark.sql("SELECT 1L AS user_id, 2.0D AS f_x, 3.0D AS f_old"), "2025-01-01T00:00:00", "p", "s", contract)
+    store.write(spark.sql("SELECT 1L AS user_id, 2.0D AS f_x, 4.0D AS f_new"), "2025-01-02T00:00:00", "p", "s", contract)
+    rows = store.read_all().orderBy("version").collect()
+    assert [(r.f_old, r.f_new) for r in rows] == [(3.0, None), (None, 4.0)]
