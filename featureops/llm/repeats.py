@@ -195,7 +195,9 @@ def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     suffixes = written(sparse_suffixes(rows), "repeats-suffixes")
 
+    # stored: a join that follows its aggregation in one stage could not be split where a run is hot
     runs = suffixes.groupBy("run").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("run", "n")
+    runs = written(runs, "repeats-runs")
     alive = written(suffixes.join(runs, "run"), "repeats-alive")
     same = alive.groupBy("run", "around").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z")
     marked = alive.join(same, ["run", "around"], "left").select(
