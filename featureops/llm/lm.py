@@ -1,15 +1,15 @@
-"""Language-model scores from a weighted backoff automaton.
+"""Language-model scores from a weighted backoff automaton, held as tables.
 
-Words are counted over all training rows. Words with at least ``1 / 2**HEAD_BITS`` of all tokens form the
-automaton's alphabet (so there are at most ``2**HEAD_BITS``); n-grams over them with at least
-``1 / 2**ARC_BITS`` of all tokens, and two occurrences, become arcs (at most ``2**ARC_BITS`` of an order).
-These shares bound what is sent to the executors at any corpus size; every count is taken over the whole
-corpus. Probabilities use absolute discounting; what a state's arcs leave goes to its failure arc, which
-leads to the state of the shorter history, and at the root to the exact smoothed count of the word. So
-the probabilities that follow a state sum to one.
+All words of the training rows are known, and all n-grams that occur ``LEAST`` times in them are arcs, at every
+corpus size. Probabilities use absolute discounting; what a state's arcs leave goes to its failure arc, which
+leads to the state of the shorter history, and at the root to the smoothed count of the word. So the
+probabilities that follow a state sum to one.
 
-A text is scored in one traversal from left to right that carries the state. Words outside the alphabet
-are too many to send; they are joined to the counts by word, and none of them can be a hot key.
+Nothing of the model is sent to the executors. An arc's history and end are arcs themselves, so the weight of a
+path is a sum over the n-grams of the text: a word gives its own weight and its failure arc's, and a longer n-gram
+that is an arc gives what it changes against backing off, and the failure arc of the state it leads to. Texts are
+cut into n-grams, joined to these weights and summed up. Weights are whole multiples of 1 / ``UNIT``, so that sums
+don't depend on their order. Words and n-grams are known by 64-bit hashes.
 
 Null and empty texts consist of the end token alone. Repeated rows are each scored, and each counted.
 With no training row at all, base_score and score are null.
@@ -17,261 +17,172 @@ With no training row at all, base_score and score are null.
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from featureops.llm.common import remainder, scan, table, words, written
+from featureops.llm.common import remainder, scan, table, written
+from featureops.llm.hashing import WORD_BASE, mixed, word_hashes
 
-ORDER = 3
-HEAD_BITS = 16
-ARC_BITS = 20
+LEAST = 2
 DISCOUNT = 0.75
 HOLD_MOD = 10
 ALPHA = 0.1
-END = "\n"  # stands for the end token; no word contains it
-FLUSH = 400_000  # counters held by a task
-WIDTH = HEAD_BITS + 1
+END = mixed(np.array([ord("\n") + 1], "u8"))  # the hash of a line end, which no word contains
+FLUSH = 2_000_000  # n-grams held by a task
+UNIT = float(1 << 36)
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """word, n over all texts of ``rows``, one END for each; counted within tasks before the shuffle."""
+def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of each pair."""
+    return mixed(a * WORD_BASE + mixed(b))
+
+
+def parts(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Words, bigrams and trigrams of a text as pairs: (word, 0), (history, word), (bigram, bigram). The end token
+    stands before the first word and after the last; no history ends with it but that of the first word."""
+    row = np.concatenate([END, word_hashes(text)[0], END])
+    two = linked(row[:-1], row[1:])
+    return [(row[1:], np.zeros(len(row) - 1, "u8")), (row[:-1], row[1:]), (two[:-1], two[1:])]
+
+
+def keys(k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What an n-gram is joined by: a word's own hash, or the pair's."""
+    return a if k == 1 else linked(a, b)
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """k (words), a, b, n over all texts of ``rows``; counted within tasks before the shuffle."""
 
     def make() -> Any:
-        held: Counter = Counter()
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
+        size = 0
 
-        def out() -> dict[str, Any]:
-            pairs = {"word": [w.decode() for w in held], "n": list(held.values())}
-            held.clear()
-            return pairs
+        def out() -> Iterator[dict[str, Any]]:
+            for k, pairs in enumerate(held, 1):
+                if pairs:
+                    a, b = (np.concatenate(x) for x in zip(*pairs))
+                    _, at, n = np.unique(keys(k, a, b), return_index=True, return_counts=True)
+                    yield {"k": np.full(len(at), k, "i1"), "a": a[at].view("i8"), "b": b[at].view("i8"), "n": n}
+                pairs.clear()
 
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
+            nonlocal size
             if batch is None:
-                yield out()
+                yield from out()
                 return
             for value in batch.column(0):
-                held.update(words(value.as_py()))
-                held[END.encode()] += 1
-                if len(held) > FLUSH:
-                    yield out()
+                for pairs, pair in zip(held, parts(value.as_py())):
+                    pairs.append(pair)
+                size += len(pair[0]) + 2
+                if size > FLUSH:
+                    size = 0
+                    yield from out()
 
         return step
 
-    return scan(rows.select("text"), make, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return scan(rows.select("text"), make, "k tinyint, a long, b long, n long").groupBy("k", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def alphabet_coded(rows: DataFrame, head: Any) -> DataFrame:
-    """Texts as ids of alphabet words; -1 marks others, which are listed with their counts."""
+def keyed(grams: DataFrame) -> DataFrame:
+    """Rows of k, a, b, n with ``key``."""
 
     def make() -> Any:
-        ids: dict[bytes, int] = head.value
-
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
             if batch is None:
                 return
-            coded, rare, times = [], [], []
-            for value in batch.column(3):
-                row = words(value.as_py())
-                found = [ids.get(w, -1) for w in row]
-                coded.append(np.array(found, "<i4").tobytes())
-                other = Counter(w for w, i in zip(row, found) if i < 0)
-                rare.append([w.decode() for w in other])
-                times.append(list(other.values()))
-            yield {"uid": batch.column(0), "doc_id": batch.column(1), "held_out": batch.column(2), "ids": coded, "rare": rare, "times": times}
+            k, a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy().view("u8"), batch.column(2).to_numpy().view("u8")
+            yield {c: batch.column(i) for i, c in enumerate("kabn")} | {"key": np.where(k == 1, a, linked(a, b)).view("i8")}
 
         return step
 
-    schema = "uid long, doc_id long, held_out boolean, ids binary, rare array<string>, times array<long>"
-    return scan(rows.select("uid", "doc_id", "held_out", "text"), make, schema)
+    return scan(grams.select("k", "a", "b", "n"), make, "k tinyint, a long, b long, n long, key long")
 
 
-def ngram_counts(coded: DataFrame, order: int, end: int, states: Any) -> DataFrame:
-    """Packed n-grams of alphabet words in the training rows, with counts. The end token stands before
-    the first word. Above bigrams, only those whose history is a state are counted."""
+def occurrences(rows: DataFrame) -> DataFrame:
+    """uid, key, m: the words and n-grams of each text, with how often they stand in it."""
 
     def make() -> Any:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def packed() -> dict[str, Any]:
-            grams, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, "i8"), np.zeros(0, "i8"))
-            held.clear()
-            return {"gram": grams, "n": n}
-
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
-            nonlocal size
             if batch is None:
-                yield packed()
                 return
-            # A row ends with an end token and the next begins after one; no n-gram crosses the breaks between.
-            stop = np.array([end], "<i4").tobytes()
-            gap = stop if order == 2 else stop + np.full(order - 2, -1, "<i4").tobytes() + stop
-            row = np.frombuffer(stop + gap.join(x.as_py() for x in batch.column(0)) + stop, "<i4").astype("i8")
-            grams, ok = row[: len(row) - order + 1].copy(), row[: len(row) - order + 1] >= 0
-            for k in range(1, order):
-                part = row[k : len(row) - order + 1 + k]
-                ok &= part >= 0
-                if k > 1:
-                    ok &= row[k - 1 : len(row) - order + k] != end  # no history ends with the end token
-                grams = grams << WIDTH | part
-            grams = grams[ok]
-            if states is not None and len(grams):
-                known, history = states.value, grams >> WIDTH
-                grams = grams[known[np.minimum(np.searchsorted(known, history), len(known) - 1)] == history] if len(known) else grams[:0]
-            held.append(grams)
-            size += len(grams)
-            if size > 4_000_000:
-                size = 0
-                yield packed()
+            for uid, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key, m = np.unique(np.concatenate([keys(k, a, b) for k, (a, b) in enumerate(parts(value.as_py()), 1)]), return_counts=True)
+                yield {"uid": np.full(len(key), uid), "key": key.view("i8"), "m": m.astype("i4")}
 
         return step
 
-    rows = coded.where("not held_out").select("ids")
-    return scan(rows, make, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class Automaton:
-    """States, weighted arcs and failure arcs. State 0 is the root; state 1 + w follows the word w."""
-
-    def __init__(self, counts: np.ndarray, total: int, distinct: int, end: int) -> None:
-        self.end, self.size = end, len(counts)
-        self.root = np.log10((counts + ALPHA) / (total + ALPHA * (distinct + 1)))
-        self.counts = counts
-        self.fail, self.back = [0] * (1 + self.size), [0.0] * (1 + self.size)
-        self.arcs: dict[int, tuple[float, int]] = {}
-        self.state_of: dict[int, int] = {w: 1 + w for w in range(self.size)}
-
-    def lower(self, state: int, word: int) -> float:
-        """log10 probability of a word after a state, along the failure arcs."""
-        weight = 0.0
-        while state:
-            if arc := self.arcs.get(state << WIDTH | word):
-                return weight + arc[0]
-            weight += self.back[state]
-            state = self.fail[state]
-        return weight + float(self.root[word])
-
-    def add(self, grams: np.ndarray, n: np.ndarray, of_history: dict[int, int], last: bool) -> None:
-        """Arcs of one order, whose histories are states already."""
-        mask = (1 << WIDTH) - 1
-        by: dict[int, list[tuple[int, int, int]]] = {}
-        for gram, k in zip(grams.tolist(), n.tolist()):
-            if (gram >> WIDTH) in self.state_of:
-                by.setdefault(gram >> WIDTH, []).append((gram & mask, k, gram))
-        fresh: dict[int, int] = {}
-        for history, arcs in by.items():
-            state, times = self.state_of[history], of_history[history]
-            taken, below, new = 0.0, 0.0, []
-            for word, k, gram in arcs:
-                p = (k - DISCOUNT) / times
-                taken += p
-                below += 10 ** self.lower(self.fail[state], word)
-                to = 1 + word
-                if not last and word != self.end:
-                    to = fresh[gram] = len(self.fail)
-                    self.fail.append(1 + word)
-                    self.back.append(0.0)
-                elif state > self.size:  # the longest history that is a state
-                    to = self.state_of.get((history & mask) << WIDTH | word, 1 + word)
-                new.append((word, math.log10(p), to))
-            self.back[state] = math.log10(max(1e-12, 1 - taken) / max(1e-12, 1 - below))
-            for word, weight, to in new:
-                self.arcs[state << WIDTH | word] = (weight, to)
-        self.state_of.update(fresh)
-
-    def run(self, ids: list[int]) -> tuple[float, float]:
-        """(base, score) of the words in the alphabet; for others, only the failure arcs are counted."""
-        arcs, back, fail, root = self.arcs, self.back, self.fail, self.root_list
-        state, base, score = 1 + self.end, 0.0, 0.0
-        for word in ids:
-            if word < 0:
-                while state:
-                    score += back[state]
-                    state = fail[state]
-                continue
-            base += root[word]
-            while True:
-                if arc := arcs.get(state << WIDTH | word):
-                    score += arc[0]
-                    state = arc[1]
-                    break
-                if not state:
-                    score += root[word]
-                    state = 1 + word
-                    break
-                score += back[state]
-                state = fail[state]
-        return base, score
-
-    def ready(self) -> "Automaton":
-        self.root_list = self.root.tolist()
-        return self
-
-
-def fetched(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The two columns of a table whose size the shares bound, in order of the first."""
-    rows = df.toArrow()
-    key, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-    order = np.argsort(key, kind="stable")
-    return key[order], n[order]
-
-
-def scored(docs: DataFrame, hold_mod: int = HOLD_MOD, order: int = ORDER) -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    # Numbers stay with their rows once stored: rows may share a doc_id or have none.
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), (remainder(hold_mod) == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    counts = written(word_counts(rows.where("not held_out")), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    head_rows = counts.where((F.col("n") * F.lit(1 << HEAD_BITS) >= F.lit(total)) | (F.col("word") == END)).toArrow() if total else None
-    head = dict(sorted(zip(head_rows.column(0).to_pylist(), head_rows.column(1).to_pylist()))) if total else {END: 0}
-    ids = {w.encode(): i for i, w in enumerate(head)}
-    end = ids[END.encode()]
-    coded = written(alphabet_coded(rows, spark.sparkContext.broadcast(ids)), "lm-coded")
-    least = F.greatest(F.lit(2), F.ceil(F.lit(total) / F.lit(1 << ARC_BITS)))
-    auto = Automaton(np.array(list(head.values()), "f8"), total, distinct, end)
-    of_history = dict(enumerate(head.values()))
-    states: Any = None
-    for n in range(2, order + 1):
-        grams, times = fetched(ngram_counts(coded, n, end, states).where(F.col("n") >= least))
-        auto.add(grams, times, of_history, n == order)
-        of_history = dict(zip(grams.tolist(), times.tolist()))
-        states = spark.sparkContext.broadcast(grams)
-    machine = spark.sparkContext.broadcast(auto)
+    return scan(rows.select("uid", "text"), make, "uid long, key long, m int")
 
-    def make() -> Any:
-        a = machine.value.ready()
 
+def lengths(rows: DataFrame) -> DataFrame:
+    """uid, doc_id, held_out, n_tokens."""
+
+    def make() -> Any:
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
             if batch is None:
                 return
-            out: dict[str, list] = {"n_tokens": [], "n_head": [], "head_base": [], "head_score": []}
-            for value in batch.column(3):
-                row = np.frombuffer(value.as_py(), "<i4").tolist() + [a.end]
-                base, score = a.run(row)
-                out["n_tokens"].append(len(row))
-                out["n_head"].append(sum(x >= 0 for x in row))
-                out["head_base"].append(base)
-                out["head_score"].append(score)
-            yield {"uid": batch.column(0), "doc_id": batch.column(1), "held_out": batch.column(2)} | out
+            yield {c: batch.column(i) for i, c in enumerate(("uid", "doc_id", "held_out"))} | {"n_tokens": [len(v.as_py().encode().split()) + 1 for v in batch.column(3)]}
 
         return step
 
-    walked = scan(coded.select("uid", "doc_id", "held_out", "ids"), make, "uid long, doc_id long, held_out boolean, n_tokens long, n_head long, head_base double, head_score double")
-    rare = coded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.times").alias("m"))
-    seen = rare.join(counts, "word", "left").groupBy("uid").agg(
-        F.sum(F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / F.lit(total + ALPHA * (distinct + 1)))).alias("rare_base"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("n_rare"))
-    known = F.coalesce("n_rare", F.lit(0)) + (F.col("n_head") if total else F.lit(0))
-    number = lambda c: F.when(F.lit(total > 0), F.col(c) + F.coalesce("rare_base", F.lit(0.0)))
-    return walked.join(seen, "uid", "left").select(
+    return scan(rows.select("uid", "doc_id", "held_out", "text"), make, "uid long, doc_id long, held_out boolean, n_tokens long")
+
+
+def failure(arcs: DataFrame, history: str) -> DataFrame:
+    """``history`` and back, the weight of its failure arc, from its arcs' probabilities p and those below."""
+    left = lambda c: F.greatest(F.lit(1e-12), 1 - F.sum(c))
+    return arcs.groupBy(history).agg(F.log10(left("p") / left("below")).alias("back"))
+
+
+def weights(counts: DataFrame, smoothed: Column) -> DataFrame:
+    """key, base, score (multiples of 1 / UNIT), known: what each word and arc adds to a text that it stands in;
+    ``smoothed`` is the probability of a word that occurs n times."""
+    # a hot history has a row for each arc here, and joins are split where one is
+    words = counts.where("k = 1").select("key", "n", smoothed.alias("below"))
+    two = counts.where("k = 2").join(words.select(F.col("key").alias("a"), F.col("n").alias("times")), "a")
+    two = two.join(words.select(F.col("key").alias("b"), "below"), "b").select("key", "a", "n", ((F.col("n") - DISCOUNT) / F.col("times")).alias("p"), "below")
+    two = written(two, "lm-bigrams")
+    three = counts.where("k = 3").join(two.select(F.col("key").alias("a"), F.col("n").alias("times")), "a")
+    three = three.join(two.select(F.col("key").alias("b"), F.col("p").alias("below")), "b").select("key", "a", ((F.col("n") - DISCOUNT) / F.col("times")).alias("p"), "below")
+    three = written(three, "lm-trigrams")
+    back_1, back_2 = failure(two, "a"), failure(three, "a")
+    own = lambda back: back.select(F.col("a").alias("key"), "back")
+    gain = F.log10("p") - F.log10("below")
+    whole = lambda c: F.round(c * UNIT).cast("long")
+    of_1 = words.join(own(back_1), "key", "left").select(
+        "key", whole(F.log10("below")).alias("base"), whole(F.log10("below") + F.coalesce("back", F.lit(0.0))).alias("score"), F.lit(1).alias("known"))
+    lost = lambda arcs, back: arcs.join(back, "a").select("key", (gain - F.col("back")).alias("gain"))
+    of_2 = lost(two, back_1).join(own(back_2), "key", "left").select(
+        "key", F.lit(0).cast("long").alias("base"), whole(F.col("gain") + F.coalesce("back", F.lit(0.0))).alias("score"), F.lit(0).alias("known"))
+    of_3 = lost(three, back_2).select("key", F.lit(0).cast("long").alias("base"), whole(F.col("gain")).alias("score"), F.lit(0).alias("known"))
+    return of_1.union(of_2).union(of_3)
+
+
+def scored(docs: DataFrame, hold_mod: int = HOLD_MOD) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    # uid names a row; rows that are alike share it, and their sums are divided by their number
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), (remainder(hold_mod) == 0).alias("held_out"), text.alias("text"))
+    counted = gram_counts(rows.where("not held_out")).where((F.col("k") == 1) | (F.col("n") >= LEAST))
+    counts = written(keyed(counted), "lm-counts")
+    total, distinct = counts.where("k = 1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    smoothed = lambda n: (n + ALPHA) / F.lit(total + ALPHA * (distinct + 1))
+    model = written(weights(counts, smoothed(F.col("n"))), "lm-weights")
+    sums = occurrences(rows).join(model, "key").groupBy("uid").agg(*(F.sum(F.col("m") * F.col(c)).alias(c) for c in ("base", "score", "known")))
+    held = lengths(rows)
+    sums = held.groupBy("uid").agg(F.count("*").alias("times")).join(sums, "uid", "left").select(
+        "uid", *((F.coalesce(c, F.lit(0)) / F.col("times")).alias(c) for c in ("base", "score", "known")))
+    out = held.join(sums, "uid")
+    known = F.round("known").cast("long")
+    unknown = (F.col("n_tokens") - known) * F.log10(smoothed(F.lit(0)))
+    number = lambda c: F.when(F.lit(total > 0), F.col(c) / UNIT + unknown)
+    return out.select(
         "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        number("head_base").alias("base_score"), number("head_score").alias("score"))
+        number("base").alias("base_score"), number("score").alias("score"))
 
 
 def op9_lm_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
