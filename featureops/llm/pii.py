@@ -4,9 +4,10 @@ The patterns give the base spans (email, ip, card, phone). Windows around a boun
 they stand and respelt ("name (at) host dot org", numbers without their plus sign or with other
 separators), are the labelled spans on which the tagger is trained; windows without a span, with version
 numbers and keys in them, are its counter-examples. Every stretch of every text that holds a digit, an
-at sign or a bracketed "at" is cut into overlapping windows, since each of the four kinds holds one of
-them; the windows are decoded, and the spans of all windows of a text compete in one weighted interval
-selection. A model span joins the result if it overlaps no base span and its digits fit its kind.
+at sign or a bracketed "at" is decoded as a whole with the text around it, since each of the four kinds holds
+one of them; the tags of a long stretch come from overlapping pieces, character by character, and a stretch is
+widened while a span meets its edge. So a span is found or not wherever it stands. The spans of a text compete in
+one weighted interval selection. A model span joins the result if it overlaps no base span and its digits fit its kind.
 
 Null and empty texts have no spans. Positions are code points, ends exclusive. Repeated rows each give a
 row. With fewer than ``LEAST`` windows to learn from, only the base spans are returned.
@@ -38,9 +39,11 @@ TRIGGER = re.compile(r"[0-9@]|[\[({<] ?at ?[\])}>]")
 
 SAMPLE = 3_000  # windows to learn from, of each sort
 LEAST = 30
-WIDTH, STRIDE = 64, 32
+WIDTH = 64  # of the windows to learn from
+REACH = 128  # characters around a trigger that are decoded with it
+PIECE = 1_024  # characters decoded at once
 SURE = 0.9  # least posterior probability of every character of a model span
-BATCH = 2_048  # windows decoded at once
+BATCH = 2_048  # pieces of WIDTH characters decoded at once
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -187,15 +190,16 @@ def trained(windows: list[tuple[str, int, int, int]]) -> Tagger | None:
     return Tagger(1 + 2 * len(KINDS)).fit(np.array(rows), np.array(tags))
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of overlapping windows over all stretches that hold a trigger, with a window to either side."""
-    wanted: dict[int, None] = {}
+def triggered(text: str) -> list[tuple[int, int]]:
+    """Stretches (start, end) around triggers, apart from each other."""
+    out: list[tuple[int, int]] = []
     for m in TRIGGER.finditer(text):
-        k = m.start() // STRIDE
-        for j in (k - 1, k, k + 1):
-            if j >= 0 and j * STRIDE < len(text):
-                wanted[j * STRIDE] = None
-    return sorted(wanted)
+        start, end = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((start, end))
+    return out
 
 
 def selected(spans: list[tuple[int, int, int, float]]) -> list[Span]:
@@ -216,28 +220,56 @@ def selected(spans: list[tuple[int, int, int, float]]) -> list[Span]:
     return out[::-1]
 
 
+def decoded(model: Tagger, rows: list[str], places: list[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tags and their posterior probabilities for each place (row, start, end). A place longer than ``PIECE`` is
+    decoded in pieces that overlap by half; each character has its tag from the piece in which it is farther from
+    an edge."""
+    pieces: list[tuple[int, int, int, int]] = []  # length with padding, place, start, end
+    for i, (_, s, e) in enumerate(places):
+        for at in range(s, max(s + 1, e - PIECE // 2), PIECE // 2):
+            to = min(e, at + PIECE)
+            pieces.append((-(-(to - at) // WIDTH) * WIDTH, i, at, to))
+    out = [(np.zeros(e - s, "i8"), np.zeros(e - s)) for _, s, e in places]
+    pieces.sort()
+    at = 0
+    while at < len(pieces):
+        long = pieces[at][0]
+        part = [x for x in pieces[at : at + max(1, BATCH * WIDTH // long)] if x[0] == long]
+        at += len(part)
+        tags, sure = model.decode(np.array([classes(rows[places[i][0]][a:b].ljust(long)) for _, i, a, b in part]))
+        for (_, i, a, b), row, p in zip(part, tags, sure):
+            _, s, e = places[i]
+            low, high = a + PIECE // 4 * (a > s), b - PIECE // 4 * (b < e)
+            out[i][0][low - s : high - s], out[i][1][low - s : high - s] = row[low - a : high - a], p[low - a : high - a]
+    return out
+
+
 def model_spans(model: Tagger, rows: list[str]) -> list[list[Span]]:
-    """Spans that the tagger finds in each text, reconciled over its windows."""
-    places = [(r, s) for r, text in enumerate(rows) for s in window_starts(text)]
+    """Spans that the tagger finds in each text. A stretch with a span at its edge is decoded again with more of
+    the text around it."""
+    places = [(r, s, e) for r, text in enumerate(rows) for s, e in triggered(text)]
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in rows]
-    for at in range(0, len(places), BATCH):
-        part = places[at : at + BATCH]
-        tags, sure = model.decode(np.array([classes(rows[r][s : s + WIDTH].ljust(WIDTH)) for r, s in part]))
-        for (r, s), row, p in zip(part, tags, sure):
-            if not row.any():
-                continue
-            i, width = 0, min(WIDTH, len(rows[r]) - s)
-            while i < width:
+    while places:
+        wider = []
+        for (r, s, e), (row, p) in zip(places, decoded(model, rows, places)):
+            some, new, cut = np.flatnonzero(row), [], False
+            i = int(some[0]) if len(some) else e - s
+            while i < e - s:
                 if row[i] == 0:
                     i += 1
                     continue
                 kind, j = (row[i] - 1) // 2, i + 1
-                while j < width and row[j] == 2 + 2 * kind:
+                while j < e - s and row[j] == 2 + 2 * kind:
                     j += 1
-                whole = (i > 0 or s == 0) and (j < WIDTH or s + j == len(rows[r]))
-                if whole and p[i:j].min() >= SURE:
-                    found[r].append((s + i, s + j, int(kind), float(p[i:j].sum())))
+                cut |= i == 0 and s > 0 or j == e - s and e < len(rows[r])
+                if p[i:j].min() >= SURE:
+                    new.append((s + i, s + j, int(kind), float(p[i:j].sum())))
                 i = j
+            if cut:
+                wider.append((r, max(0, s - (e - s)), min(len(rows[r]), e + (e - s))))
+            else:
+                found[r] += new
+        places = wider
     return [selected(x) for x in found]
 
 

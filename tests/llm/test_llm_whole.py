@@ -4,9 +4,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from featureops.llm import lm
+from featureops.llm import lm, pii, tagger
 
 
 def test_scores_equal_a_plain_backoff_model(spark):
@@ -52,3 +53,38 @@ def test_scores_equal_a_plain_backoff_model(spark):
         want = math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*x)) for x in zip(s, s[1:], s[2:]))
         assert r.score == pytest.approx(want, abs=1e-6) and r.base_score == pytest.approx(sum(math.log10(p1(w)) for w in s[1:]), abs=1e-6)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s) - 1, sum(w in c1 for w in s[1:]), total)
+
+
+class Marks:
+    """Tags runs of # and @ as a span of kind 0."""
+
+    def decode(self, x):
+        on = np.isin(x, tagger.classes("#@"))
+        first = on & ~np.pad(on, ((0, 0), (1, 0)))[:, :-1]
+        return np.where(on, 2 - first, 0), np.ones(x.shape)
+
+
+@pytest.mark.parametrize("size", [30, 46, 63, 64, 90, 120, 400, 3000])
+def test_spans_are_found_at_every_offset(size):
+    for offset in range(32):
+        for sign in (0, size // 2, size - 1):
+            span = "#" * sign + "@" + "#" * (size - sign - 1)
+            texts = ["x" * (640 + offset) + span + "y" * 700, "z" * offset + span, span + " end"]
+            assert pii.model_spans(Marks(), texts) == [[(640 + offset, 0, 640 + offset + size)], [(offset, 0, offset + size)], [(0, 0, size)]]
+
+
+def test_long_respelt_addresses_are_found_at_every_offset():
+    g = random.Random(3)
+    word = lambda: "".join(g.choices("aeiourstnl", k=g.randrange(2, 8)))
+    windows = []
+    for i in range(600):
+        span = [f"{word()}.{word()}@{word()}.{word()}.org", f"{i % 250}.{i % 201}.7.{i % 99}", f"+1 ({200 + i}) 555-{1000 + i}"][i % 3]
+        before, after = " ".join(word() for _ in range(2)) + " ", " " + " ".join(word() for _ in range(5))
+        windows.append(((before + span + after)[:64], [0, 1, 3][i % 3], len(before), len(before) + len(span)))
+        windows.append(((" ".join(word() for _ in range(4)) + f" version {i % 9}.0 " + word() * 5)[:64], -1, 0, 0))
+    model = pii.trained([w for w in windows if w[3] <= 64])
+    span = "first.last (at) department dot company dot org"
+    # the same words around it, so that offsets differ in nothing else
+    texts = [("stain rust tone lure " * 20)[offset:] + span + " tone sail" + " lure" * 60 for offset in range(32)]
+    found = [[t[s:e] for s, k, e in spans if k == 0] for t, spans in zip(texts, pii.model_spans(model, texts))]
+    assert all(span in x for x in found), found
