@@ -6,12 +6,11 @@
 2. Positions whose 20 words occur in two documents go on, with a digest of their surroundings (30 words to
    the left, 50 to the right). Where two documents have the same surroundings, all of it is repeated; one
    position of each such group stays as a neighbour for others.
-3. The remaining suffixes of a run are sorted, over all documents, by what follows them, and once more by
-   what precedes them; each is compared with the nearest one of another document on either side, and the match is
-   extended left and right. A match of 50 words or more within the surroundings is a repeated stretch. Since
-   every 31 words have a position, the stretches of a longer passage overlap and are joined, to any length.
+3. Each 50-word window belongs to the one minimiser it holds, the same in every occurrence. The windows of the
+   remaining positions are grouped by a 64-bit hash, and those that stand in two documents are repeated; this is
+   exact, whatever else surrounds them. Windows that overlap are joined, to passages of any length.
 
-Suffixes are dealt out by run; those of a run with more than ``HOT`` occurrences are sorted over ranges instead.
+A window's group keeps its least and its greatest document only, so a very frequent passage costs two numbers a task.
 Null, empty and short texts have no passages. Repeated rows (doc_id and text alike) count once; rows that share a
 doc_id, or have none, are documents of their own if their texts differ.
 """
@@ -31,15 +30,20 @@ from featureops.llm.hashing import code_points, sequence_hashes, span_hashes, wo
 MIN_WORDS = 50
 RUN = 20  # words that suffixes must share to be compared
 LEFT = MIN_WORDS - RUN  # and the number of runs less one in a window
-HOT = 4_096  # occurrences of a run beyond which they are dealt to several tasks
+HOT = 4_096  # no longer used: no run is held as a whole
 
 
-def minimisers(runs: np.ndarray, window: int = LEFT + 1) -> np.ndarray:
-    """Positions that have the least hash of one of the windows; the leftmost of equal ones."""
+def owners(runs: np.ndarray, window: int = LEFT + 1) -> np.ndarray:
+    """The position that has the least hash of each window; the leftmost of equal ones."""
     if len(runs) < window:
         return np.zeros(0, "i8")
     views = np.lib.stride_tricks.sliding_window_view(runs, window)
-    return np.unique(views.argmin(1) + np.arange(len(views)))
+    return views.argmin(1) + np.arange(len(views))
+
+
+def minimisers(runs: np.ndarray, window: int = LEFT + 1) -> np.ndarray:
+    """Positions that have the least hash of one of the windows."""
+    return np.unique(owners(runs, window))
 
 
 def sparse_suffixes(rows: DataFrame) -> DataFrame:
@@ -68,155 +72,69 @@ def sparse_suffixes(rows: DataFrame) -> DataFrame:
     return scan(rows.select("doc", "text"), make, "run long, around long, doc long, pos int")
 
 
-def packed(steps: np.ndarray) -> bytes:
-    """One byte a number where all fit, else four."""
-    return steps.astype("u1" if not len(steps) or steps.max() < 256 else "<i4").tobytes()
-
-
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, "u1" if len(data) == n else "<i4").astype("i8")
-
-
 def surroundings(rows: DataFrame) -> DataFrame:
-    """doc, doc_id, text and marks (pos, run, n, partner, stays) -> a row for each mark.
+    """doc, doc_id, text and marks (pos, partner, stays) -> doc, doc_id, window, low, high, first, last.
 
-    The surroundings' words come as 32-bit hashes: right, from the end of the run, and left from the position
-    backwards. ``at`` is where the position's word starts, in code points; ``steps`` lead from there to the start
-    of each word before, and to the end of each word after. Where a partner has the same surroundings, their
-    outer characters (first, last) are enough, unless the position stays as a neighbour for others."""
+    A position whose surroundings have a partner gives them as one repeated stretch, without a hash. Of the others,
+    and of those that stay as partners for them, come the windows that belong to the position."""
 
     def make() -> Any:
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
             if batch is None:
                 return
-            names = ("doc", "doc_id", "run", "n", "shared", "pos", "before", "after", "first", "last", "at", "left", "right", "steps")
+            names = ("doc", "doc_id", "window", "low", "high", "first", "last")
             out: dict[str, list] = {c: [] for c in names}
             for doc, named, value, marks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 text = value.as_py()
                 words, starts, ends = word_hashes(text)
                 starts, ends = code_points(text, starts), code_points(text, ends)
-                small = (words >> np.uint64(32)).astype(">u4")
-                for m in marks:
-                    p, shared = m["pos"], m["partner"] is not None
-                    low, high = max(0, p - LEFT), min(len(words), p + MIN_WORDS)
-                    row = [doc, named, m["run"], m["n"], shared, p, p - low, high - p, int(starts[low]), int(ends[high - 1]), int(starts[p])]
-                    if not shared or m["stays"]:
-                        steps = np.concatenate([np.diff(starts[low : p + 1])[::-1], np.diff(ends[p:high], prepend=starts[p])])
-                        row += [small[low:p][::-1].tobytes(), small[p + RUN : high].tobytes(), packed(steps)]
-                    else:
-                        row += [None] * 3
-                    for c, v in zip(names, row):
-                        out[c].append(v)
-            yield out
-
-        return step
-
-    schema = ("doc long, doc_id long, run long, n long, shared boolean, pos int, before int, after int, first int, last int, "
-              "at int, left binary, right binary, steps binary")
-    return scan(rows, make, schema)
-
-
-def padded(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(r) // 4 for r in rows])
-    return np.frombuffer(b"".join(r.ljust(4 * width, b"\0") for r in rows), ">u4").reshape(len(rows), width), sizes
-
-
-def leading(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Number of equal columns from the first, at most ``most``."""
-    equal = np.concatenate([a == b, np.zeros((len(a), 1), bool)], 1)
-    return np.minimum(equal.argmin(1), most)
-
-
-SORTED = ("run", "doc", "doc_id", "pos", "before", "at", "left", "right", "steps")
-
-
-def stretches(rows: DataFrame, whole: bool, hot: int) -> DataFrame:
-    """doc, doc_id, low, high, first, last: repeated stretches, from rows ``SORTED`` that are grouped by run.
-
-    With ``whole`` a run has at most ``hot`` rows and both orders are made here; without, the rows come in one
-    order already and are worked on in pieces."""
-
-    def make() -> Any:
-        held: list[tuple] = []  # rows of the run at hand, or the last of them where it is long
-        names = ("doc", "doc_id", "low", "high", "first", "last")
-
-        def neighbours(out: dict[str, list]) -> None:
-            n = len(held)
-            docs = np.array([h[1] for h in held])
-            change = np.flatnonzero(docs[1:] != docs[:-1])
-            if not len(change):
-                return
-            (left, nl), (right, nr) = padded([h[6] for h in held], LEFT), padded([h[7] for h in held], LEFT)
-            i = np.arange(n)
-            k = np.searchsorted(change, i)
-            back, ahead = change[np.maximum(k - 1, 0)], change[np.minimum(k, len(change) - 1)] + 1
-            for j, ok in ((back, k > 0), (ahead, k < len(change))):
-                r = RUN + leading(right, right[j], np.minimum(nr, nr[j]))
-                l = leading(left, left[j], np.minimum(nl, nl[j]))  # noqa: E741
-                for x in np.flatnonzero(ok & (l + r >= MIN_WORDS)).tolist():
-                    _, doc, named, pos, before, at, _, after, steps = held[x]
-                    chars = unpacked(steps, before + RUN + len(after) // 4)
-                    row = (doc, named, pos - int(l[x]), pos + int(r[x]), at - int(chars[: l[x]].sum()), at + int(chars[before : before + r[x]].sum()))
-                    for c, v in zip(names, row):
-                        out[c].append(v)
-
-        def work(more: bool, out: dict[str, list]) -> None:
-            nonlocal held
-            for by, then in ((7, 6), (6, 7)) if whole else ((None, None),):
-                if by is not None and len(held) > 1:
-                    held.sort(key=lambda h: (h[by], h[then], h[1], h[3]))
-                if len(held) > 1:
-                    neighbours(out)
-            last = next((x for x in range(len(held) - 2, -1, -1) if held[x][1] != held[-1][1]), None) if more else None
-            held = (([held[last]] if last is not None else []) + held[-1:]) if more else []
-
-        def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
-            out: dict[str, list] = {c: [] for c in names}
-            if batch is None:
-                work(False, out)
-            else:
-                for row in zip(*(batch.column(i).to_pylist() for i in range(len(SORTED)))):
-                    if held and (held[-1][0] != row[0] or (not whole and len(held) >= hot)):
-                        work(held[-1][0] == row[0], out)
-                    held.append(row)
+                shared = np.array([m["pos"] for m in marks if m["partner"] is not None], "i8")
+                low, high = np.maximum(0, shared - LEFT), np.minimum(len(words), shared + MIN_WORDS)
+                low, high = low[high - low >= MIN_WORDS], high[high - low >= MIN_WORDS]
+                own = [m["pos"] for m in marks if m["partner"] is None or m["stays"]]
+                at = np.flatnonzero(np.isin(owners(sequence_hashes(words, RUN)), own)) if own else np.zeros(0, "i8")
+                hashes = sequence_hashes(words, MIN_WORDS)[at].view("i8").tolist() if len(at) else []
+                low, high = np.concatenate([low, at]), np.concatenate([high, at + MIN_WORDS])
+                n = len(low)
+                for c, v in zip(names, ([doc] * n, [named] * n, [None] * (n - len(at)) + hashes, low.tolist(), high.tolist(), starts[low].tolist(), ends[high - 1].tolist())):
+                    out[c] += v
             yield out
 
         return step
 
-    return scan(rows.select(*SORTED), make, "doc long, doc_id long, low int, high int, first int, last int")
+    return scan(rows, make, "doc long, doc_id long, window long, low int, high int, first int, last int")
 
 
 def repeated(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per repeated passage of a document: doc_id, start, end (code points, end exclusive), n_words.
 
-    Runs with more than ``hot`` occurrences are dealt to several tasks, at most ``hot`` rows being held at once."""
+    ``hot`` is kept for callers; the result never depended on it, and the plan no longer does."""
     # doc tells documents apart that share a doc_id or have none
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     suffixes = written(sparse_suffixes(rows), "repeats-suffixes")
 
     # stored: a join that follows its aggregation in one stage could not be split where a run is hot
-    runs = suffixes.groupBy("run").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("run", "n")
+    runs = suffixes.groupBy("run").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("run")
     runs = written(runs, "repeats-runs")
     alive = written(suffixes.join(runs, "run"), "repeats-alive")
     same = alive.groupBy("run", "around").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z")
+    # Two documents of each group stay, as one may be the document that looks for a partner.
     marked = alive.join(same, ["run", "around"], "left").select(
-        "doc", "run", "n", "pos", F.when(F.col("a") == F.col("doc"), F.col("z")).otherwise(F.col("a")).alias("partner"), (F.col("a") == F.col("doc")).alias("stays"))
-    marks = marked.groupBy("doc").agg(F.collect_list(F.struct("pos", "run", "n", "partner", "stays")).alias("marks"))
+        "doc", "pos", F.when(F.col("a") == F.col("doc"), F.col("z")).otherwise(F.col("a")).alias("partner"), F.col("doc").isin(F.col("a"), F.col("z")).alias("stays"))
+    marks = marked.groupBy("doc").agg(F.collect_list(F.struct("pos", "partner", "stays")).alias("marks"))
     # one exchange by doc serves both the repeated rows and the join
     held = rows.dropDuplicates(["doc"]).join(marks, "doc").select("doc", "doc_id", "text", "marks")
-    found = written(surroundings(held), "repeats-around")
-
-    matched = found.where(F.col("shared") & (F.col("before") + F.col("after") >= MIN_WORDS)).select(
-        "doc", "doc_id", (F.col("pos") - F.col("before")).alias("low"), (F.col("pos") + F.col("after")).alias("high"), "first", "last")
-    suffix = found.where("right is not null")
-    matched = matched.union(stretches(suffix.where(F.col("n") <= hot).repartition("run").sortWithinPartitions("run"), True, hot))
-    for by, then in (("right", "left"), ("left", "right")):
-        spread = suffix.where(F.col("n") > hot).withColumn("spread", F.concat(by, then, F.hex("doc").cast("binary")))
-        placed = spread.repartitionByRange("run", "spread").sortWithinPartitions("run", by, then, "doc", "pos")
-        matched = matched.union(stretches(placed, False, hot))
-
-    # At most one row for sixteen words of a document meets here.
+    found = written(surroundings(held), "repeats-windows")
+
+    columns = ["doc", "doc_id", "low", "high", "first", "last"]
+    windows = found.where("window is not null")
+    # stored: a join that follows its aggregation in one stage could not be split where a window is hot
+    twice = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a <> z").select("window")
+    twice = written(twice, "repeats-twice")
+    matched = found.where("window is null").select(columns).union(windows.join(twice, "window").select(columns))
+
+    # At most one row for each word of a document meets here.
     order = Window.partitionBy("doc", "doc_id").orderBy("low", "high")
     reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = matched.withColumn("new", F.when(F.col("low") < reach, 0).otherwise(1))

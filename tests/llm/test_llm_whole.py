@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from featureops.llm import lm, pii, tagger
+from featureops.llm import lm, pii, repeats, tagger
 
 
 def test_scores_equal_a_plain_backoff_model(spark):
@@ -88,3 +88,30 @@ def test_long_respelt_addresses_are_found_at_every_offset():
     texts = [("stain rust tone lure " * 20)[offset:] + span + " tone sail" + " lure" * 60 for offset in range(32)]
     found = [[t[s:e] for s, k, e in spans if k == 0] for t, spans in zip(texts, pii.model_spans(model, texts))]
     assert all(span in x for x in found), found
+
+
+def test_repeats_around_a_very_frequent_line(spark):
+    """The nearest neighbours of a frequent line share less than 50 words, other occurrences more."""
+    g = random.Random(4)
+    line = [f"line{i}" for i in range(40)]
+    opening, closing = ([[f"{kind}{k}x{i}" for i in range(5)] for k in range(10)] for kind in "oc")
+    rows = []
+    for d in range(400):
+        own = lambda n: [f"u{g.randrange(10**7)}" for _ in range(n)]
+        rows.append((d, " ".join(own(g.randrange(20, 60)) + g.choice(opening) + line + g.choice(closing) + own(g.randrange(20, 60)))))
+    # a document with the same surroundings as others, and the same window elsewhere among other words
+    shared = [f"s{i}" for i in range(200)]
+    rows += [(500, " ".join(shared + ["gap"] * 3 + ["q", *shared[60:111], "r"])), (501, " ".join(shared))]
+    windows = defaultdict(set)
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 49):
+            windows[tuple(w[i : i + 50])].add(d)
+    want = Counter()
+    for d, t in rows:
+        w = t.split()
+        want[d] = len({x for i in range(len(w) - 49) if len(windows[tuple(w[i : i + 50])]) > 1 for x in range(i, i + 50)})
+    got = Counter()
+    for r in repeats.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] += r.n_words
+    assert got == +want
