@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from featureops.llm import lm, pii, repeats, tagger
+from featureops.llm import lm, pii, repeats, tagger, wrappers
 
 
 def test_scores_equal_a_plain_backoff_model(spark):
@@ -115,3 +115,15 @@ def test_repeats_around_a_very_frequent_line(spark):
     for r in repeats.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         got[r.doc_id] += r.n_words
     assert got == +want
+
+
+def test_repeated_groups_are_compared_whole():
+    menu, named, plain = "Menu entry " * 60, "<div class=row>%s</div><div class=row><article><p>%s</article></div><div class=row>Footer</div>", "<div>%s</div><div><p>%s</p></div><div>Footer</div>"
+    for shape in (named, plain):
+        pages = [f"<html><body>{shape % (menu, f'Text {i} is the only one of its kind on this host, number {i * 7}.')}</body></html>" for i in range(5)]
+        wrapper = wrappers.json.loads(wrappers.inferred(pages))
+        for i, page in enumerate(pages):
+            assert wrappers.main_text(page, wrapper) == f"Text {i} is the only one of its kind on this host, number {i * 7}."
+    # pages that agree in their first 400 characters
+    pages = [f"<html><body><div><div>{menu}{i}</div></div></body></html>" for i in range(5)]
+    assert all(wrappers.main_text(p, wrappers.json.loads(wrappers.inferred(pages))) for p in pages)
