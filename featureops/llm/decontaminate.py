@@ -8,7 +8,8 @@
    matrix O, the parts are summed by term, and the leading right singular vectors follow from the sum
    (Nystrom's form). Its size is bounded by the words of a block of ``ITEM_BLOCK`` items; a larger benchmark is
    worked off block by block.
-3. Every passage, at every 16th word, is projected and compared by cosine with all items, block against block.
+3. Every passage, at every 16th word, is projected and compared by cosine with all items, block against block;
+   items of at most ``SHORT`` words also with passages of 32 words.
    A pair over ``COSINE`` is checked in the text around it: the longest common subsequence with the item, as a
    share of the item's words, must reach ``SURE``, or ``LIKELY`` with as much as ``SURE`` of the answer
    (the item's last sentence; of a single sentence, its last third).
@@ -31,9 +32,10 @@ from featureops.llm.common import scan, table, texts, words, written
 
 PASSAGE, STRIDE = 48, 16
 UNITS = PASSAGE // STRIDE
-RANK, EXTRA = 64, 16
+SHORT, SHORT_UNITS = 24, 2  # items of so few words are compared with shorter passages, too
+RANK, EXTRA = 128, 16
 COMMON, FEW = 0.02, 6
-COSINE = 0.5
+COSINE = 0.4
 SURE, LIKELY = 0.75, 0.5
 ITEM_BLOCK = 2_000
 BLOCK = 4_096  # passages compared at once
@@ -238,6 +240,8 @@ def matches(rows: DataFrame, items: Any, embed: Any) -> DataFrame:
         each = np.stack([e[t].sum(0) for t in known.terms])
         size = np.linalg.norm(each, axis=1, keepdims=True)
         each = np.ascontiguousarray((each / np.maximum(size, 1e-12)).T)
+        short = np.flatnonzero([len(t) <= SHORT for t in known.terms])
+        kinds = [(UNITS, np.arange(len(known.terms)), each), (SHORT_UNITS, short, np.ascontiguousarray(each[:, short]))]
 
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
             if batch is None:
@@ -260,10 +264,14 @@ def matches(rows: DataFrame, items: Any, embed: Any) -> DataFrame:
                 if a < b:
                     edge = np.flatnonzero(np.concatenate([[True], unit[a + 1 : b] != unit[a : b - 1]]))
                     sums[unit[a:b][edge] - part[0]] = np.add.reduceat(e[term[a:b]], edge, 0)
-                passages = sum(sums[part - part[0] + k] for k in range(UNITS))
-                norm = np.linalg.norm(passages, axis=1)
-                near = passages @ each
-                for p, i in np.argwhere(near >= COSINE * np.maximum(norm, 1e-9)[:, None]).tolist():
+                pairs: dict[tuple[int, int], float] = {}
+                for units, which, those in kinds:
+                    passages = sum(sums[part - part[0] + k] for k in range(units))
+                    norm = np.maximum(np.linalg.norm(passages, axis=1), 1e-9)
+                    near = passages @ those
+                    for p, i in np.argwhere(near >= COSINE * norm[:, None]).tolist():
+                        pairs[p, int(which[i])] = max(pairs.get((p, int(which[i])), 0.0), float(near[p, i] / norm[p]))
+                for (p, i), cosine in pairs.items():
                     d = int(np.searchsorted(first_unit, part[p], "right")) - 1
                     item = known.terms[i]
                     begin = (int(part[p]) - int(first_unit[d])) * STRIDE
@@ -279,7 +287,7 @@ def matches(rows: DataFrame, items: Any, embed: Any) -> DataFrame:
                     answer = known.answers[i]
                     told = common_length(answer, around) / len(answer)
                     if lcs >= SURE or told >= SURE:
-                        found = (lcs, told, float(near[p, i] / norm[p]))
+                        found = (lcs, told, cosine)
                         best[d, i] = max(best.get((d, i), found), found)
             yield {
                 "doc_id": batch.column(0).take(pa.array([d for d, _ in best], pa.int64())), "item_id": [known.ids[i] for _, i in best],

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from featureops.llm import lm, pii, repeats, tagger, wrappers
+from featureops.llm import decontaminate, lm, pii, repeats, tagger, wrappers
 
 
 def test_scores_equal_a_plain_backoff_model(spark):
@@ -127,3 +127,27 @@ def test_repeated_groups_are_compared_whole():
     # pages that agree in their first 400 characters
     pages = [f"<html><body><div><div>{menu}{i}</div></div></body></html>" for i in range(5)]
     assert all(wrappers.main_text(p, wrappers.json.loads(wrappers.inferred(pages))) for p in pages)
+
+
+def test_leaks_equal_common_subsequences(spark):
+    """Short items with a quarter of their words replaced, among other words of the benchmark."""
+    g = random.Random(8)
+    pool = [f"v{i}" for i in range(900)]
+    items = [(i, [g.choice(pool) for _ in range(g.randrange(15, 21))]) for i in range(80)]
+    rows = []
+    for d in range(240):
+        words = list(items[d % 80][1])
+        for at in g.sample(range(len(words)), len(words) // 4):
+            words[at] = g.choice(pool)
+        rows.append((d, " ".join([g.choice(pool) for _ in range(g.randrange(40, 90))] + words + [g.choice(pool) for _ in range(g.randrange(40, 90))])))
+    number = {w: i for i, w in enumerate(pool)}
+    want = set()
+    for d, t in rows:
+        w = np.array([number[x] for x in t.split()])
+        for i, item in items:
+            known = np.array([number[x] for x in item])
+            if any(decontaminate.common_length(known, w[at : at + len(known)]) >= decontaminate.SURE * len(known) for at in range(len(w) - len(known) + 1)):
+                want.add((d, i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()}
+    assert len(want) >= 230 and want <= got, sorted(want - got)
