@@ -12,6 +12,7 @@ from featureops.llm.fingerprint import op8_cws_fingerprints
 from featureops.llm.lm import op9_lm_backoff_automaton
 from featureops.llm.ngram_join import op1_ngram_bayes_join
 from featureops.llm.pii import op5_pii_lstm_crf
+from featureops.llm.prefix_trie import op13_z_fast_trie
 from featureops.llm.quality import op4_quality_rule_ensemble
 from featureops.llm.repeats import op10_sparse_suffix_repeats
 from featureops.llm.toxicity import op3_toxicity_grammar
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_bayes_join, op2_html_wrappers, op3_toxicity_grammar, op4_quality_rule_ensemble, op5_pii_lstm_crf,
         op6_lsa_decontamination, op7_bpe_forced_boundaries, op8_cws_fingerprints, op9_lm_backoff_automaton, op10_sparse_suffix_repeats,
+        op13_z_fast_trie,
     )
 }

@@ -8,6 +8,10 @@ brute force, exact round trips and held-out labels.
 BLANK = r" \t\n\x0b\x0c\r"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# crc32 of a text, bit by bit; the list forms keep one state that each byte is mixed into
+CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
 SQL: dict[str, str] = {
     "op1_ngram_bayes_join": rf"""
         WITH RECURSIVE worded AS (
@@ -46,4 +50,28 @@ SQL: dict[str, str] = {
         SELECT spans.doc_id, CAST(a.s AS BIGINT) AS start, CAST(b.e AS BIGINT) AS "end", high - low + 1 AS n_words
         FROM spans JOIN words a ON a.doc_id = spans.doc_id AND a.i = low JOIN words b ON b.doc_id = spans.doc_id AND b.i = high
     """,
+    "op13_z_fast_trie": rf"""
+        WITH t AS (
+            SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                   coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+        known AS (SELECT conv_id AS c, conv_id - conv_id % 20 AS head, {CRC} % 4 AS h FROM t WHERE i = 1),
+        turns AS (
+            SELECT c, i, r, x FROM known JOIN t ON conv_id = c WHERE i > h
+            UNION ALL SELECT c, i, r, x FROM known JOIN t ON conv_id = head WHERE i <= h),
+        seqs AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY i) AS p FROM turns GROUP BY c),
+        whole AS (SELECT c, p, coalesce(len(p), 0) AS k FROM known LEFT JOIN seqs USING (c)),
+        members AS (SELECT c, d, coalesce(p[1:d], []) AS node, d = k AS ended FROM whole, LATERAL (SELECT unnest(range(k + 1)) AS d)),
+        nodes AS (
+            SELECT node, d, min(c) AS least, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ended), '')) AS ends_sha256,
+                   CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(node[d].x, '[^{BLANK}]+')) END AS words
+            FROM members GROUP BY node, d),
+        born AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+        above AS (
+            SELECT m.node, m.d, sum((n - 1) * words) AS saved, count(*) FILTER (born.node IS NULL) AS leaves
+            FROM nodes v JOIN members m ON m.c = v.least AND m.d <= v.d LEFT JOIN born ON born.node = v.node AND born.d = v.d GROUP BY ALL)
+        SELECT nodes.least AS conv_id, nodes.d AS depth, parent.least AS parent_conv_id, nodes.n AS n_convs, coalesce(n_children, 0) AS n_children,
+               leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, nodes.ends_sha256
+        FROM nodes JOIN above USING (node, d) LEFT JOIN born USING (node, d)
+             LEFT JOIN nodes parent ON parent.node = nodes.node[1:nodes.d - 1] AND parent.d = nodes.d - 1
+    """,
 }
