@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from featureops.llm.alignment import op12_asof_alignment
 from featureops.llm.bpe import op7_bpe_forced_boundaries
 from featureops.llm.decontaminate import op6_lsa_decontamination
 from featureops.llm.fingerprint import op8_cws_fingerprints
@@ -23,6 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_bayes_join, op2_html_wrappers, op3_toxicity_grammar, op4_quality_rule_ensemble, op5_pii_lstm_crf,
         op6_lsa_decontamination, op7_bpe_forced_boundaries, op8_cws_fingerprints, op9_lm_backoff_automaton, op10_sparse_suffix_repeats,
-        op13_z_fast_trie,
+        op12_asof_alignment, op13_z_fast_trie,
     )
 }
