@@ -17,6 +17,7 @@ from featureops.llm.prefix_trie import op13_z_fast_trie
 from featureops.llm.quality import op4_quality_rule_ensemble
 from featureops.llm.repeats import op10_sparse_suffix_repeats
 from featureops.llm.toxicity import op3_toxicity_grammar
+from featureops.llm.warc import op11_warc_sharded_writer
 from featureops.llm.wrappers import op2_html_wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_bayes_join, op2_html_wrappers, op3_toxicity_grammar, op4_quality_rule_ensemble, op5_pii_lstm_crf,
         op6_lsa_decontamination, op7_bpe_forced_boundaries, op8_cws_fingerprints, op9_lm_backoff_automaton, op10_sparse_suffix_repeats,
-        op12_asof_alignment, op13_z_fast_trie,
+        op11_warc_sharded_writer, op12_asof_alignment, op13_z_fast_trie,
     )
 }

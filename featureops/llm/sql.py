@@ -74,4 +74,15 @@ SQL: dict[str, str] = {
         FROM nodes JOIN above USING (node, d) LEFT JOIN born USING (node, d)
              LEFT JOIN nodes parent ON parent.node = nodes.node[1:nodes.d - 1] AND parent.d = nodes.d - 1
     """,
+    "op11_warc_sharded_writer": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT *, octet_length(encode(payload)) AS n, min(page_id) OVER (PARTITION BY payload) AS first,
+                     row_number() OVER (PARTITION BY payload ORDER BY page_id) AS k, sha1(payload) AS hex FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               -- five hexadecimal digits are four of base 32
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+                   (('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to
+        FROM d
+    """,
 }
