@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureops.llm.bpe import byte_signs
+from featureops.llm.bpe import PATTERN, byte_signs
 from featureops.llm.common import scan, table, texts, written
 
 BATCH_BYTES = 1 << 20  # text aligned at once
@@ -40,23 +41,39 @@ def public_vocabularies() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_level_encoder(source: str) -> tuple[Callable[[str], list[int]], list[bytes]]:
+    """Encoder of a byte-level vocabulary file (its JSON text), special tokens being plain text, and the bytes of its tokens.
+
+    Where ids follow the order of the merges, as usual, merging by rank is merging by id, which a rank table does
+    several times faster with the same ids; other files go through the library they are made for."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    spec, signs = json.loads(source), byte_signs()
+    vocab = spec["model"]["vocab"]
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+    tokens = [b""] * (1 + max([*vocab.values(), *special.values()]))
+    for token, i in [*vocab.items(), *special.items()]:
+        tokens[i] = token.encode() if token in special else bytes(signs[c] for c in token)
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    if all(x < y for x, y in zip(made, made[1:])):
+        ranks = {tokens[i]: i for token, i in vocab.items() if token not in special}
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, tokens
+    plain = Tokenizer.from_str(source)
+    plain.no_truncation()
+    plain.no_padding()
+    plain.encode_special_tokens = True
+    return lambda text: plain.encode(text, add_special_tokens=False).ids, tokens
+
+
 class Sides:
     """Both tokenizers (from their files' contents), the bytes of their tokens and the tables that follow from them."""
 
     def __init__(self, byte_level: str, pieces: bytes) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(byte_level)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+        self.a_ids, self.a_bytes = byte_level_encoder(byte_level)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        signs = byte_signs()
-        as_bytes = lambda s: bytes(signs[c] for c in s) if all(c in signs for c in s) else s.encode()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = as_bytes(token)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.a_size, self.b_size = (np.array(list(map(len, t))) for t in (self.a_bytes, self.b_bytes))
@@ -68,10 +85,11 @@ class Sides:
         if not text:
             return None
         whole = f" {text}".encode()
-        a, b = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+        a, b = np.array(self.a_ids(f" {text}"), np.int64), self.b.encode(text)
+        # the byte-level side cuts the text's own bytes, so that a shorter sum is the only way to differ
+        if self.a_size[a].sum() != len(whole) or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        return np.array(a, np.int64), np.array(b, np.int64)
+        return a, np.array(b, np.int64)
 
 
 _SIDES: dict[int, Sides] = {}

@@ -102,6 +102,25 @@ def test_very_long_texts(spark):
     assert by[3].groups_sha256 == want[3][-1]
 
 
+def test_rank_table_gives_the_ids_of_the_file(spark):
+    """The faster encoder against the library, over all texts of the small table and odd ones; and the other way of
+    encoding, for files whose ids don't follow their merges."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    source = open(alignment.public_vocabularies()[0], encoding="utf-8").read()
+    encode, _ = alignment.byte_level_encoder(source)
+    library = Tokenizer.from_str(source)
+    library.encode_special_tokens = True
+    texts = [t or "" for _, t in ROWS] + [r.text or "" for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    assert all(encode(t) == library.encode(t, add_special_tokens=False).ids for t in texts)
+    spec = json.loads(source)
+    spec["model"]["merges"] = spec["model"]["merges"][:2][::-1] + spec["model"]["merges"][2:]
+    other, _ = alignment.byte_level_encoder(json.dumps(spec))
+    assert all(other(t) == Tokenizer.from_str(json.dumps(spec)).encode(t, add_special_tokens=False).ids for t in texts[:5])
+
+
 def test_planes():
     for n in (0, 1, 5):
         x = np.array([random.randrange(1 << 32) for _ in range(n)], np.int64)
