@@ -173,8 +173,8 @@ def placed(rows: DataFrame, date: str) -> DataFrame:
     return scan(ranged.select(*columns), make, "part int, at long, size long, gz binary")
 
 
-def temporary_files(records: DataFrame, folder: str, date: str) -> DataFrame:
-    """Writes the records of each file, in order, under a name of this attempt; a manifest row per file."""
+def temporary_files(records: DataFrame, count: int, folder: str, date: str) -> DataFrame:
+    """Writes the records of each of ``count`` files, in order, under a name of this attempt; a manifest row per file."""
     names = ("name", "temporary", "records", "bytes", "sha256")
 
     def make() -> Any:
@@ -211,7 +211,8 @@ def temporary_files(records: DataFrame, folder: str, date: str) -> DataFrame:
 
         return step
 
-    ordered = records.repartition("file").sortWithinPartitions("file", "part", "at").select("file", "gz")
+    # one file a task: hashed numbers would now and then meet in one
+    ordered = records.repartitionById(count, F.col("file").cast("int")).sortWithinPartitions("file", "part", "at").select("file", "gz")
     return scan(ordered, make, "name string, temporary string, records long, bytes long, sha256 string")
 
 
@@ -250,7 +251,8 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = records.groupBy("part").agg(F.sum("size").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     dealt = records.join(F.broadcast(offsets), "part").withColumn("file", F.floor((F.col("offset") + F.col("at")) / F.lit(file_bytes)).cast("long"))
-    manifest = written(temporary_files(dealt, folder, date), "warc-attempts")
+    count = (records.agg(F.sum("size")).first()[0] or 0) // file_bytes + 1
+    manifest = written(temporary_files(dealt, count, folder, date), "warc-attempts")
     committed(manifest, folder).write.parquet(f"{folder}/manifest")
     files.delete_dir(f"{root}/_temporary")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
