@@ -2,8 +2,8 @@
 
 Rows are ordered by the MD5 of their key and a seed, so a selection does not depend on
 partitioning and can be repeated in any engine. No step sorts a whole table or a whole
-class in one task: counts per hash prefix find the prefix in which the cut lies, and only
-rows of that prefix are ranked.
+class in one task: counts per hash prefix, from one scan, find the prefix in which the cut
+lies, and only rows of that prefix are ranked.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_PREFIX_DIGITS = 3
+PREFIX_DIGITS = 4  # 65,536 prefixes: one row in as many is left for the last ranking
 
 
 def order_hash(key_cols: Sequence[str], seed: int) -> Column:
-    """32 hex digits; ``key_cols`` must identify a row."""
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed))))
+    """32 hex digits; ``key_cols`` must identify a row. Each part is written with its length, a null as a mark of its
+    own, so that no two keys are hashed alike."""
+    texts = [F.col(c).cast("string") for c in key_cols] + [F.lit(str(seed))]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]))
 
 
 def exact_sample(df: DataFrame, n: int, key_cols: Sequence[str], seed: int) -> DataFrame:
@@ -43,52 +45,25 @@ def exact_sample(df: DataFrame, n: int, key_cols: Sequence[str], seed: int) -> D
     )
 
 
-def _cut_by_prefix(hashed: DataFrame, group: Sequence[str], level: int) -> DataFrame:
-    """One row per group: the prefix holding the ``need``-th hash, and the rank left inside it."""
-    start = 1 + level * _PREFIX_DIGITS
-    prefix = F.substring("_order", start, _PREFIX_DIGITS)
-    counts = hashed.groupBy(*group, prefix.alias("_prefix")).agg(
-        F.count("*").alias("_cnt"), F.first("_need").alias("_need")
-    )
-    running = Window.partitionBy(*group).orderBy("_prefix")
-    return (
-        counts.withColumn("_upto", F.sum("_cnt").over(running))
-        .where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_cnt") < F.col("_need")))
-        .select(
-            *group,
-            F.col("_prefix").alias(f"_p{level}"),
-            (F.col("_need") - (F.col("_upto") - F.col("_cnt"))).alias("_need"),
-        )
-    )
+def prefix_counts(df: DataFrame, group: str, key_cols: Sequence[str], seed: int) -> DataFrame:
+    """(group, _prefix, _cnt): rows per group and hash prefix, in one scan. Class sizes, quotas and the prefixes in which
+    cuts lie all follow from it."""
+    prefix = F.substring(order_hash(key_cols, seed), 1, PREFIX_DIGITS).alias("_prefix")
+    return df.groupBy(group, prefix).agg(F.count("*").alias("_cnt"))
 
 
-def hash_cuts(
-    df: DataFrame,
-    quotas: DataFrame,
-    group: str,
-    key_cols: Sequence[str],
-    seed: int,
-    small: bool,
-    levels: int = 2,
-) -> DataFrame:
-    """(group, _cut): the hash of rank ``quota`` in every group with ``quota`` >= 1.
+def hash_cuts(df: DataFrame, counts: DataFrame, quotas: DataFrame, group: str, key_cols: Sequence[str], seed: int) -> DataFrame:
+    """(group, _cut): the hash of rank ``quota`` in every group with ``quota`` >= 1. A null is a group like any other.
 
-    ``quotas`` has one row per group: (group, quota). Two levels of three digits leave about
-    one row in 16 million for the last ranking. The tables joined here have one row per group;
-    they are broadcast if the caller knows the groups to be few (``small``).
-    """
-    hint = F.broadcast if small else (lambda table: table)
+    ``quotas`` has one row per group: (group, quota). The prefix of a cut is read off the counts; only its rows are
+    ranked, in a second scan of ``df``."""
+    wanted = quotas.where(F.col("quota") >= 1).select(F.col(group).alias("_group"), F.col("quota").alias("_need"))
+    running = Window.partitionBy(group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("_upto", F.sum("_cnt").over(running))
+    cut = upto.join(wanted, F.col(group).eqNullSafe(F.col("_group"))).where(
+        (F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_cnt") < F.col("_need"))
+    ).select("_group", F.col("_prefix").alias("_at"), (F.col("_need") - (F.col("_upto") - F.col("_cnt"))).alias("_rest"))
     hashed = df.select(F.col(group), order_hash(key_cols, seed).alias("_order"))
-    wanted = quotas.where(F.col("quota") >= 1).select(group, F.col("quota").alias("_need"))
-    rest = hashed.join(hint(wanted), group)
-    for level in range(levels):
-        cut = _cut_by_prefix(rest, [group], level)
-        start = 1 + level * _PREFIX_DIGITS
-        rest = (
-            rest.drop("_need")
-            .join(hint(cut), group)
-            .where(F.substring("_order", start, _PREFIX_DIGITS) == F.col(f"_p{level}"))
-            .drop(f"_p{level}")
-        )
-    ranked = rest.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_order")))
-    return ranked.where(F.col("_rank") == F.col("_need")).select(group, F.col("_order").alias("_cut"))
+    near = hashed.join(cut, F.col(group).eqNullSafe(F.col("_group")) & (F.substring("_order", 1, PREFIX_DIGITS) == F.col("_at")))
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_order")))
+    return ranked.where(F.col("_rank") == F.col("_rest")).select(group, F.col("_order").alias("_cut"))

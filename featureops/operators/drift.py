@@ -13,8 +13,9 @@ all pooled values. Two exact plans compute it:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
@@ -171,14 +172,14 @@ def _with_ties(points: list[float]) -> list[float]:
     return [*points, *(v for v in after if np.isfinite(v))]  # nothing but infinity follows the largest double
 
 
-def _judge(edges: DataFrame, states: dict[int, _ColumnState]) -> None:
+def _judge(edges: Iterable[tuple[int, int, int, int]], states: dict[int, _ColumnState]) -> None:
     """Exact distance at bucket edges, and the buckets that may hide a larger one.
 
-    ``edges`` has at most (columns x buckets) rows.
+    ``edges`` are (column, bucket, new rows, reference rows): at most columns x buckets.
     """
     per_col: dict[int, list[tuple[int, int, int]]] = {pos: [] for pos in states}
-    for r in edges.collect():
-        per_col[r.col_pos].append((r.bucket, r.a, r.b))
+    for pos, bucket, a, b in edges:
+        per_col[pos].append((bucket, a, b))
     for pos, found in per_col.items():
         s = states[pos]
         bucket, a, b = np.array(sorted(found), dtype=np.int64).reshape(-1, 3).T
@@ -259,8 +260,13 @@ def ks_full(
         edges = _bucketed(wide, active).groupBy("col_pos", "bucket").agg(
             F.sum("is_new").alias("a"), F.sum(1 - F.col("is_new")).alias("b")
         )
-        _judge(edges, {s.pos: s for s in active})
+        _judge(((r.col_pos, r.bucket, r.a, r.b) for r in edges.collect()), {s.pos: s for s in active})
         active = [s for s in states.values() if s.largest_open > bucket_rows] if parted else []
+    return _open_and_finish(spark, wide, states, columns)
+
+
+def _open_and_finish(spark: SparkSession, wide: DataFrame, states: dict[int, _ColumnState], columns: Sequence[str]) -> DataFrame:
+    """The result rows: distances at edges, and inside the open buckets those of every value."""
     done = [s for s in states.values() if s.open_buckets]
     head = spark.createDataFrame(
         [(s.pos, s.n_new, s.n_ref, s.best) for s in states.values()], "col_pos int, n_new bigint, n_ref bigint, edge double"
@@ -290,6 +296,81 @@ def ks_full(
     )
 
 
+# --- stored profiles --------------------------------------------------------------------------
+
+PROFILE_SCHEMA = "col_name string, bucket int, low double, high double, n bigint"
+
+
+def drift_profile(df: DataFrame, buckets: int = 1024, seed: int = DriftLimits.seed) -> DataFrame:
+    """Rows per value bucket [low, high) of every numeric column: what a later batch is compared with, in place of the
+    rows themselves. A frequent value has a bucket of its own. Bounds come from a sample, counts from all rows; the
+    profile has as many rows as columns x buckets, so it passes through the driver."""
+    spark = df.sparkSession
+    columns = numeric_columns(df.schema)
+    if not columns:
+        return spark.createDataFrame([], PROFILE_SCHEMA)
+    wide = _wide(df.limit(0), df, columns)
+    states = [_ColumnState(i, 0, m, [0.0], largest_open=m) for i, (_, m) in enumerate(_counts(wide, len(columns)))]
+    filled = [s for s in states if s.n_ref]
+    if filled:
+        added = _new_splits(_long(wide.sample(_sample_share(filled, buckets), seed), filled), buckets)
+        for s in filled:
+            s.splits = sorted({*s.splits, *added.get(s.pos, [])})
+    counts = _bucketed(wide, states).groupBy("col_pos", "bucket").agg(F.count("*").alias("n")).collect()
+    known = {(r.col_pos, r.bucket): r.n for r in counts}
+    inf = float("inf")
+    rows = [
+        (columns[s.pos], k, low, high, known.get((s.pos, k), 0))
+        for s in states for k, (low, high) in enumerate(zip([-inf, *s.splits], [*s.splits, inf]))
+    ]
+    return spark.createDataFrame(rows, PROFILE_SCHEMA)
+
+
+def profiled_columns(new: DataFrame, profile: DataFrame, max_columns: int | None = None, exclude: Sequence[str] = ()) -> list[str]:
+    have = {r[0] for r in profile.select("col_name").distinct().collect()}
+    return [c for c in numeric_columns(new.schema, max_columns, exclude) if c in have]
+
+
+def ks_from_profile(
+    new: DataFrame, profile: DataFrame, ref: DataFrame, columns: Sequence[str],
+    min_values: int = DriftLimits.min_values, bucket_rows: int = 5_000_000,
+) -> DataFrame:
+    """Same result as ``ks_full(new, ref, columns)`` from the stored profile of ``ref``.
+
+    The new batch is counted in the profile's buckets, in one scan. Where the bounds settle a column, no reference row is
+    read. Else only reference rows in the range of the open buckets are, by a filter that reaches the scan. If an open
+    bucket has more than ``bucket_rows`` rows, the profile is too coarse for these tables and ``ks_full`` takes over.
+    """
+    spark = new.sparkSession
+    stored: dict[str, list] = {}
+    for r in profile.where(F.col("col_name").isin(*columns)).orderBy("col_name", "bucket").collect():
+        stored.setdefault(r.col_name, []).append(r)
+    found = {c: sum(r.n for r in stored[c]) for c in columns if c in stored}
+    states = {
+        i: _ColumnState(i, 0, found[c], [r.low for r in stored[c]][1:]) for i, c in enumerate(columns) if found.get(c, 0) >= max(min_values, 1)
+    }
+    if not states:
+        return ks_by_column(new, ref, [], min_values)
+    new_wide = _wide(new, ref.limit(0), columns)
+    counts = _bucketed(new_wide, list(states.values())).groupBy("col_pos", "bucket").agg(F.count("*").alias("n")).collect()
+    fresh = {(r.col_pos, r.bucket): r.n for r in counts}
+    for (pos, _), n in fresh.items():
+        states[pos].n_new += n
+    states = {i: s for i, s in states.items() if s.n_new >= max(min_values, 1)}
+    if not states:
+        return ks_by_column(new, ref, [], min_values)
+    _judge(((i, r.bucket, fresh.get((i, r.bucket), 0), r.n) for i in states for r in stored[columns[i]]), states)
+    if any(s.largest_open > bucket_rows for s in states.values()):
+        return ks_full(new, ref, columns, min_values)
+    near = []
+    for s in states.values():
+        if s.open_buckets:
+            edges, c = [float("-inf"), *s.splits, float("inf")], F.col(f"`{columns[s.pos]}`")
+            near.append((c >= edges[min(s.open_buckets)]) & (c <= edges[max(s.open_buckets) + 1]))
+    reached = ref.where(reduce(lambda x, y: x | y, near)) if near else ref.limit(0)
+    return _open_and_finish(spark, _wide(new, reached, columns), states, columns)
+
+
 # --- decision ---------------------------------------------------------------------------------
 
 
@@ -320,14 +401,16 @@ def drift_decision(ks: DataFrame, threshold: float = DriftLimits.ks_threshold) -
     return row.select(block.alias("block_promotion"), reason.alias("reason"), "worst_col", "worst_ks", "worst_p", "signals")
 
 
-def _skipped(spark: SparkSession, reason: str) -> DataFrame:
-    return spark.range(1).select(
+def _skipped(rows: DataFrame, reason: str, **signals: Column) -> DataFrame:
+    """One row from a frame of one row."""
+    pairs = [x for name, value in signals.items() for x in (F.lit(name), value.cast("double"))]
+    return rows.select(
         F.lit(False).alias("block_promotion"),
         F.lit(f"DRIFT_SKIPPED: {reason}").alias("reason"),
         F.lit("-").alias("worst_col"),
         F.lit(0.0).alias("worst_ks"),
         F.lit(1.0).alias("worst_p"),
-        F.create_map().cast("map<string,double>").alias("signals"),
+        F.create_map(*pairs).alias("signals"),
     )
 
 
@@ -338,14 +421,22 @@ def drift_gate(
     spark: SparkSession,
     limits: DriftLimits = DriftLimits(),
     exclude: Sequence[str] = (),
+    profile: DataFrame | None = None,
 ) -> DataFrame:
-    """One decision row over all rows and all numeric columns, unless ``limits`` names a sample or a number of columns."""
+    """One decision row over all rows and all numeric columns, unless ``limits`` names a sample or a number of columns.
+
+    With the stored ``profile`` of the reference its rows are read only where the profile doesn't settle a column.
+    """
     if new is None or ref is None:
-        return _skipped(spark, "missing feature_uri or latest_prefix")
+        known = {name: F.lit(df is not None) for name, df in (("has_feature_uri", new), ("has_latest_prefix", ref))}
+        return _skipped(spark.range(1), "missing feature_uri or latest_prefix", **known)
     columns = common_columns(new, ref, limits.max_columns, exclude)
     if not columns:
-        return _skipped(spark, "no common numeric columns")
-    if limits.sample_n is None:
+        sizes = new.agg(F.count("*").alias("a")).join(ref.agg(F.count("*").alias("b")))
+        return _skipped(sizes, "no common numeric columns", new_rows=F.col("a"), ref_rows=F.col("b"))
+    if limits.sample_n is None and profile is not None:
+        ks = ks_from_profile(new, profile, ref, columns, limits.min_values)
+    elif limits.sample_n is None:
         ks = ks_full(new, ref, columns, limits.min_values, seed=limits.seed)
     else:
         ks = ks_by_column(

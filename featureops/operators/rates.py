@@ -1,25 +1,24 @@
 """Counter rates, error ratio, latency quantile and gauge minima on a grid of evaluation times.
 
-A window (t - w, t] is made of whole chunks, the chunk length being the greatest common divisor of
-window and step. Samples are ordered only inside a (series, chunk), so one busy series is
-spread over as many groups as its time span has chunks. What is left of a chunk is one summary
-
-    (n, first_ts, first_v, last_ts, last_v, inc)     inc = reset-corrected increase inside
-
-and only summaries, not samples, are copied to the windows that overlap.
+The grid is cut into groups of evaluations that span several windows. A sample is sent once to the group of the
+evaluations that can see it (a second time near a group's edge), and ordered there within its series. Running
+totals (rank and reset-corrected increase) then belong to each sample, and the gaps to its neighbours say for
+which evaluations it is the first or the last sample of the window. So a window's increase is a difference of two
+totals: nothing is copied to the windows that overlap, whatever their length and step, and there is one exchange.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.parse import number_or_null
 from ..params import LATENCY_METRIC, REQUESTS_METRIC, UP_METRIC, EvalGrid
-from ..sources.metric_samples import SERIES, label_matches, select_metric, series_key, series_labels, within
+from ..sources.metric_samples import SERIES, label_matches, select_metric, series_key, series_labels
 
 ERROR_STATUS = "5.."
+GROUP_WINDOWS = 8  # windows that a group of evaluations spans; one sample in so many is sent twice
 
 
 def _increase(previous: Column, value: Column) -> Column:
@@ -27,53 +26,74 @@ def _increase(previous: Column, value: Column) -> Column:
     return F.when(value >= previous, value - previous).when(previous.isNotNull(), value)
 
 
-def chunk_us(grid: EvalGrid, window_us: int) -> int:
-    return math.gcd(window_us, grid.step_us) if grid.last > 0 else window_us
+def first_evaluation(us: Column, grid: EvalGrid) -> Column:
+    """Number of the first evaluation at or after an instant (epoch microseconds); may lie outside the grid."""
+    past = us - grid.start_us + (grid.step_us - 1)
+    return ((past - F.pmod(past, F.lit(grid.step_us))) / grid.step_us).cast("bigint")
 
 
-def chunk_index(ts: Column, grid: EvalGrid, chunk: int) -> Column:
-    """Chunk i covers (start + (i-1) chunk, start + i chunk]."""
-    past = F.unix_micros(ts) - grid.start_us + (chunk - 1)
-    return ((past - F.pmod(past, F.lit(chunk))) / chunk).cast("bigint")
+def eval_time(number: Column, grid: EvalGrid) -> Column:
+    return F.timestamp_micros(F.lit(grid.start_us) + number * grid.step_us)
 
 
-def over_grid(chunks: DataFrame, grid: EvalGrid, window_us: int, chunk: int) -> DataFrame:
-    """Copy each chunk row to the evaluations ``k`` whose window holds it; adds ``eval_ts``."""
-    per_window = window_us // chunk
-    per_step = max(grid.step_us // chunk, 1)
-    i = F.col("chunk").cast("double")
-    first = F.greatest(F.lit(0), F.ceil(i / per_step).cast("int"))
-    last = F.least(F.lit(grid.last), F.floor((i + (per_window - 1)) / per_step).cast("int"))
-    seen = chunks.withColumn("_first", first).withColumn("_last", last).where(F.col("_first") <= F.col("_last"))
-    return (
-        seen.withColumn("_k", F.explode(F.sequence("_first", "_last")))
-        .withColumn("eval_ts", F.timestamp_micros(F.lit(grid.start_us) + F.col("_k").cast("bigint") * grid.step_us))
-        .drop("_first", "_last", "_k")
-    )
+def per_group(window_us: int, grid: EvalGrid) -> int:
+    return max(1, -(-GROUP_WINDOWS * window_us // grid.step_us))
 
 
-def chunk_summaries(counters: DataFrame, grid: EvalGrid, window_us: int, chunk: int) -> DataFrame:
-    placed = within(counters, grid, window_us).select(
-        "job", "namespace", series_key(), "ts", "value", chunk_index(F.col("ts"), grid, chunk).alias("chunk")
-    )
-    in_chunk = Window.partitionBy(*SERIES, "chunk").orderBy("ts", "value")
-    steps = placed.where(F.col("value").isNotNull()).withColumns(
-        {"_prev": F.lag("value").over(in_chunk), "_next": F.lead("value").over(in_chunk)}
-    )
-    # plain numbers only in the aggregates: they stay in the hash aggregation
-    return steps.groupBy(*SERIES, "chunk").agg(
-        F.count("*").alias("n"),
-        F.min("ts").alias("first_ts"),
-        F.max(F.when(F.col("_prev").isNull(), F.col("value"))).alias("first_v"),
-        F.max("ts").alias("last_ts"),
-        F.max(F.when(F.col("_next").isNull(), F.col("value"))).alias("last_v"),
-        F.coalesce(F.sum(_increase(F.col("_prev"), F.col("value"))), F.lit(0.0)).alias("inc"),
-    )
+def by_metric(values: Mapping[str, int]) -> Column:
+    """The value of a row's metric."""
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("metric")].cast("bigint")
+
+
+def dealt(samples: DataFrame, grid: EvalGrid, windows: Mapping[str, int]) -> DataFrame:
+    """Samples of the metrics named, with the evaluations (``_from`` to ``_to``) of their group that can see them."""
+    us = F.unix_micros("ts")
+    window = by_metric(windows)
+    seen = samples.where(F.col("metric").isin(*windows) & F.col("value").isNotNull()).select(
+        "metric", "job", "namespace", series_key(), us.alias("_us"), "value", window.alias("_window"),
+        by_metric({m: per_group(w, grid) for m, w in windows.items()}).alias("_per"),
+        F.greatest(F.lit(0).cast("bigint"), first_evaluation(us, grid)).alias("_first"),
+        F.least(F.lit(grid.last).cast("bigint"), first_evaluation(us + window, grid) - 1).alias("_last"),
+    ).where("_first <= _last")
+    group = F.explode(F.sequence(F.floor(F.col("_first") / F.col("_per")), F.floor(F.col("_last") / F.col("_per"))))
+    begin = F.col("_group") * F.col("_per")
+    return seen.withColumn("_group", group).withColumns({
+        "_from": F.greatest("_first", begin), "_to": F.least(F.col("_last"), begin + F.col("_per") - 1)
+    }).drop("_first", "_last", "_per")
+
+
+def window_ends(samples: DataFrame, grid: EvalGrid, windows: Mapping[str, int]) -> DataFrame:
+    """(metric, job, namespace, series, k, n, first_us, first_v, last_us, last_v, increase) for every evaluation k
+    and every series with a sample in the window (t - w, t] of its metric."""
+    key = ("metric", *SERIES, "_group")
+    in_order = Window.partitionBy(*key).orderBy("_us", "value")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt(samples, grid, windows).withColumns({
+        "_prev_us": F.lag("_us").over(in_order), "_next_us": F.lead("_us").over(in_order),
+        "_rank": F.row_number().over(in_order).cast("bigint"),
+        "_step": F.coalesce(_increase(F.lag("value").over(in_order), F.col("value")), F.lit(0.0)),
+    }).withColumn("_total", F.sum("_step").over(so_far))
+    # last sample of the evaluations before the next sample, first sample of those whose window leaves out the one before
+    until = F.least(F.col("_to"), F.coalesce(first_evaluation(F.col("_next_us"), grid) - 1, F.col("_to")))
+    since = F.greatest(F.col("_from"), F.coalesce(first_evaluation(F.col("_prev_us") + F.col("_window"), grid), F.col("_from")))
+
+    def roles(low: Column, high: Column, is_last: bool) -> Column:
+        marked = F.transform(F.sequence(low, high), lambda k: F.struct(k.alias("k"), F.lit(is_last).alias("is_last")))
+        return F.when(low <= high, marked).otherwise(F.array().cast("array<struct<k:bigint,is_last:boolean>>"))
+
+    ends = placed.select("*", F.inline(F.concat(roles(F.col("_from"), until, True), roles(since, F.col("_to"), False))))
+    at = lambda c, is_last: F.max(F.when(F.col("is_last") == is_last, F.col(c)))
+    # grouped within the partitioning of the window above: no further exchange
+    return ends.groupBy(*key, "k").agg(
+        at("_us", False).alias("first_us"), at("value", False).alias("first_v"), at("_us", True).alias("last_us"),
+        at("value", True).alias("last_v"), (at("_rank", True) - at("_rank", False) + 1).alias("n"),
+        (at("_total", True) - at("_total", False)).alias("increase"),
+    ).drop("_group")
 
 
 def rate_value(
-    n: Column, first_ts: Column, first_v: Column, last_ts: Column, increase: Column,
-    eval_us: Column, window_us: int, extrapolate: bool,
+    n: Column, first_us: Column, first_v: Column, last_us: Column, increase: Column,
+    eval_us: Column, window_us: int | Column, extrapolate: bool,
 ) -> Column:
     """Per-second rate of one window, null with fewer than two samples.
 
@@ -84,7 +104,6 @@ def rate_value(
     window_sec = window_us / 1e6
     if not extrapolate:
         return F.when(n >= 2, increase / window_sec)
-    first_us, last_us = F.unix_micros(first_ts), F.unix_micros(last_ts)
     span = (last_us - first_us) / 1e6
     gap = span / (n - 1)
     to_start = (first_us - (eval_us - window_us)) / 1e6
@@ -96,33 +115,21 @@ def rate_value(
     return F.when((n >= 2) & (span > 0), increase * ((span + to_start + to_end) / span) / window_sec)
 
 
-def counter_rates(
-    counters: DataFrame, grid: EvalGrid, window_us: int, extrapolate: bool = True, chunk: int | None = None
-) -> DataFrame:
-    """(job, namespace, labels, eval_ts, rate): no row for a window with fewer than two samples.
-
-    ``chunk`` (microseconds, a divisor of window and step) makes the ordered groups smaller where
-    scrapes are very dense.
-    """
-    chunk = chunk or chunk_us(grid, window_us)
-    if window_us % chunk or (grid.last > 0 and grid.step_us % chunk):
-        raise ValueError("chunk must divide window and step")
-    spread = over_grid(chunk_summaries(counters, grid, window_us, chunk), grid, window_us, chunk)
-    in_window = Window.partitionBy(*SERIES, "eval_ts").orderBy("chunk")
-    joined = spread.withColumn("_prev", F.lag("last_v").over(in_window))
-    totals = joined.groupBy(*SERIES, "eval_ts").agg(
-        F.sum("n").alias("n"),
-        F.min("first_ts").alias("first_ts"),
-        F.max(F.when(F.col("_prev").isNull(), F.col("first_v"))).alias("first_v"),
-        F.max("last_ts").alias("last_ts"),
-        (F.sum("inc") + F.coalesce(F.sum(_increase(F.col("_prev"), F.col("first_v"))), F.lit(0.0))).alias("increase"),
-    )
+def rated(ends: DataFrame, grid: EvalGrid, windows: Mapping[str, int], extrapolate: bool) -> DataFrame:
+    """``window_ends`` with their rate and evaluation time; windows with fewer than two samples have a null rate."""
+    eval_us = F.lit(grid.start_us) + F.col("k") * grid.step_us
     rate = rate_value(
-        F.col("n"), F.col("first_ts"), F.col("first_v"), F.col("last_ts"), F.col("increase"),
-        F.unix_micros("eval_ts"), window_us, extrapolate,
+        F.col("n"), F.col("first_us"), F.col("first_v"), F.col("last_us"), F.col("increase"), eval_us, by_metric(windows), extrapolate
     )
-    rated = totals.withColumn("rate", rate).where(F.col("rate").isNotNull())
-    return rated.select("job", "namespace", series_labels(), "eval_ts", "rate")
+    return ends.withColumns({"rate": rate, "eval_ts": F.timestamp_micros(eval_us)})
+
+
+def counter_rates(counters: DataFrame, grid: EvalGrid, window_us: int, extrapolate: bool = True) -> DataFrame:
+    """(job, namespace, labels, eval_ts, rate): no row for a window with fewer than two samples."""
+    one = counters.withColumn("metric", F.lit("counter"))
+    windows = {"counter": window_us}
+    rows = rated(window_ends(one, grid, windows), grid, windows, extrapolate).where(F.col("rate").isNotNull())
+    return rows.select("job", "namespace", series_labels(), "eval_ts", "rate")
 
 
 def error_signals(rates: DataFrame) -> DataFrame:
@@ -154,8 +161,10 @@ def latency_quantile(rates: DataFrame, q: float = 0.95) -> DataFrame:
     return quantile_of_buckets(by_le, key, q)
 
 
-def quantile_of_buckets(by_le: DataFrame, key: tuple[str, ...], q: float) -> DataFrame:
-    """One row per key from (key..., le, rate); a key has as many rows as the histogram has bounds."""
+def quantile_of_buckets(by_le: DataFrame, key: tuple[str, ...], q: float, others: Sequence[Column] = ()) -> DataFrame:
+    """One row per key from (key..., le, rate); a key has as many rows as the histogram has bounds.
+
+    A row without ``le`` is no bucket; a key with no bucket at all has a null. ``others`` are further aggregates."""
     ordered = Window.partitionBy(*key).orderBy("le")
     whole = Window.partitionBy(*key)
     inf = F.lit(float("inf"))
@@ -178,30 +187,19 @@ def quantile_of_buckets(by_le: DataFrame, key: tuple[str, ...], q: float) -> Dat
         F.min(F.when(hit, F.struct("le", inside.alias("v")))).alias("hit"),
         F.max(F.when(F.col("le") < inf, F.col("le"))).alias("top"),
         F.max("le").alias("last_le"),
-        F.count("*").alias("bounds"),
+        F.count("le").alias("bounds"),
         F.max("total").alias("total"),
+        *others,
     )
     usable = (F.col("last_le") == inf) & (F.col("bounds") >= 2) & (F.col("total") > 0)
-    return found.select(
-        *key, F.when(usable, F.coalesce("hit.v", "top")).otherwise(F.lit(float("nan"))).alias("p95")
-    )
+    value = F.when(F.col("bounds") > 0, F.when(usable, F.coalesce("hit.v", "top")).otherwise(F.lit(float("nan"))))
+    return found.select(*[c for c in found.columns if c not in ("hit", "top", "last_le", "bounds", "total")], value.alias("p95"))
 
 
 def newest_in_lookback(gauges: DataFrame, grid: EvalGrid, lookback_us: int) -> DataFrame:
     """(job, namespace, labels, eval_ts, value): each series' newest sample in (t - lookback, t]."""
-    chunk = chunk_us(grid, lookback_us)
-    newest = (
-        within(gauges, grid, lookback_us)
-        .select("job", "namespace", series_key(), "ts", "value", chunk_index(F.col("ts"), grid, chunk).alias("chunk"))
-        .groupBy(*SERIES, "chunk")
-        .agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
-    )
-    return (
-        over_grid(newest, grid, lookback_us, chunk)
-        .groupBy(*SERIES, "eval_ts")
-        .agg(F.max_by("value", "ts").alias("value"))
-        .select("job", "namespace", series_labels(), "eval_ts", "value")
-    )
+    ends = window_ends(gauges.withColumn("metric", F.lit("gauge")), grid, {"gauge": lookback_us})
+    return ends.select("job", "namespace", series_labels(), eval_time(F.col("k"), grid).alias("eval_ts"), F.col("last_v").alias("value"))
 
 
 def min_up(samples: DataFrame, grid: EvalGrid, lookback_us: int) -> DataFrame:
@@ -220,14 +218,23 @@ def bucket_rates(samples: DataFrame, grid: EvalGrid, window_us: int, extrapolate
 def series_present(
     targets: DataFrame, samples: DataFrame, metric: str, grid: EvalGrid, lookback_us: int
 ) -> DataFrame:
-    """Targets x evaluation times with ``present``: has the metric any sample in the lookback?"""
-    chunk = chunk_us(grid, lookback_us)
-    chunks = (
-        within(select_metric(samples, metric), grid, lookback_us)
-        .select("job", "namespace", chunk_index(F.col("ts"), grid, chunk).alias("chunk"))
-        .distinct()
+    """Targets x evaluation times with ``present``: has the metric any sample in the lookback?
+
+    Samples are reduced, before the exchange, to the first evaluation that sees them: at most one row per target
+    and evaluation. A row then covers the evaluations up to the next one's."""
+    us = F.unix_micros("ts")
+    first, last = first_evaluation(us, grid), first_evaluation(us + lookback_us, grid) - 1
+    spans = (
+        select_metric(samples, metric)
+        .select("job", "namespace", F.greatest(F.lit(0).cast("bigint"), first).alias("first"), F.least(F.lit(grid.last).cast("bigint"), last).alias("last"))
+        .where("first <= last")
+        .groupBy("job", "namespace", "first")
+        .agg(F.max("last").alias("last"))
     )
-    seen = over_grid(chunks, grid, lookback_us, chunk).select("job", "namespace", "eval_ts", F.lit(1).alias("seen"))
+    after = F.lead("first").over(Window.partitionBy("job", "namespace").orderBy("first"))
+    own = spans.withColumn("last", F.least(F.col("last"), F.coalesce(after - 1, F.col("last"))))
+    seen = own.select("job", "namespace", F.explode(F.sequence("first", "last")).alias("k"))
+    seen = seen.select("job", "namespace", eval_time(F.col("k"), grid).alias("eval_ts"), F.lit(1).alias("seen"))
     asked = on_grid(targets, grid).withColumn("seen", F.lit(0))
     return (
         asked.unionByName(seen)
@@ -240,12 +247,8 @@ def series_present(
 
 def on_grid(targets: DataFrame, grid: EvalGrid) -> DataFrame:
     """(job, namespace, eval_ts) for every target and evaluation time."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(grid.last))).alias("k")
-    return targets.select("job", "namespace", k).select(
-        "job",
-        "namespace",
-        F.timestamp_micros(F.lit(grid.start_us) + F.col("k").cast("bigint") * grid.step_us).alias("eval_ts"),
-    )
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid.last).cast("bigint"))).alias("k")
+    return targets.select("job", "namespace", k).select("job", "namespace", eval_time(F.col("k"), grid).alias("eval_ts"))
 
 
 def target_signals(
@@ -259,23 +262,49 @@ def target_signals(
 ) -> DataFrame:
     """One row per target and evaluation time: min_up, ratio_5xx, rps_5xx, p95; null where unknown.
 
-    The parts have at most one row per (target, time) each, so one grouped union replaces a
-    chain of joins.
+    The samples are read once: the metric is part of the series' key, each with its own window.
     """
-    key = ("job", "namespace", "eval_ts")
-    parts = [
-        on_grid(targets, grid).withColumn("_asked", F.lit(True)),
-        min_up(samples, grid, lookback_us),
-        error_signals(request_rates(samples, grid, error_window_us, extrapolate)).drop("total_rps"),
-        latency_quantile(bucket_rates(samples, grid, latency_window_us, extrapolate)),
-    ]
-    together = parts[0]
-    for part in parts[1:]:
-        together = together.unionByName(part, allowMissingColumns=True)
-    values = ("min_up", "ratio_5xx", "rps_5xx", "p95")
+    windows = {REQUESTS_METRIC: error_window_us, LATENCY_METRIC: latency_window_us, UP_METRIC: lookback_us}
+    ends = rated(window_ends(samples, grid, windows), grid, windows, extrapolate)
+    return asked_signals(
+        on_grid(targets, grid),
+        signals_of_rates(ends.select("metric", "job", "namespace", series_labels(), "eval_ts", "rate", F.col("last_v").alias("value"))),
+    )
+
+
+def asked_signals(asked: DataFrame, signals: DataFrame) -> DataFrame:
+    """A row for every (job, namespace, eval_ts) asked, with its signals or nulls."""
     return (
-        together.groupBy(*key)
-        .agg(F.max("_asked").alias("_asked"), *[F.max(v).alias(v) for v in values])
+        asked.withColumn("_asked", F.lit(True)).unionByName(signals, allowMissingColumns=True)
+        .groupBy("job", "namespace", "eval_ts")
+        .agg(F.max("_asked").alias("_asked"), *[F.max(v).alias(v) for v in SIGNALS])
         .where("_asked")
-        .select(*key, *values)
+        .select("job", "namespace", "eval_ts", *SIGNALS)
+    )
+
+
+SIGNALS = ("min_up", "ratio_5xx", "rps_5xx", "p95")
+
+
+def signals_of_rates(rates: DataFrame) -> DataFrame:
+    """(job, namespace, eval_ts, min_up, ratio_5xx, rps_5xx, p95) from (metric, job, namespace, labels, eval_ts, rate,
+    value) of all three metrics: sums by bucket bound first, then one row per target and time."""
+    key = ("job", "namespace", "eval_ts")
+    of = lambda metric, c: F.when(F.col("metric") == metric, F.col(c))
+    le = number_or_null(F.col("labels")["le"])
+    bounded = (F.col("metric") != LATENCY_METRIC) | (le.isNotNull() & ~F.isnan(le))
+    known = (F.col("metric") == UP_METRIC) | F.col("rate").isNotNull()
+    sums = (
+        rates.where(bounded & known)
+        .groupBy(*key, F.when(F.col("metric") == LATENCY_METRIC, le).alias("le"))
+        .agg(
+            F.min(of(UP_METRIC, "value")).alias("min_up"),
+            F.sum(of(REQUESTS_METRIC, "rate")).alias("total_rps"),
+            F.sum(F.when(label_matches("status", ERROR_STATUS), of(REQUESTS_METRIC, "rate"))).alias("rps_5xx"),
+            F.sum(of(LATENCY_METRIC, "rate")).alias("rate"),
+        )
     )
+    # the row without a bound holds the other metrics
+    ratio = F.col("rps_5xx") / F.greatest(F.col("total_rps"), F.lit(1.0))
+    others = [F.max("min_up").alias("min_up"), F.max(ratio).alias("ratio_5xx"), F.max("rps_5xx").alias("rps_5xx")]
+    return quantile_of_buckets(sums, key, 0.95, others).select(*key, *SIGNALS)

@@ -8,16 +8,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.ranking import hash_cuts, order_hash
+from ..functions.ranking import hash_cuts, order_hash, prefix_counts
 from ..params import FEATURE_COLS, LABEL_COL, RunSource, TrainLimits
 from ..session import instant_lit, written
 from .evaluation import classification_metrics
+from .softmax import SoftmaxModel, fit_softmax
 
 RUN_SCHEMA = (
     "run_id string, run_time timestamp, status string, reason string, env string, fs_version string, "
@@ -71,15 +68,14 @@ def training_check(df: DataFrame, limits: TrainLimits = TrainLimits()) -> DataFr
     )
 
 
-def split_quotas(df: DataFrame, stratum: str, test_size: float) -> DataFrame:
-    """(stratum, n, quota of test rows): in total exactly ceil(test_size x rows).
+def split_quotas(sizes: DataFrame, stratum: str, test_size: float) -> DataFrame:
+    """(stratum, n, quota of test rows) from (stratum, n): in total exactly ceil(test_size x rows).
 
     Training rows are shared out in proportion, left-over rows by the largest remainder. One
     row per class, so the global windows are over a tiny table.
     """
-    n = df.groupBy(stratum).agg(F.count("*").alias("n"))
     whole = Window.partitionBy(F.lit(0))
-    shares = n.withColumn("_all", F.sum("n").over(whole))
+    shares = sizes.withColumn("_all", F.sum("n").over(whole))
     shares = shares.withColumn("_train", F.col("_all") - F.ceil(F.lit(test_size) * F.col("_all")))
     # n * train may exceed 2^63: exact integer arithmetic in decimals
     product = F.col("n").cast("decimal(19,0)") * F.col("_train").cast("decimal(19,0)")
@@ -101,20 +97,19 @@ def split(
 ) -> DataFrame:
     """Input rows with ``is_test``. ``key_cols`` identify a row.
 
-    Each class gets one cut in the hash order, and the table of cuts (one row per class) is
-    joined to the rows; AQE broadcasts it where it is small. Without ``stratify`` the cut is one scalar.
+    Each class gets one cut in the hash order. The rows are scanned three times: for the counts by class and hash
+    prefix, which are stored, for the rows next to the cuts, and for the result, to which the table of cuts (one row
+    per class) is joined; AQE broadcasts it where it is small. Without ``stratify`` all rows are one class.
     """
-    h = order_hash(key_cols, limits.seed)
-    if stratify:
-        quotas = split_quotas(df, label, limits.test_size)
-        cuts = hash_cuts(df, quotas, label, key_cols, limits.seed, False)
-        joined = df.join(cuts, label, "left")
-        return joined.withColumn("is_test", F.coalesce(h <= F.col("_cut"), F.lit(False))).drop("_cut").select(
-            *df.columns, "is_test"
-        )
-    one = df.withColumn("_stratum", F.length(h))  # the same value for every row
-    cuts = hash_cuts(one, split_quotas(one, "_stratum", limits.test_size), "_stratum", key_cols, limits.seed, True)
-    return df.withColumn("is_test", F.coalesce(h <= cuts.select("_cut").scalar(), F.lit(False)))
+    stratum = label if stratify else "_stratum"
+    rows = df if stratify else df.withColumn("_stratum", F.lit(0))
+    counts = written(prefix_counts(rows, stratum, key_cols, limits.seed), "split-counts")
+    sizes = counts.groupBy(stratum).agg(F.sum("_cnt").alias("n"))
+    cuts = hash_cuts(rows, counts, split_quotas(sizes, stratum, limits.test_size), stratum, key_cols, limits.seed)
+    cuts = cuts.select(F.col(stratum).alias("_of"), "_cut")
+    is_test = F.coalesce(order_hash(key_cols, limits.seed) <= F.col("_cut"), F.lit(False))
+    joined = rows.join(cuts, F.col(stratum).eqNullSafe(F.col("_of")), "left")
+    return joined.withColumn("is_test", is_test).select(*df.columns, "is_test")
 
 
 def can_stratify(n_rows: int, n_classes: int, min_class_rows: int, test_size: float) -> bool:
@@ -123,41 +118,17 @@ def can_stratify(n_rows: int, n_classes: int, min_class_rows: int, test_size: fl
     return min_class_rows >= 2 and n_test >= n_classes and n_rows - n_test >= n_classes
 
 
-def fit_classifier(train: DataFrame, n_train: int, limits: TrainLimits = TrainLimits()) -> PipelineModel:
+def fit_classifier(train: DataFrame, classes: Sequence[int], limits: TrainLimits = TrainLimits()) -> SoftmaxModel:
     """L2 logistic regression on raw features; C is the inverse strength per data set, not per row."""
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol=LABEL_COL, outputCol="_label_idx", stringOrderType="alphabetAsc", handleInvalid="error"),
-            VectorAssembler(inputCols=list(FEATURE_COLS), outputCol="_features", handleInvalid="error"),
-            LogisticRegression(
-                featuresCol="_features",
-                labelCol="_label_idx",
-                predictionCol="_prediction_idx",
-                probabilityCol="_probability",
-                rawPredictionCol="_raw",
-                regParam=1.0 / (limits.C * n_train),
-                elasticNetParam=0.0,
-                maxIter=limits.max_iter,
-                standardization=False,
-                family="auto",
-            ),
-        ]
-    ).fit(train)
-
-
-def score(model: PipelineModel, features: DataFrame) -> DataFrame:
+    return fit_softmax(train, FEATURE_COLS, LABEL_COL, classes, limits.C, limits.max_iter)
+
+
+def score(model: SoftmaxModel, features: DataFrame) -> DataFrame:
     """Input rows with ``prediction`` (a label) and ``probability`` (one entry per class, label order)."""
-    to_label = IndexToString(
-        inputCol="_prediction_idx", outputCol="_prediction", labels=model.stages[0].labels
-    )
-    return PipelineModel(stages=[*model.stages[1:], to_label]).transform(features).select(
-        *features.columns,
-        F.col("_prediction").cast("int").alias("prediction"),
-        vector_to_array("_probability").alias("probability"),
-    )
+    return model.score(features)
 
 
-def smoke_check(model: PipelineModel, spark: SparkSession) -> None:
+def smoke_check(model: SoftmaxModel, spark: SparkSession) -> None:
     """A row of zeros must score to one class."""
     zeros = spark.range(1).select(*[F.lit(0.0).alias(c) for c in FEATURE_COLS])
     if score(model, zeros).first().prediction is None:
@@ -169,7 +140,7 @@ class TrainResult:
     run: DataFrame
     accuracy: float | None
     run_id: str | None
-    model: PipelineModel | None
+    model: SoftmaxModel | None
     scored_test: DataFrame | None
 
 
@@ -208,8 +179,9 @@ def train(
     # Written once and read back: fitting scans it many times, and lost executors must not redo the split.
     parts = written(split(typed, key_cols, limits=limits, stratify=stratify), "split")
     train_part, test_part = parts.where(~F.col("is_test")), parts.where("is_test")
-    n_test = math.ceil(limits.test_size * check.n_rows)
-    model = fit_classifier(train_part, check.n_rows - n_test, limits)
+    # stratified, so every class is in the training part; a plain split may lose one
+    classes = check.classes if stratify else [r[0] for r in train_part.select(LABEL_COL).distinct().collect()]
+    model = fit_classifier(train_part, classes, limits)
     smoke_check(model, spark)
     scored = score(model, test_part)
     metrics = classification_metrics(scored).first()
@@ -222,5 +194,9 @@ def train(
     return TrainResult(run, metrics.accuracy, run_id, model, scored)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(spark: SparkSession, model: SoftmaxModel, path: str) -> None:
+    model.save(spark, path)
+
+
+def load_model(spark: SparkSession, path: str) -> SoftmaxModel:
+    return SoftmaxModel.load(spark, path)

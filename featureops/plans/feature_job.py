@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators.drift import drift_gate
 from ..operators.features import align_to_contract, batch_quality, entity_features
@@ -15,7 +15,7 @@ from ..params import ENTITY_COL, DriftLimits, LabelRule, QualityLimits, RunSourc
 from ..session import configure
 from ..sources.contract import Contract
 from ..sources.feature_store import FeatureStore
-from ..sources.raw_events import read_raw_events, require_raw_data, typed_events
+from ..sources.raw_events import read_typed_events, require_lines
 
 
 @dataclass
@@ -36,20 +36,21 @@ def build_version(
     quality: QualityLimits = QualityLimits(),
     csv_copy: bool = False,
 ) -> BuildResult:
-    """Writes one version. The quality row is computed from the stored rows, not by a second build."""
+    """Writes one version, from one scan of the raw text. The quality row is computed from the stored rows, not by a second build."""
     configure(spark)
-    lines = require_raw_data(spark, raw_path)
-    features = entity_features(typed_events(read_raw_events(spark, raw_path)), run_time, rule=rule)
+    lines = Observation("raw")
+    features = entity_features(read_typed_events(spark, raw_path, lines=lines), run_time, rule=rule)
     aligned = align_to_contract(features, contract.columns)
-    version = store.write(aligned, run_time, pipeline, raw_path, contract, csv_copy)
-    return BuildResult(version, lines, batch_quality(store.read(version), quality))
+    # counted while the rows are built and stored; a source without data gives no version
+    version = store.write(aligned, run_time, pipeline, raw_path, contract, csv_copy, lambda: require_lines(lines.get["lines"], raw_path))
+    return BuildResult(version, lines.get["lines"], batch_quality(store.read(version), quality))
 
 
 def gate_version(store: FeatureStore, version: str, limits: DriftLimits = DriftLimits()) -> DataFrame:
     """Compare a version with the newest published one before it: a blocked batch is no baseline."""
     previous = store.previous(version)
-    ref = store.read(previous) if previous else None
-    return drift_gate(store.read(version), ref, [ENTITY_COL], store.spark, limits)
+    ref, profile = (store.read(previous), store.profile(previous)) if previous else (None, None)
+    return drift_gate(store.read(version), ref, [ENTITY_COL], store.spark, limits, profile=profile)
 
 
 @dataclass
@@ -82,7 +83,7 @@ def release_version(
     result = train(store.read(version), [ENTITY_COL], source, run_time, limits)
     result.run.write.mode("append").json(runs_path)
     if result.model is not None:
-        save_model(result.model, f"{model_path.rstrip('/')}/run={result.run_id}")
+        save_model(spark, result.model, f"{model_path.rstrip('/')}/run={result.run_id}")
     decision = promotion_decision(
         result.run.select("run_id", F.col("accuracy").cast("string").alias("accuracy")).withColumn(
             "drift_block", F.lit(str(gate.block_promotion))

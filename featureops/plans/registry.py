@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.parse import first_non_empty, float_or_zero, int_or_zero, wall_clock_to_instant
 from ..functions.ranking import exact_sample
 from ..operators import drift, evaluation, features, materialize, promotion, rates, slo, training
 from ..params import (
-    LATENCY_METRIC, REQUESTS_METRIC, TIME_COL, UP_METRIC, EvalGrid, RollbackLimits, RunSource,
+    LATENCY_METRIC, REQUESTS_METRIC, TIME_COL, UP_METRIC, WALL_CLOCK_OFFSET, EvalGrid, RollbackLimits, RunSource,
 )
 from ..session import configure, epoch_us, scratch_path, written
 from ..sources.contract import parse_contract
-from ..sources.feature_store import FeatureStore
-from ..sources.raw_events import non_blank_lines, read_raw_events, typed_events
-from ..streaming.escalation import escalation_sink
+from ..sources.feature_store import FeatureStore, with_utc_event_time
+from ..sources.raw_events import non_blank_lines, read_typed_events
+from ..streaming.escalation import escalation_sink, escalations
 from ..streaming.features import stream_features
-from ..streaming.jobs import collected, per_batch, run_sink
-from ..streaming.rates import stream_counter_rates
+from ..streaming.decisions import decision_sink
+from ..streaming.jobs import collected, per_batch, run_sink, with_open_windows
+from ..streaming.rates import stream_counter_rates, stream_rates as streamed_rates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,7 +30,7 @@ QUERIES: dict[str, Query] = {}
 AS_OF = "2024-02-01T00:00:00"
 HALF = "2024-01-16"
 HOUR = 3_600_000_000
-GRID = EvalGrid(epoch_us("2024-01-02T00:00:00"), epoch_us("2024-01-30T00:00:00"), 6 * HOUR)
+STEP = 6 * HOUR
 ERROR_WINDOW, LATENCY_WINDOW, LOOKBACK = 18 * HOUR, 12 * HOUR, 3 * HOUR
 BOUNDS = (10, 25, 50, 100, 250)
 # Event tables are sparse, so the limits are scaled down to what they can reach.
@@ -134,22 +137,41 @@ def parse_event_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def raw_csv_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dirty event text written as CSV, read back and turned into features."""
+    """Dirty event text written as CSV under two headers, read back in one scan and turned into features."""
     path = scratch_path(spark, "raw-csv")
     event_ts, timestamp = dirty_times()
     session = F.when(F.col("event_id") % 5 == 0, "abc").when(F.col("event_id") % 5 == 1, "").otherwise(
         F.col("value").cast("string")
     )
-    table(spark, sf_dir, "events").select(
+    rows = table(spark, sf_dir, "events").select(
         F.when(F.col("event_id") % 9 == 0, "?").otherwise(F.col("user_id").cast("string")).alias("user_id"),
         event_ts,
         session.alias("session_length_sec"),
         timestamp,
-    ).write.option("header", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
-        "ignoreTrailingWhiteSpace", False
-    ).csv(path)
-    built = features.entity_features(typed_events(read_raw_events(spark, path)), AS_OF)
-    return shown(built, "user_id", *FEATURES)
+        (F.col("event_id") % 2 == 0).alias("even"),
+    )
+    for even, order in ((True, ["user_id", "event_ts", "session_length_sec", "timestamp"]), (False, ["timestamp", "session_length_sec", "event_ts", "user_id"])):
+        rows.where(F.col("even") == even).select(*order).write.mode("append").option("header", True).option("emptyValue", "").option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return shown(features.entity_features(read_typed_events(spark, path), AS_OF), "user_id", *FEATURES)
+
+
+@query
+def raw_short_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that end early beside lines with a blank cell: only the missing cell stays out of the average."""
+    path = scratch_path(spark, "short-rows")
+    kind, user = F.col("event_id") % 4, F.col("user_id").cast("string")
+    line = F.when(kind == 1, user).when(kind == 2, F.concat(user, F.lit(","))).when(kind == 3, F.concat(user, F.lit(","), F.col("value").cast("string"), F.lit(",more")))
+    rows = table(spark, sf_dir, "events").select(F.coalesce(line, F.concat(user, F.lit(","), F.col("value").cast("string"))).alias("value"))
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The header on top of every file."""
+        yield pa.RecordBatch.from_pydict({"value": ["user_id,session_length_sec"]})
+        yield from batches
+
+    rows.mapInArrow(headed, "value string").write.text(path)
+    built = features.entity_features(read_typed_events(spark, path), AS_OF)
+    return shown(built, "user_id", "f_total_events_7d", "f_avg_session_sec_7d", "label")
 
 
 # --- features ---------------------------------------------------------------------------------
@@ -211,6 +233,38 @@ def feature_store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(store.read_all().join(ids, "version"), "version", "previous", "user_id", *FEATURES)
 
 
+@query
+def feature_store_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineage, publication and run summary of two versions: the first one is published, so the second has a baseline."""
+    store = FeatureStore(spark, scratch_path(spark, "store"), "activity")
+    contract = parse_contract(CONTRACT, "activity")
+    ids = []
+    for run, days in (("2024-01-20T00:00:00", 7), (AS_OF, None)):
+        built = features.entity_features(events(spark, sf_dir), run, window_days=days)
+        ids.append(store.write(features.align_to_contract(built, contract.columns), run, "nightly", "events", contract, csv_copy=True))
+        if len(ids) == 1:
+            store.publish(ids[0], run)
+    copies = spark.read.option("header", True).csv(f"{store.base}/activity/csv").groupBy("version").agg(F.count("*").alias("csv_rows"))
+    counts = store.read_all().groupBy("version").agg(F.count("*").alias("n_rows"))
+    summary = store.run_summary("nightly").select("version", "raw_path")
+    return store.versions().join(counts, "version").join(copies, "version").join(summary, "version").select(
+        "version", "pipeline", "source", "raw_path", "feature_set", "schema_hash", "n_rows", "csv_rows",
+        F.unix_seconds("generated_at").alias("generated_sec"), F.unix_seconds("min_event_time").alias("min_sec"),
+        F.unix_seconds("max_event_time").alias("max_sec"), (F.col("version") == store.latest()).alias("is_latest"),
+        F.when(F.col("version") == ids[1], F.lit(store.previous(ids[1]))).otherwise(F.coalesce(F.lit(store.previous(ids[0])), F.lit("-"))).alias("baseline"),
+    )
+
+
+@query
+def feature_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times that come as ISO texts with a zone, as instants; and the stamp of rows without any."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    texts = rows.select("event_id", F.concat(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00")).alias(TIME_COL))
+    read = with_utc_event_time(texts, AS_OF).select("event_id", F.unix_seconds(TIME_COL).alias("event_sec"))
+    stamped = with_utc_event_time(rows.select("event_id"), AS_OF).select("event_id", F.unix_seconds(TIME_COL).alias("stamp_sec"))
+    return read.join(stamped, "event_id")
+
+
 # --- drift ------------------------------------------------------------------------------------
 
 
@@ -247,6 +301,16 @@ def drift_ks_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(drift.ks_full(rows.where(is_new), rows.where(~is_new), columns))
 
 
+@query
+def drift_ks_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as ``drift_ks_full`` against a stored profile of the reference part."""
+    rows = table(spark, sf_dir, "lineitem")
+    is_new = F.coalesce(F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp_ntz"), F.lit(False))
+    profile = written(drift.drift_profile(rows.where(~is_new)), "profile")
+    new = rows.where(is_new)
+    return shown(drift.ks_from_profile(new, profile, rows.where(~is_new), drift.profiled_columns(new, profile)))
+
+
 @query
 def sampled_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     new, ref = (exact_sample(side, 2000, DAY_KEY, 42) for side in halves(spark, sf_dir))
@@ -268,6 +332,28 @@ def drift_decision_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown_decision(drift.drift_decision(halves_ks(*shifted_halves(spark, sf_dir))))
 
 
+SHIFTS = [(c, factor) for factor in range(3, 11) for c in FEATURES[:3]]
+
+
+@query
+def drift_block_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each feature of the newer half scaled by 3 to 10, one case a column: is the batch blocked, and which is worst?"""
+    new, ref = halves(spark, sf_dir)
+    cases = [(f"{c}_x{k}", c, k) for c, k in SHIFTS]
+    ks = drift.ks_full(new.select(*[(F.col(c) * k).alias(n) for n, c, k in cases]), ref.select(*[F.col(c).alias(n) for n, c, _ in cases]), [n for n, _, _ in cases])
+    return shown(ks, "col_name", "n_new", "n_ref", "ks").withColumn("block_promotion", F.col("ks") > 0.2)
+
+
+@query
+def drift_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate where there is no baseline, and where the batches share no numeric column."""
+    new, ref = halves(spark, sf_dir)
+    first = drift.drift_gate(new, None, DAY_KEY, spark)
+    apart = drift.drift_gate(new.select("user_id"), ref.select(F.col("label").alias("other")), DAY_KEY, spark)
+    signals = F.array_join(F.transform(F.array_sort(F.map_entries("signals")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("bigint").cast("string"))), ",")
+    return first.unionByName(apart).select("block_promotion", "reason", "worst_col", signals.alias("signals"))
+
+
 # --- training ---------------------------------------------------------------------------------
 
 
@@ -278,6 +364,30 @@ def train_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def training_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reason for which a batch is not trained on, each from a part of the user-day features."""
+    rows = written(day_features(spark, sf_dir), "training")
+    cut = F.row_number().over(Window.partitionBy("label").orderBy(*DAY_KEY))
+    few = rows.withColumn("_n", cut).where((F.col("label") == 1) | (F.col("_n") <= 2)).drop("_n")
+    cases = [
+        ("no feature", rows.drop(FEATURES[1])), ("no label", rows.drop("label")), ("few rows", rows.withColumn("_n", cut).where("_n <= 6").drop("_n")),
+        ("one class", rows.where("label = 1")), ("small class", few), ("good", rows),
+    ]
+    checked = [
+        training.training_check(df).select(F.lit(name).alias("batch"), "status", "reason", "n_rows", F.coalesce("min_class_rows", F.lit(-1)).alias("min_class_rows"))
+        for name, df in cases
+    ]
+    return reduce(DataFrame.unionByName, checked)
+
+
+@query
+def plain_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split without classes, as for batches that can't be stratified."""
+    rows = training.split(day_features(spark, sf_dir), DAY_KEY, stratify=False)
+    return shown(rows, *DAY_KEY, "is_test")
+
+
 @query
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = training.split(day_features(spark, sf_dir), DAY_KEY)
@@ -295,12 +405,28 @@ def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(evaluation.classification_metrics(table(spark, sf_dir, "labels"), "quality", "toxic"))
 
 
+def trained(spark: SparkSession, sf_dir: str) -> training.TrainResult:
+    return training.train(written(day_features(spark, sf_dir), "training"), DAY_KEY, RunSource(sf_dir), AS_OF)
+
+
 @query
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out rows with the class probabilities of a freshly trained model."""
-    rows = written(day_features(spark, sf_dir), "training")
-    result = training.train(rows, DAY_KEY, RunSource(sf_dir), AS_OF)
-    return shown(result.scored_test, *DAY_KEY, "label", "prediction", "probability")
+    """Held-out rows with the class probabilities of a freshly trained model that was stored and loaded again."""
+    result, path = trained(spark, sf_dir), scratch_path(spark, "model")
+    training.save_model(spark, result.model, path)
+    model = training.load_model(spark, path)
+    training.smoke_check(model, spark)
+    by_class = F.map_from_arrays(F.array(*[F.lit(k) for k in model.labels]), "probability")
+    chances = [rounded(F.coalesce(by_class[k], F.lit(0.0)), 4).alias(f"p_{k}") for k in range(3)]
+    rows = result.scored_test.drop("prediction", "probability")
+    return training.score(model, rows).select("user_id", F.col("day").cast("string").alias("day"), "label", "prediction", *chances)
+
+
+@query
+def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy and macro F1 of the held-out rows, as the run records them."""
+    run = trained(spark, sf_dir).run
+    return run.select("status", "train_rows", rounded(F.col("accuracy")).alias("accuracy"), rounded(F.col("f1_macro")).alias("f1_macro"))
 
 
 @query
@@ -376,6 +502,15 @@ def event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def data_grid(spark: SparkSession, sf_dir: str, step_us: int = STEP) -> EvalGrid:
+    """Evaluations at multiples of the step that see all events: from the step's end in which the first one lies to one
+    step after the end of the last one's."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    floor = us - F.pmod(us, F.lit(step_us))
+    ends = table(spark, sf_dir, "events").agg(F.min(floor).alias("a"), F.max(floor).alias("b")).first()
+    return EvalGrid((ends.a or 0) + step_us, (ends.b or 0) + 2 * step_us, step_us)
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The namespaces of the events, and one that never reports."""
     ids = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("ns")).distinct()
@@ -392,25 +527,25 @@ def shown_rates(rated: DataFrame, *labels: str) -> DataFrame:
     )
 
 
-def by_time(df: DataFrame, *names: str) -> DataFrame:
+def by_time(df: DataFrame, *names: str | Column) -> DataFrame:
     return df.select("job", "namespace", F.unix_seconds("eval_ts").alias("eval_sec"), *names)
 
 
 @query
 def request_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = rates.request_rates(event_samples(spark, sf_dir), GRID, ERROR_WINDOW, extrapolate=False)
+    rated = rates.request_rates(event_samples(spark, sf_dir), data_grid(spark, sf_dir), ERROR_WINDOW, extrapolate=False)
     return shown_rates(rated, "pod", "status")
 
 
 @query
 def request_rate_extrapolated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = rates.request_rates(event_samples(spark, sf_dir), GRID, ERROR_WINDOW, extrapolate=True)
+    rated = rates.request_rates(event_samples(spark, sf_dir), data_grid(spark, sf_dir), ERROR_WINDOW, extrapolate=True)
     return shown_rates(rated, "pod", "status")
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error signals with 9 digits, and -1 for null."""
-    rated = rates.request_rates(event_samples(spark, sf_dir), GRID, ERROR_WINDOW, extrapolate=False)
+    rated = rates.request_rates(event_samples(spark, sf_dir), data_grid(spark, sf_dir), ERROR_WINDOW, extrapolate=False)
     names = ("total_rps", "rps_5xx", "ratio_5xx")
     return rates.error_signals(rated).withColumns({c: F.coalesce(rounded(F.col(c), 9), F.lit(-1.0)) for c in names})
 
@@ -427,32 +562,36 @@ def error_rps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latency_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = rates.bucket_rates(event_samples(spark, sf_dir), GRID, LATENCY_WINDOW, extrapolate=False)
+    rated = rates.bucket_rates(event_samples(spark, sf_dir), data_grid(spark, sf_dir), LATENCY_WINDOW, extrapolate=False)
     return by_time(rates.latency_quantile(rated).withColumn("p95", rounded(F.col("p95"))), "p95")
 
 
 @query
 def min_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_time(rates.min_up(event_samples(spark, sf_dir), GRID, LOOKBACK), "min_up")
+    return by_time(rates.min_up(event_samples(spark, sf_dir), data_grid(spark, sf_dir), LOOKBACK), "min_up")
 
 
 @query
 def series_present(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = rates.series_present(targets(spark, sf_dir), event_samples(spark, sf_dir), UP_METRIC, GRID, LOOKBACK)
+    seen = rates.series_present(targets(spark, sf_dir), event_samples(spark, sf_dir), UP_METRIC, data_grid(spark, sf_dir), LOOKBACK)
     return by_time(seen, "present")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.target_signals(
-        targets(spark, sf_dir), event_samples(spark, sf_dir), GRID, ERROR_WINDOW, LATENCY_WINDOW, LOOKBACK, extrapolate=False
+        targets(spark, sf_dir), event_samples(spark, sf_dir), data_grid(spark, sf_dir), ERROR_WINDOW, LATENCY_WINDOW, LOOKBACK, extrapolate=False
     )
 
 
+def shown_decisions(decided: DataFrame) -> DataFrame:
+    """Reason codes and rounded signals: no digits of a text that two engines may print differently."""
+    values = [F.coalesce(rounded(F.col(c), 9 if c != "p95" else 6), F.lit(-1.0)).alias(c) for c in rates.SIGNALS]
+    return by_time(decided, "should_rollback", F.split_part("reason", F.lit(":"), F.lit(1)).alias("code"), *values)
+
+
 @query
 def rollback_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = {c: F.col(c) + 1e-9 for c in ("ratio_5xx", "rps_5xx", "p95")}  # no ties in printed digits
-    decided = slo.rollback_decision(signals(spark, sf_dir).withColumns(moved), LIMITS)
-    return by_time(decided, "should_rollback", "reason")
+    return shown_decisions(slo.rollback_decision(signals(spark, sf_dir), LIMITS))
 
 
 def outcomes(rows: DataFrame) -> DataFrame:
@@ -501,16 +640,24 @@ def dated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def materialize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = materialize.materialize_full(dated_features(spark, sf_dir), "2024-01-25T00:00:00", "2024-01-05T00:00:00")
-    return shown(rows, "user_id", "version", *FEATURES, TIME_COL)
+    """From a store with one version a day, written in one go; only the versions of the range are read."""
+    store = FeatureStore(spark, scratch_path(spark, "day-store"), "activity")
+    days = written(dated_features(spark, sf_dir).drop("version"), "dated")
+    store.write_windows(days, "daily", sf_dir, parse_contract(CONTRACT, "activity"))
+    start, end = "2024-01-05T00:00:00", "2024-01-25T00:00:00"
+    rows = materialize.materialize_full(store.read_all(start, end), end, start)
+    day = F.to_date(F.from_utc_timestamp(TIME_COL, WALL_CLOCK_OFFSET))
+    return shown(rows.withColumn("version", F.concat(F.lit("v_"), F.date_format(F.date_sub(day, 1), "yyyyMMdd"))), "user_id", "version", *FEATURES, TIME_COL)
 
 
 @query
 def materialize_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(dated_features(spark, sf_dir), "dated")
-    serving = materialize.ServingTable(spark, scratch_path(spark, "serving"))
+    serving = materialize.ServingTable(spark, scratch_path(spark, "serving"), buckets=16, fold_every=3)
     serving.refresh(rows, "2024-01-15T00:00:00", "2024-01-05T00:00:00")
-    return shown(serving.advance(rows, "2024-01-25T00:00:00"), "user_id", "version", *FEATURES, TIME_COL)
+    for end in ("2024-01-17T00:00:00", "2024-01-18T12:00:00", "2024-01-21T00:00:00", "2024-01-25T00:00:00"):
+        serving.advance(rows, end)
+    return shown(serving.read(), "user_id", "version", *FEATURES, TIME_COL)
 
 
 # --- streams ----------------------------------------------------------------------------------
@@ -525,14 +672,20 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_user_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = collected(spark, stream_features(as_events(event_stream(spark, sf_dir))), "stream-features")
-    return shown(stored, "user_id", TIME_COL, *FEATURES)
+
+    def later(closed: int | None) -> DataFrame:
+        week = 7 * 24 * HOUR
+        rows = events(spark, sf_dir) if closed is None else events(spark, sf_dir).where(F.unix_micros("event_time") >= closed - week)
+        built = stream_features(rows)
+        return built if closed is None else built.where(F.unix_micros(TIME_COL) > closed)
+
+    return shown(with_open_windows(stored, later, TIME_COL), "user_id", TIME_COL, *FEATURES)
 
 
-def minute_scrapes(spark: SparkSession, sf_dir: str, label: str, value: Column) -> DataFrame:
-    """The event stream reduced to one scrape a minute per series: the largest event value."""
+def minute_scrapes(rows: DataFrame, label: str, value: Column) -> DataFrame:
+    """Events, a stream or a table, reduced to one scrape a minute per series: the largest event value."""
     scrapes = (
-        event_stream(spark, sf_dir)
-        .select((F.col("user_id") % 3).alias("ns"), value.alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "value")
+        rows.select((F.col("user_id") % 3).alias("ns"), value.alias("kind"), F.col("ts").cast("timestamp").alias("ts"), "value")
         .withWatermark("ts", "1 hour")
         .groupBy("ns", "kind", F.window("ts", "1 minute").alias("minute"))
         .agg(F.max("value").alias("value"))
@@ -546,32 +699,117 @@ def minute_scrapes(spark: SparkSession, sf_dir: str, label: str, value: Column)
     )
 
 
-def daily_stream_rates(scrapes: DataFrame) -> DataFrame:
-    return stream_counter_rates(scrapes, 86_400, 86_400, None, extrapolate=False, chunk_sec=3_600)
+DAY = 24 * HOUR
+
+
+def later_day_rates(spark: SparkSession, sf_dir: str, label: str, value: Column, closed: int | None) -> DataFrame:
+    """The batch form for days that end after ``closed``, up to the one in which the newest event lies."""
+    whole = data_grid(spark, sf_dir, DAY)
+    grid = EvalGrid(whole.start_us if closed is None else closed + DAY, whole.end_us - DAY, DAY)
+    rows = table(spark, sf_dir, "events")
+    if closed is not None:
+        rows = rows.where(F.unix_micros(F.col("ts").cast("timestamp")) >= closed)
+    if grid.last < 0:
+        rows, grid = rows.limit(0), EvalGrid.at(whole.end_us)
+    return rates.counter_rates(minute_scrapes(rows, label, value), grid, DAY, extrapolate=False)
+
+
+def daily_stream_rates(spark: SparkSession, sf_dir: str, label: str, value: Column) -> DataFrame:
+    scrapes = minute_scrapes(event_stream(spark, sf_dir), label, value)
+    return stream_counter_rates(scrapes, 86_400, 86_400, None, extrapolate=False)
 
 
 @query
 def stream_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values scraped by the minute and read as 15 counters, by day."""
-    rated = daily_stream_rates(minute_scrapes(spark, sf_dir, "kind", F.col("event_type")))
-    return shown_rates(collected(spark, rated, "stream-rates"), "kind").withColumn("rate", rounded(F.col("rate")))
+    kind = F.col("event_type")
+    stored = collected(spark, daily_stream_rates(spark, sf_dir, "kind", kind), "stream-rates")
+    rated = with_open_windows(stored, lambda closed: later_day_rates(spark, sf_dir, "kind", kind, closed))
+    return shown_rates(rated, "kind").withColumn("rate", rounded(F.col("rate")))
 
 
 @query
 def stream_error_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error ratio of each closed day, from the same stream read as requests by status."""
+    """Error ratio of each day, from the same stream read as requests by status."""
     status = F.when(F.col("event_type") == "error", "500").otherwise("200")
-    rated = daily_stream_rates(minute_scrapes(spark, sf_dir, "status", status))
     base = scratch_path(spark, "stream-errors")
+    rated = daily_stream_rates(spark, sf_dir, "status", status)
     run_sink(rated, per_batch(rates.error_signals, f"{base}/out"), f"{base}/checkpoint").awaitTermination()
+    stored = spark.read.parquet(f"{base}/out").drop("batch")
+    signals = with_open_windows(stored, lambda closed: rates.error_signals(later_day_rates(spark, sf_dir, "status", status, closed)))
     names = ("total_rps", "rps_5xx", "ratio_5xx")
-    stored = spark.read.parquet(f"{base}/out")
-    return by_time(stored.withColumns({c: rounded(F.col(c)) for c in names}), *names)
+    return by_time(signals.withColumns({c: F.coalesce(rounded(F.col(c)), F.lit(-1.0)) for c in names}), *names)
+
+
+SLICES = 4
+
+
+def sample_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Samples that arrive as files, a slice of time after the other and in no order within it: (stream of as many
+    micro-batches, the same rows as a table)."""
+    rows, path = written(event_samples(spark, sf_dir), "samples"), scratch_path(spark, "sample-files")
+    us = F.unix_micros("ts")
+    ends = rows.agg(F.min(us).alias("a"), F.max(us).alias("b")).first()
+    width = ((ends.b or 0) - (ends.a or 0)) // SLICES + 1
+    for i in range(SLICES):
+        rows.where(F.floor((us - (ends.a or 0)) / width) == i).repartition(SLICES).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", SLICES).parquet(path), rows
+
+
+def after(rows: DataFrame, closed: int | None, window_us: int) -> DataFrame:
+    """Samples that windows ending after ``closed`` can hold."""
+    return rows if closed is None else rows.where(F.unix_micros("ts") > closed - window_us)
+
+
+def open_grid(grid: EvalGrid, closed: int | None) -> EvalGrid:
+    return grid if closed is None else EvalGrid(closed + grid.step_us, max(grid.end_us, closed + grid.step_us), grid.step_us)
+
+
+@query
+def stream_p95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latency quantile of every window as it is closed, over several micro-batches, and of those left open."""
+    stream, rows = sample_stream(spark, sf_dir)
+    grid, base = data_grid(spark, sf_dir), scratch_path(spark, "stream-p95")
+    rated = streamed_rates(stream, {LATENCY_METRIC: LATENCY_WINDOW}, STEP, "1 hour", extrapolate=False).where(F.col("rate").isNotNull())
+    run_sink(rated, per_batch(rates.latency_quantile, f"{base}/out"), f"{base}/checkpoint").awaitTermination()
+
+    def later(closed: int | None) -> DataFrame:
+        return rates.latency_quantile(rates.bucket_rates(after(rows, closed, LATENCY_WINDOW), open_grid(grid, closed), LATENCY_WINDOW, False))
+
+    p95 = with_open_windows(spark.read.parquet(f"{base}/out").drop("batch"), later)
+    return by_time(p95.withColumn("p95", rounded(F.col("p95"))), "p95")
+
+
+@query
+def stream_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollback decisions of every target as windows are closed, over several micro-batches, and for those left open."""
+    stream, rows = sample_stream(spark, sf_dir)
+    grid, base = data_grid(spark, sf_dir), scratch_path(spark, "stream-rollback")
+    windows = {REQUESTS_METRIC: ERROR_WINDOW, LATENCY_METRIC: LATENCY_WINDOW, UP_METRIC: LOOKBACK}
+    wanted = written(targets(spark, sf_dir), "targets")
+    sink = decision_sink(wanted, f"{base}/data", grid.start_us, STEP, LIMITS)
+    run_sink(streamed_rates(stream, windows, STEP, "1 hour", extrapolate=False), sink, f"{base}/checkpoint").awaitTermination()
+
+    def later(closed: int | None) -> DataFrame:
+        seen = after(rows, closed, max(windows.values()))
+        signals = rates.target_signals(wanted, seen, open_grid(grid, closed), ERROR_WINDOW, LATENCY_WINDOW, LOOKBACK, extrapolate=False)
+        return slo.rollback_decision(signals, LIMITS)
+
+    return shown_decisions(with_open_windows(spark.read.parquet(f"{base}/data/out").drop("batch"), later))
 
 
 @query
 def stream_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = scratch_path(spark, "stream-escalation")
-    sink = escalation_sink(f"{base}/data", order=("ts", "event_id"))
-    run_sink(outcomes(event_stream(spark, sf_dir)), sink, f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/data/out").select("event_id", "namespace", "reason", "consecutive", "severity")
+    """Outcomes that arrive in four micro-batches, a third of them a batch late and none in order."""
+    rows, path, base = written(outcomes(table(spark, sf_dir, "events")), "outcomes"), scratch_path(spark, "outcome-files"), scratch_path(spark, "stream-escalation")
+    us = F.unix_micros("ts")
+    ends = rows.agg(F.min(us).alias("a"), F.max(us).alias("b")).first()
+    width = ((ends.b or 0) - (ends.a or 0)) // (SLICES - 1) + 1
+    arrives = F.floor((us - (ends.a or 0)) / width) + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)
+    for i in range(SLICES):
+        rows.where(arrives == i).repartition(SLICES).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", SLICES).parquet(path)
+    sink = escalation_sink(f"{base}/data", order=("ts", "event_id"), lateness_sec=2 * width // 1_000_000 + 1)
+    run_sink(stream, sink, f"{base}/checkpoint").awaitTermination()
+    judged = escalations(spark, f"{base}/data", order=("ts", "event_id"))
+    return judged.select("event_id", "namespace", "reason", "consecutive", "severity")

@@ -11,9 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 _LOCAL_SCRATCH: list[str] = []
 
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def configure(spark: SparkSession) -> SparkSession:
-    """Timestamps are instants; text and wall clocks are read in UTC everywhere."""
+    """Timestamps are instants; text and wall clocks are read in UTC everywhere. Streams keep their state in RocksDB,
+    off the heap, unless the session names another store."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get(STATE_STORE, None) in (None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
+        spark.conf.set(STATE_STORE, ROCKSDB)
     return spark
 
 

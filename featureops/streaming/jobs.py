@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.materialize import ServingTable
-from ..params import TIME_COL
 from ..session import scratch_path, written
 from ..sources.contract import Contract
-from ..sources.feature_store import FeatureStore, VersionExists
+from ..sources.feature_store import FeatureStore
 
 
 def store_stream(df: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
@@ -32,6 +31,16 @@ def collected(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def with_open_windows(stored: DataFrame, later: Callable[[int | None], DataFrame], time: str = "eval_ts") -> DataFrame:
+    """The final flush: results of a stream that has ended, and those of the windows it left open.
+
+    A window is given out when the watermark passes its end, so the newest ones never are. ``later`` is the batch form
+    for windows that end after an instant (epoch microseconds; None if the stream gave out nothing); it needs to
+    read only the rows that these windows hold."""
+    closed = stored.agg(F.max(F.unix_micros(time))).first()[0]
+    return stored.unionByName(later(closed).select(*stored.columns))
+
+
 def per_batch(transform: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` function: a batch transformation of each micro-batch, in its own folder.
 
@@ -58,21 +67,13 @@ def serving_sink(serving: ServingTable) -> Callable[[DataFrame, int], None]:
 
 
 def version_sink(store: FeatureStore, pipeline: str, source: str, contract: Contract) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` function: every closed feature window becomes one store version.
+    """``foreachBatch`` function: every closed feature window becomes one store version, all of a micro-batch in one write.
 
-    The batch is stored first, as each further use would run the stateful steps again. Its
-    windows are few (one a day), and only their end times reach the driver. A batch run again
-    after a failure skips versions already finished.
+    The batch is stored first, as each further use would run the stateful steps again. A batch run again
+    after a failure leaves versions already finished as they are.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch = written(batch, "windows")
-        ends = sorted(r[0] for r in batch.selectExpr(f"unix_micros({TIME_COL})").distinct().collect())
-        for end in ends:
-            rows = batch.where(f"{TIME_COL} = timestamp_micros({end})")
-            try:
-                store.write(rows, end, pipeline, source, contract)
-            except VersionExists:
-                continue
+        store.write_windows(written(batch, "windows"), pipeline, source, contract)
 
     return apply

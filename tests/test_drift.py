@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 
 from featureops.functions.ranking import exact_sample
 from featureops.operators.drift import (
-    common_columns, drift_decision, drift_gate, ks_by_column, ks_full, ks_p_value, numeric_columns, top_columns,
+    common_columns, drift_decision, drift_gate, drift_profile, ks_by_column, ks_from_profile, ks_full, ks_p_value, numeric_columns,
+    profiled_columns, top_columns,
 )
 from featureops.params import DriftLimits
 
@@ -154,3 +156,27 @@ def test_exact_sample(spark):
     assert picked != {r.k for r in exact_sample(df, 700, ["k"], 43).collect()}
     assert exact_sample(df, 5000, ["k"], 42).count() == 5000 and exact_sample(df, 9999, ["k"], 42).count() == 5000
     assert exact_sample(df.limit(0), 5, ["k"], 42).count() == 0
+
+
+def test_profile_gives_the_same_distances(spark, tmp_path):
+    """Against the stored profile: equal results, reference rows only from open buckets, none where the profile settles it."""
+    rnd = random.Random(4)
+    rows = [(i, rnd.gauss(0, 1), float(rnd.randrange(4)), None if i % 9 == 0 else rnd.expovariate(1), math.nan if i % 11 == 0 else 1.0) for i in range(4_000)]
+    names = "k long, a double, ties double, holes double, flat double"
+    ref, new = spark.createDataFrame(rows, names), spark.createDataFrame([(k + 500, a * 1.2, t, h, f) for k, a, t, h, f in rows[:3_000]], names)
+    columns = ["k", "a", "ties", "holes", "flat"]
+    want = sorted(map(tuple, ks_by_column(new, ref, columns).collect()))
+    for buckets in (4, 64, 1024):
+        profile = drift_profile(ref, buckets)
+        assert profile.groupBy("col_name").sum("n").where("col_name = 'a'").first()[1] == 4_000
+        assert profiled_columns(new, profile) == columns
+        got = sorted(map(tuple, ks_from_profile(new, profile, ref, columns).collect()))
+        assert [g[:4] for g in got] == [w[:4] for w in want]
+        assert all(g[4:] == pytest.approx(w[4:], abs=1e-12) for g, w in zip(got, want))
+    # integers of few values: every bucket holds one value, so no reference row is needed
+    few = ref.select((F.col("k") % 20).alias("k"))
+    settled = ks_from_profile(few.where("k < 15"), drift_profile(few), spark.createDataFrame([], "k long"), ["k"])
+    assert settled.first().ks == pytest.approx(ks_by_column(few.where("k < 15"), few, ["k"]).first().ks)
+    # too coarse: the full plan takes over
+    assert ks_from_profile(new, drift_profile(ref, 4), ref, ["a"], bucket_rows=10).first().ks == pytest.approx(want[1][4])
+    assert ks_from_profile(new.limit(3), drift_profile(ref), ref, columns).count() == 0

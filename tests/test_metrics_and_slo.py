@@ -3,8 +3,10 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
+
 from featureops.operators.rates import (
-    counter_rates, error_signals, latency_quantile, min_up, newest_in_lookback, quantile_of_buckets, series_present,
+    counter_rates, dealt, error_signals, latency_quantile, min_up, newest_in_lookback, quantile_of_buckets, series_present,
 )
 from featureops.operators.slo import escalation, fleet_convergence, rollback_decision
 from featureops.params import EvalGrid, RollbackLimits
@@ -85,6 +87,20 @@ def test_grid_matches_brute_force(spark, step, window):
         assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_one_exchange_and_one_row_a_sample(spark, capsys):
+    """Windows of five minutes every 15 seconds over scrapes every 15 seconds: 20 windows overlap, nothing is copied to them."""
+    rows = counter(spark, [(15 * i, i) for i in range(2_000)], pod="a").unionByName(counter(spark, [(15 * i, 7 * i) for i in range(2_000)], pod="b"))
+    start = epoch_us("2025-01-01T00:00:00")
+    grid = EvalGrid(start, start + 15_000_000 * 2_000)
+    sent = dealt(rows.withColumn("metric", F.lit("m")), grid, {"m": 5 * MIN}).count()
+    assert sent <= 1.15 * 4_000
+    rated = counter_rates(rows, grid, 5 * MIN, False)
+    rated.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    assert rated.count() == 2 * 2_000
+    assert {round(r.rate * 300) for r in rated.where("labels.pod = 'b' AND eval_ts > TIMESTAMP '2025-01-01 01:00:00' AND eval_ts < TIMESTAMP '2025-01-01 08:00:00'").collect()} == {19 * 7}
+
+
 def test_series_are_kept_apart_by_all_labels(spark):
     rows = [("http_requests_total", {"status": s, "pod": p}, t, t * k) for (s, p, k) in (("200", "a", 1), ("500", "a", 2), ("200", "b", 3)) for t in (15, 30, 45, 60)]
     rows += [("http_requests_total", {"pod": "c", "status": "200"}, 15, 1), ("http_requests_total", {"status": "200", "pod": "c"}, 60, 46)]

@@ -8,8 +8,8 @@ from pyspark.errors import AnalysisException
 from featureops.operators.features import align_to_contract, batch_quality, contract_columns, entity_features, label_distribution, rule_label
 from featureops.params import LabelRule
 from featureops.sources.contract import parse_contract, read_contract
-from featureops.sources.raw_events import raw_line_check, read_raw_events, require_raw_data, typed_events
-from pyspark.sql import functions as F
+from featureops.sources.raw_events import header_groups, raw_line_check, read_raw_events, read_typed_events, require_raw_data, typed_events
+from pyspark.sql import Observation, functions as F
 
 AS_OF = "2025-11-20T00:00:00"
 
@@ -177,3 +177,31 @@ def test_cells_of_long_and_quoted_lines(spark, raw_file):
 def test_unnamed_header_cells_are_read(spark, raw_file):
     f = built(spark, raw_file("user_id,event_ts,session_length_sec,\n1,2025-11-19T10:00:00,60,\n"))
     assert f[1].f_avg_session_sec_7d == 60.0
+
+
+def test_files_of_several_headers(spark, tmp_path, capsys):
+    """Columns are bound by name in each file; short rows, blank cells and extra cells keep their meaning; one scan."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("user_id,event_ts,session_length_sec\n1,2025-11-19T10:00:00,120\n2,2025-11-19T10:00:00,\n3,2025-11-19T10:00:00\n")
+    (folder / "b.csv").write_text('session_length_sec,extra,user_id,ts\r\n60,"x, ""y""",1,2025-11-19 11:00:00\r\n,z,2\r\n\r\n7,z,4,2025-11-19 11:00:00,more,cells\r\n')
+    (folder / "c.csv").write_text("\n  \nuser_id\n1\n")
+    (folder / "d.csv").write_text("")
+    (folder / "e.csv").write_text("user_id,event_ts,session_length_sec\n5,,9\n")
+    groups = {tuple(names): len(files) for names, files in header_groups(spark, str(folder))}
+    assert groups == {("user_id", "event_ts", "session_length_sec"): 2, ("session_length_sec", "extra", "user_id", "ts"): 1, ("user_id",): 1}
+    seen = Observation()
+    typed = read_typed_events(spark, str(folder), lines=seen)
+    got = sorted(((r.user_id, r.session_sec, r.event_time is not None) for r in typed.collect()), key=str)
+    assert got == sorted([(1, 120.0, True), (2, 0.0, True), (3, None, True), (1, 60.0, True), (2, 0.0, False), (4, 7.0, True), (1, None, False), (5, 9.0, False)], key=str)
+    assert seen.get["lines"] == raw_line_check(spark, str(folder)).first().lines == 12
+    typed.explain()
+    assert capsys.readouterr().out.count("FileScan text") == 3  # each file once, in the scan of its group
+
+
+def test_single_header_reads_agree(spark, raw_file):
+    text = 'user_id,event_ts,session_length_sec\n1,2025-11-19T10:00:00,120\n1.9,2025-11-19 10:00:00,abc\n 2 ,2025-1-2T3:4:5,\n5,x\n6,y,5,9\n"7","2025-11-19T10:00:00","1,5"\n'
+    path = raw_file(text)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(read_typed_events(spark, path)) == rows(typed_events(read_raw_events(spark, path)))
+    assert read_typed_events(spark, raw_file("", "none.csv")).count() == 0

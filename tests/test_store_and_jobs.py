@@ -7,7 +7,7 @@ from featureops.operators.materialize import ServingTable, latest_per_entity, ma
 from featureops.params import DriftLimits
 from featureops.plans.feature_job import build_version, gate_version, release_version
 from featureops.sources.contract import parse_contract
-from featureops.sources.feature_store import FeatureStore, VersionExists, stored_bytes, with_utc_event_time
+from featureops.sources.feature_store import FeatureStore, VersionExists, with_utc_event_time
 
 CONTRACT = parse_contract(
     '{"feature_set": "act", "columns": [{"name": "user_id"}, {"name": "f_total_events_7d"}, {"name": "f_avg_session_sec_7d"},'
@@ -66,11 +66,6 @@ def test_versions_and_release(spark, store, tmp_path):
     assert copy.columns == list(CONTRACT.columns) and copy.count() == 300
 
 
-def test_stored_bytes(spark, store, tmp_path):
-    v = build_version(spark, raw_csv(tmp_path / "a.csv", 60), store, CONTRACT, "2025-11-20T00:00:00", "p").version
-    assert stored_bytes(spark, store.feature_uri(v)).first()["bytes"] > 0
-
-
 def test_half_written_version_is_invisible(spark, store):
     rows = spark.range(3).select(F.col("id").alias("user_id"), F.lit(1).alias("label"))
     store.write(rows, "2025-11-20T00:00:00", "p", "s", CONTRACT)
@@ -129,3 +124,68 @@ def test_versions_with_other_columns_are_read_together(spark, store):
     store.write(spark.sql("SELECT 1L AS user_id, 2.0D AS f_x, 4.0D AS f_new"), "2025-01-02T00:00:00", "p", "s", contract)
     rows = store.read_all().orderBy("version").collect()
     assert [(r.f_old, r.f_new) for r in rows] == [(3.0, None), (None, 4.0)]
+
+
+def files_of(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_serving_increment_touches_its_buckets_only(spark, tmp_path):
+    serving = ServingTable(spark, str(tmp_path / "serving"), buckets=50, fold_every=3)
+    rows = spark.range(2_000).selectExpr("id AS user_id", "TIMESTAMP '2026-01-02' AS event_timestamp", "'a' AS version", "CAST(id AS DOUBLE) AS x")
+    serving.refresh(rows, "2026-01-03T00:00:00")
+    want = {i: float(i) for i in range(2_000)}
+    before = files_of(tmp_path / "serving")
+    for n in range(1, 6):  # 1 % of the entities each time
+        fresh = rows.where(f"user_id % 1000 = {n} OR user_id IN (7, {3_000 + n})").selectExpr(
+            "user_id", f"TIMESTAMP '2026-01-03' + INTERVAL {n} HOUR AS event_timestamp", "'b' AS version", f"CAST({n} AS DOUBLE) AS x", f"{n} AS added")
+        serving.advance(fresh.unionByName(rows, allowMissingColumns=True), f"2026-01-03T{n:02d}:00:00")
+        want |= {i: float(n) for i in (n, n + 1000, 7)}
+        new = {f for f in files_of(tmp_path / "serving") if f not in before}
+        assert {f.split("/")[1] for f in new} == {f"snapshot={n + 1}"}
+        touched = {f.split("/")[2] for f in new}
+        assert len(touched) <= 3
+        # the third delta of a bucket is folded into a new base
+        manifest = serving.manifest(n + 1)
+        assert all(len(deltas) < 3 for _, deltas in manifest.values())
+        before = files_of(tmp_path / "serving")
+        assert {r.user_id: r.x for r in serving.read().collect()} == want
+    assert any(f.startswith("base/snapshot=4/") for f in before)
+
+
+def test_serving_table_without_rows_and_marks(spark, tmp_path):
+    serving = ServingTable(spark, str(tmp_path / "serving"), buckets=4)
+    with pytest.raises(ValueError):
+        serving.read()
+    rows = history(spark, ROWS)
+    assert serving.refresh(rows, "2025-01-01T00:00:00", "2024-01-01T00:00:00").count() == 0
+    serving.merge(history(spark, [(1, 0, "a", 1.0), (2, 3, "a", 2.0)]), 2)
+    # the mark is the newest event time: what is before is not read again
+    late = history(spark, [(3, 1, "a", 3.0), (4, 4, "a", 4.0)])
+    assert {r.user_id: r.x for r in serving.advance(late, "2026-02-01T00:00:00").collect()} == {1: 1.0, 2: 2.0, 4: 4.0}
+
+
+def test_windows_become_versions_in_one_write(spark, store):
+    contract = parse_contract('{"feature_set": "act", "columns": [{"name": "user_id"}]}', "act")
+    rows = spark.range(300).selectExpr("id AS user_id", "TIMESTAMP '2026-01-01' + make_interval(0, 0, 0, CAST(id % 5 AS INT)) AS event_timestamp", "CAST(id AS DOUBLE) AS f_x")
+    first = store.write_windows(rows.where("id % 5 < 3"), "stream", "events", contract)
+    assert first == [f"v_202601{d:02d}T090000" for d in (1, 2, 3)]
+    before = {r.f: r.m for r in store.read_all().selectExpr("input_file_name() AS f", "1 AS m").distinct().collect()}
+    # two more windows; the finished ones come again and stay as they are
+    assert store.write_windows(rows.withColumn("f_x", F.lit(-1.0)), "stream", "events", contract) == ["v_20260104T090000", "v_20260105T090000"]
+    stored = store.read_all()
+    assert before.keys() <= {r.f for r in stored.selectExpr("input_file_name() AS f").distinct().collect()}
+    assert {r.version: (r.n, r.bad) for r in stored.groupBy("version").agg(F.count("*").alias("n"), F.count_if(F.col("f_x") < 0).alias("bad")).collect()} == {
+        v: (60, 60 * (v > "v_20260103T090000")) for v in [*first, "v_20260104T090000", "v_20260105T090000"]}
+    lineage = {r.version: r for r in store.versions().collect()}
+    assert all(r.min_event_time == r.max_event_time == r.generated_at for r in lineage.values()) and len(lineage) == 5
+    assert store.write_windows(rows, "stream", "events", contract) == []
+
+
+def test_time_range_lists_overlapping_versions_only(spark, store):
+    contract = parse_contract('{"feature_set": "act", "columns": [{"name": "user_id"}]}', "act")
+    rows = spark.range(50).selectExpr("id AS user_id", "TIMESTAMP '2026-01-01' + make_interval(0, 0, 0, CAST(id % 10 AS INT)) AS event_timestamp")
+    store.write_windows(rows, "p", "s", contract)
+    part = store.read_all("2026-01-03T00:00:00", "2026-01-04T12:00:00")
+    assert {f.split("version=")[1][:11] for f in part.inputFiles()} == {"v_20260103T", "v_20260104T"}
+    assert part.count() == 10 and store.read_all("2027-01-01T00:00:00").count() == 0 and store.read_all(end="2026-01-02T00:00:00").count() == 10

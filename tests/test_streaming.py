@@ -12,7 +12,7 @@ from featureops.session import epoch_us
 from featureops.sources.contract import parse_contract
 from featureops.sources.feature_store import FeatureStore
 from featureops.sources.metric_samples import SAMPLE_SCHEMA
-from featureops.streaming.escalation import escalation_sink
+from featureops.streaming.escalation import escalation_sink, escalations
 from featureops.streaming.features import stream_features
 from featureops.streaming.jobs import collected, per_batch, run_sink, serving_sink, version_sink
 from featureops.streaming.rates import stream_counter_rates
@@ -146,9 +146,34 @@ def test_stream_escalation_carries_runs(spark, tmp_path):
     base = str(tmp_path / "esc")
     sink = escalation_sink(base)
     run_sink(stream, sink, str(tmp_path / "ckpt")).awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
-    assert {(r.namespace, r.ts): (r.consecutive, r.severity) for r in out.collect()} == counted(rows)
+    judged = {(r.namespace, r.ts): (r.consecutive, r.severity) for r in escalations(spark, base).collect()}
+    assert judged == counted(rows)
     # running a batch again changes nothing
     last = spark.read.parquet(str(tmp_path / "source")).where(F.col("ts") >= sorted(rows, key=lambda r: r[2])[60][2])
     sink(last, 3)
-    assert spark.read.parquet(f"{base}/out").count() == len(rows)
+    assert {(r.namespace, r.ts): (r.consecutive, r.severity) for r in escalations(spark, base).collect()} == counted(rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_escalation_takes_counts_back(spark, tmp_path, seed):
+    """Shuffled micro-batches: what was given out before a late row came is corrected, and only that."""
+    rows = outcome_rows(40, seed)
+    shuffled = rows[:]
+    random.Random(seed).shuffle(shuffled)
+    parts = [shuffled[i::5] for i in range(5)]
+    base = str(tmp_path / "esc")
+    run_sink(as_stream(spark, tmp_path, parts, OUTCOMES), escalation_sink(base, lateness_sec=10**8), str(tmp_path / "ckpt")).awaitTermination()
+    assert {(r.namespace, r.ts): (r.consecutive, r.severity) for r in escalations(spark, base).collect()} == counted(rows)
+    said = spark.read.parquet(f"{base}/out")
+    assert len(rows) < said.count() < 3 * len(rows)
+    assert spark.read.parquet(f"{base}/late").count() == 0
+
+
+def test_stream_escalation_reports_what_is_too_late(spark, tmp_path):
+    missing = lambda s: ("job", "ns", T0 + timedelta(seconds=s), False, "OBSERVABILITY_PARTIAL")
+    parts = [[missing(0), missing(100), missing(200)], [missing(300)], [missing(50), missing(250)]]
+    base = str(tmp_path / "esc")
+    run_sink(as_stream(spark, tmp_path, parts, OUTCOMES), escalation_sink(base, lateness_sec=120), str(tmp_path / "ckpt")).awaitTermination()
+    got = {(r.ts - T0).seconds: r.consecutive for r in escalations(spark, base).collect()}
+    assert got == {0: 1, 100: 2, 200: 3, 250: 4, 300: 5}
+    assert [(r.ts - T0).seconds for r in spark.read.parquet(f"{base}/late").collect()] == [50]
