@@ -29,14 +29,13 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
 
 
 def class_summary(df: DataFrame, label: str = LABEL_COL) -> DataFrame:
-    """One row: rows, classes, smallest class, sorted class values, rows without a label."""
+    """One row: rows, number of classes, smallest class, rows without a label."""
     per_class = df.groupBy(F.col(label).cast("int").alias("cls")).agg(F.count("*").alias("n"))
     known = F.col("cls").isNotNull()
     return per_class.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.count("cls").alias("n_classes"),
         F.coalesce(F.min(F.when(known, F.col("n"))), F.lit(0)).alias("min_class_rows"),
-        F.array_sort(F.collect_set("cls")).alias("classes"),
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_unlabelled"),
     )
 
@@ -52,7 +51,6 @@ def training_check(df: DataFrame, limits: TrainLimits = TrainLimits()) -> DataFr
             "n_rows",
             F.lit(None).cast("bigint").alias("n_classes"),
             F.lit(None).cast("bigint").alias("min_class_rows"),
-            F.lit(None).cast("array<int>").alias("classes"),
             F.lit(None).cast("bigint").alias("n_unlabelled"),
         )
     reason = (
@@ -64,7 +62,7 @@ def training_check(df: DataFrame, limits: TrainLimits = TrainLimits()) -> DataFr
     status = F.when(reason.isNull(), "ok").when(reason.startswith("error"), "error").otherwise("skip")
     return class_summary(df).select(
         status.alias("status"), F.coalesce(reason, F.lit("")).alias("reason"),
-        "n_rows", "n_classes", "min_class_rows", "classes", "n_unlabelled",
+        "n_rows", "n_classes", "min_class_rows", "n_unlabelled",
     )
 
 
@@ -179,16 +177,16 @@ def train(
     # Written once and read back: fitting scans it many times, and lost executors must not redo the split.
     parts = written(split(typed, key_cols, limits=limits, stratify=stratify), "split")
     train_part, test_part = parts.where(~F.col("is_test")), parts.where("is_test")
-    # stratified, so every class is in the training part; a plain split may lose one
-    classes = check.classes if stratify else [r[0] for r in train_part.select(LABEL_COL).distinct().collect()]
-    model = fit_classifier(train_part, classes, limits)
+    # the classes the model has seen: a plain split may leave one to the test part
+    seen = parts.groupBy(LABEL_COL).agg(F.count_if(~F.col("is_test")).alias("n")).orderBy(LABEL_COL).collect()
+    model = fit_classifier(train_part, [r[0] for r in seen if r.n], limits)
     smoke_check(model, spark)
     scored = score(model, test_part)
     metrics = classification_metrics(scored).first()
     run_id = uuid.uuid4().hex
     run = _run_row(
         spark, run_time, source, limits, status="ok", reason="", run_id=run_id, train_rows=check.n_rows,
-        train_classes=",".join(map(str, check.classes)), n_classes=check.n_classes,
+        train_classes=",".join(str(r[0]) for r in seen), n_classes=check.n_classes,
         accuracy=metrics.accuracy, f1_macro=metrics.f1_macro,
     )
     return TrainResult(run, metrics.accuracy, run_id, model, scored)
