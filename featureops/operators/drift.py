@@ -119,13 +119,6 @@ class _ColumnState:
     largest_open: int = 0
 
 
-def _counts(wide: DataFrame, n_cols: int) -> list[tuple[int, int]]:
-    one = wide.agg(
-        *[F.count(F.when(F.col("is_new") == s, F.col(f"c{i}"))) for i in range(n_cols) for s in (1, 0)]
-    ).first()
-    return [(one[2 * i], one[2 * i + 1]) for i in range(n_cols)]
-
-
 def _long(wide: DataFrame, states: Sequence[_ColumnState]) -> DataFrame:
     """(is_new, col_pos, value)."""
     cells = [F.struct(F.lit(s.pos).alias("col_pos"), F.col(f"c{s.pos}").alias("value")) for s in states]
@@ -233,20 +226,15 @@ def ks_full(
         return ks_by_column(new, ref, columns, min_values)
     wide = _wide(new, ref, columns)
     limit = max(min_values, 1)
-    counts = _counts(wide, len(columns))
-    states = {
-        i: _ColumnState(i, n, m, [0.0], largest_open=n + m)
-        for i, (n, m) in enumerate(counts)
-        if n >= limit and m >= limit
-    }
-    if not states:
-        return ks_by_column(new, ref, [], min_values)
+    n_rows = wide.count()  # from the files' footers; the values of each column are counted with its buckets
+    states = {i: _ColumnState(i, 0, 0, [0.0], largest_open=n_rows) for i in range(len(columns))}
     active = list(states.values())
     while active:
         # the first sample is of whole rows, later ones are of the values in open buckets
         share = _sample_share(active, buckets)
         rows = wide if share == 1.0 else wide.sample(share, seed)
-        if active[0].open_buckets is None:
+        first = active[0].open_buckets is None
+        if first:
             added = _new_splits(_long(rows, active), buckets)
         else:
             opened = F.broadcast(_open_table(spark, active))
@@ -260,7 +248,16 @@ def ks_full(
         edges = _bucketed(wide, active).groupBy("col_pos", "bucket").agg(
             F.sum("is_new").alias("a"), F.sum(1 - F.col("is_new")).alias("b")
         )
-        _judge(((r.col_pos, r.bucket, r.a, r.b) for r in edges.collect()), {s.pos: s for s in active})
+        found = [(r.col_pos, r.bucket, r.a, r.b) for r in edges.collect()]
+        if first:
+            for pos, _, a, b in found:
+                states[pos].n_new += a
+                states[pos].n_ref += b
+            states = {i: s for i, s in states.items() if s.n_new >= limit and s.n_ref >= limit}
+            if not states:
+                return ks_by_column(new, ref, [], min_values)
+        judged = {s.pos: s for s in active if s.pos in states}
+        _judge((e for e in found if e[0] in judged), judged)
         active = [s for s in states.values() if s.largest_open > bucket_rows] if parted else []
     return _open_and_finish(spark, wide, states, columns)
 
@@ -310,12 +307,11 @@ def drift_profile(df: DataFrame, buckets: int = 1024, seed: int = DriftLimits.se
     if not columns:
         return spark.createDataFrame([], PROFILE_SCHEMA)
     wide = _wide(df.limit(0), df, columns)
-    states = [_ColumnState(i, 0, m, [0.0], largest_open=m) for i, (_, m) in enumerate(_counts(wide, len(columns)))]
-    filled = [s for s in states if s.n_ref]
-    if filled:
-        added = _new_splits(_long(wide.sample(_sample_share(filled, buckets), seed), filled), buckets)
-        for s in filled:
-            s.splits = sorted({*s.splits, *added.get(s.pos, [])})
+    n_rows = df.count()
+    states = [_ColumnState(i, 0, 0, [0.0], largest_open=n_rows) for i in range(len(columns))]
+    added = _new_splits(_long(wide.sample(_sample_share(states, buckets), seed), states), buckets)
+    for s in states:
+        s.splits = sorted({*s.splits, *added.get(s.pos, [])})
     counts = _bucketed(wide, states).groupBy("col_pos", "bucket").agg(F.count("*").alias("n")).collect()
     known = {(r.col_pos, r.bucket): r.n for r in counts}
     inf = float("inf")
