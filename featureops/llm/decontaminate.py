@@ -52,6 +52,10 @@ class Items:
         self.terms = [np.array([self.term_of[w] for w in row], "i4") for _, _, row in kept]
         self.answers = [answer_of(t, row) for (_, t, _), row in zip(kept, self.terms)]
         self.size = len(self.term_of)
+        self.sets = [frozenset(t.tolist()) for t in self.terms]
+        self.masks = [places_of(t) for t in self.terms]
+        # A common subsequence has at most as many words as terms are shared, and the item's repeated words.
+        self.shared = [int(np.ceil(LIKELY * len(t))) - (len(t) - len(u)) for t, u in zip(self.terms, self.sets)]
 
 
 def answer_of(text: str, terms: np.ndarray) -> np.ndarray:
@@ -60,15 +64,21 @@ def answer_of(text: str, terms: np.ndarray) -> np.ndarray:
     return terms[-n:]
 
 
-def common_length(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, a bit for each word of a."""
+def places_of(a: np.ndarray) -> dict[int, int]:
+    """Where each term stands in a, a bit for each word."""
     masks: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         masks[x] = masks.get(x, 0) | 1 << i
+    return masks
+
+
+def common_length(a: np.ndarray, b: np.ndarray, masks: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, a bit for each word of a; ``masks`` are a's places, if known."""
+    get = (places_of(a) if masks is None else masks).get
     full = (1 << len(a)) - 1
     row = full
     for x in b.tolist():
-        if m := masks.get(x):
+        if m := get(x):
             u = row & m
             row = ((row + u) | (row - u)) & full
     return len(a) - row.bit_count()
@@ -109,6 +119,12 @@ def stream(batch: pa.RecordBatch, first: int, unit: int, gap: int) -> tuple[np.n
     return terms.astype("i8"), np.repeat(starts[:-1], [len(r) // 4 for r in rows]) + at // unit, starts
 
 
+def unit_place(batch: pa.RecordBatch, first_unit: np.ndarray) -> np.ndarray:
+    """Of a batch of doc_id, n_words, at, terms: the place of each term, counted as units of ``STRIDE`` are."""
+    rows = batch.column(2).to_pylist()
+    return np.frombuffer(b"".join(rows), "i4") + np.repeat(first_unit[:-1] * STRIDE, [len(r) // 4 for r in rows])
+
+
 def frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """Number of passages with each term, over all documents, and of passages."""
 
@@ -240,7 +256,8 @@ def matches(rows: DataFrame, items: Any, embed: Any) -> DataFrame:
         each = np.stack([e[t].sum(0) for t in known.terms])
         size = np.linalg.norm(each, axis=1, keepdims=True)
         each = np.ascontiguousarray((each / np.maximum(size, 1e-12)).T)
-        short = np.flatnonzero([len(t) <= SHORT for t in known.terms])
+        length = np.array([len(t) for t in known.terms])
+        short = np.flatnonzero(length <= SHORT)
         kinds = [(UNITS, np.arange(len(known.terms)), each), (SHORT_UNITS, short, np.ascontiguousarray(each[:, short]))]
 
         def step(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
@@ -251,7 +268,8 @@ def matches(rows: DataFrame, items: Any, embed: Any) -> DataFrame:
             keep = used[terms]
             term, unit = terms[keep], unit[keep]
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            read: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            # words are numbered through as units are
+            place = unit_place(batch, first_unit)
             # a passage begins at each unit up to two before one that has a word of the vocabulary
             busy = np.unique(unit)
             start = np.unique((busy[:, None] - np.arange(UNITS)).ravel())
@@ -271,24 +289,28 @@ def matches(rows: DataFrame, items: Any, embed: Any) -> DataFrame:
                     near = passages @ those
                     for p, i in np.argwhere(near >= COSINE * norm[:, None]).tolist():
                         pairs[p, int(which[i])] = max(pairs.get((p, int(which[i])), 0.0), float(near[p, i] / norm[p]))
-                for (p, i), cosine in pairs.items():
-                    d = int(np.searchsorted(first_unit, part[p], "right")) - 1
-                    item = known.terms[i]
-                    begin = (int(part[p]) - int(first_unit[d])) * STRIDE
-                    more = STRIDE + max(0, len(item) - PASSAGE)
-                    if d not in read:
-                        read[d] = (np.frombuffer(batch.column(2)[d].as_py(), "i4"), np.frombuffer(batch.column(3)[d].as_py(), "i4"))
-                    at, own = read[d]
-                    low_at, high_at = np.searchsorted(at, [begin - more, begin + PASSAGE + more])
-                    around = own[low_at:high_at]
-                    lcs = common_length(item, around) / len(item)
+                if not pairs:
+                    continue
+                p, i = np.array(list(pairs), "i8").T
+                d = np.searchsorted(first_unit, part[p], "right") - 1
+                begin, more = part[p] * STRIDE, STRIDE + np.maximum(0, length[i] - PASSAGE)
+                from_, to = (np.searchsorted(place, np.clip(x, first_unit[d] * STRIDE, first_unit[d + 1] * STRIDE)) for x in (begin - more, begin + PASSAGE + more))
+                seen: dict[tuple[int, int], set[int]] = {}
+                for doc, j, x, y, cosine in zip(d.tolist(), i.tolist(), from_.tolist(), to.tolist(), pairs.values()):
+                    around = seen.get((x, y))
+                    if around is None:
+                        around = seen[x, y] = set(terms[x:y].tolist())
+                    if len(known.sets[j] & around) < known.shared[j]:
+                        continue
+                    item = known.terms[j]
+                    lcs = common_length(item, terms[x:y], known.masks[j]) / len(item)
                     if lcs < LIKELY:
                         continue
-                    answer = known.answers[i]
-                    told = common_length(answer, around) / len(answer)
+                    answer = known.answers[j]
+                    told = common_length(answer, terms[x:y]) / len(answer)
                     if lcs >= SURE or told >= SURE:
                         found = (lcs, told, cosine)
-                        best[d, i] = max(best.get((d, i), found), found)
+                        best[doc, j] = max(best.get((doc, j), found), found)
             yield {
                 "doc_id": batch.column(0).take(pa.array([d for d, _ in best], pa.int64())), "item_id": [known.ids[i] for _, i in best],
                 "cosine": [v[2] for v in best.values()], "lcs": [v[0] for v in best.values()], "answer": [v[1] for v in best.values()],
