@@ -119,6 +119,13 @@ def stream(batch: pa.RecordBatch, first: int, unit: int, gap: int) -> tuple[np.n
     return terms.astype("i8"), np.repeat(starts[:-1], [len(r) // 4 for r in rows]) + at // unit, starts
 
 
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1))
+    return keys[at], np.diff(at, append=len(keys))
+
+
 def unit_place(batch: pa.RecordBatch, first_unit: np.ndarray) -> np.ndarray:
     """Of a batch of doc_id, n_words, at, terms: the place of each term, counted as units of ``STRIDE`` are."""
     rows = batch.column(2).to_pylist()
@@ -138,7 +145,7 @@ def frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
                 yield {"term": some, "n": total[some]}
                 return
             terms, group, starts = stream(batch, 0, PASSAGE, 0)
-            total += np.bincount(np.unique(group * size + terms) % size, minlength=size + 1)
+            total += np.bincount(runs(group * size + terms)[0] % size, minlength=size + 1)
             total[size] += starts[-1]
 
         return step
@@ -161,10 +168,10 @@ def term_weights(items: Items, df: np.ndarray, passages: int) -> np.ndarray:
 def rows_of(group: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows of unit length: (row number, term, value), rows numbered from 0 by group."""
     size = len(weights)
-    keys, count = np.unique(group * size + terms, return_counts=True)
-    term = keys % size
+    keys, count = runs(group * size + terms)
+    row, term = np.divmod(keys, size)
     value = count * weights[term]
-    _, row = np.unique(keys // size, return_inverse=True)
+    row = np.cumsum(np.diff(row, prepend=row[:1]) != 0)
     norm = np.sqrt(np.bincount(row, value * value)) if len(row) else np.zeros(0)
     return row, term, (value / np.maximum(norm[row], 1e-12)).astype("f4")
 
@@ -271,8 +278,8 @@ def matches(rows: DataFrame, items: Any, embed: Any) -> DataFrame:
             # words are numbered through as units are
             place = unit_place(batch, first_unit)
             # a passage begins at each unit up to two before one that has a word of the vocabulary
-            busy = np.unique(unit)
-            start = np.unique((busy[:, None] - np.arange(UNITS)).ravel())
+            busy = runs(unit)[0]
+            start = runs((busy[:, None] - np.arange(UNITS)).ravel())[0]
             start = start[start >= 0]
             for low in range(0, len(start), BLOCK):
                 part = start[low : low + BLOCK]
