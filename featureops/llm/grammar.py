@@ -44,11 +44,15 @@ REPORTING = Transducer(3, {(0, REPORT): 1, (0, QUOTE): 2, (1, QUOTE): 2, (2, QUO
 # A target stays in mind over six words.
 AIMING = Transducer(7, {(s, TARGET): 6 for s in range(7)}, {s: "targeted" for s in range(1, 7)}, {s: s - 1 for s in range(1, 7)})
 
+# A threat waits three words for the one it is aimed at.
+WAITING = Transducer(4, {(s, THREAT): 3 for s in range(4)} | {(s, TARGET): 0 for s in range(4)}, {}, {s: s - 1 for s in (1, 2, 3)})
+AIMS = -2  # output of a target that a threat waits for
+
 
 class Machine:
-    """The composition: arcs (state, class) -> (next state, feature of a mark or -1)."""
+    """The composition: arcs (state, class) -> (next state, feature of a mark, ``AIMS`` or -1)."""
 
-    def __init__(self, parts: tuple[Transducer, ...] = (NEGATING, REPORTING, AIMING)) -> None:
+    def __init__(self, parts: tuple[Transducer, ...] = (NEGATING, REPORTING, AIMING, WAITING)) -> None:
         numbers = {s: i for i, s in enumerate(itertools.product(*(range(p.states) for p in parts)))}
         self.arcs: list[list[tuple[int, int]]] = []
         for state in numbers:
@@ -64,14 +68,23 @@ class Machine:
                     else:
                         name += next((f"_{m}" for m in ("negated", "reported", "targeted") if m in marks), "")
                     out = FEATURES.index(name)
+                elif kind == TARGET and any(p is WAITING and s for p, s in zip(parts, state)):
+                    out = AIMS
                 row.append((numbers[to], out))
             self.arcs.append(row)
 
     def run(self, clause: list[tuple[int, float]]) -> list[float]:
         """Weights by feature of a clause of (class, weight) tokens."""
         state, out = 0, [0.0] * len(FEATURES)
+        plain, aimed, waits = FEATURES.index("threat"), FEATURES.index("threat_targeted"), 0.0
         for kind, weight in clause:
             state, feature = self.arcs[state][kind]
             if feature >= 0:
                 out[feature] += weight
+                if kind == THREAT:
+                    waits = weight if feature == plain else 0.0
+            elif feature == AIMS and waits:
+                out[plain] = max(0.0, out[plain] - waits)
+                out[aimed] += waits
+                waits = 0.0
         return out

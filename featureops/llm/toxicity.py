@@ -5,10 +5,14 @@ that mark toxic texts among at most ``FIT_ROWS`` labelled training rows of each
 doc_id, each text once). A term counts if its log likelihood ratio against chance exceeds the logarithm of
 the number of terms by ``MARGIN``. A word's arc weight is the log odds of its share of toxic texts (at even
 classes), which backs off from the word to its stems, from longer to shorter ones. Threats, targets,
-negations and reporting words are fixed lists. The composed transducers of ``grammar`` read each clause that
-holds a term, and a text's score is a logistic function of the matched clauses' weights by pattern (plain,
-targeted, negated, reported), whose coefficients are fitted on the same rows and corrected for the classes'
-shares.
+negations and reporting words are fixed lists; a threat weighs as much as the strongest insult. The composed
+transducers of ``grammar`` read each clause that holds a term.
+
+A matched clause counts its arc weights times its pattern's strength. Strengths start from ``STRENGTHS`` (a plain
+insult is 1) and follow the labelled texts in which the pattern stands alone, with ``STRENGTH_PRIOR`` texts for the
+start; they keep their order: targeted at least plain, plain at least negated and reported, those at least both. So
+an aimed insult never counts less than a plain one, and few labels leave the grammar's own order. A text's score is
+a logistic function of the logarithm of the sum, fitted on the same rows and corrected for the classes' shares.
 
 Every text is read whole, in one pass without a shuffle. Null and empty texts get the score of a text
 without a match. Repeated rows each get a row. Without labels of both classes the lexicon is empty and the
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from featureops.llm.common import remainder, scan, table, texts, written
-from featureops.llm.grammar import CLAUSE_ENDS, FEATURES, INSULT, NEGATION, NEGATIONS, OTHER, QUOTE, QUOTES, REPORT, REPORTS, TARGET, TARGETS, THREAT, THREATS, Machine
+from featureops.llm.grammar import CLAUSE_ENDS, FEATURES, INSULT, KINDS, NEGATION, NEGATIONS, OTHER, QUOTE, QUOTES, REPORT, REPORTS, TARGET, TARGETS, THREAT, THREATS, Machine
 from featureops.llm.quality import training_rows
 from featureops.llm.rule_ensemble import lasso_logistic
 
@@ -39,20 +43,25 @@ STEMS = range(4, 9)
 MARGIN = 3.0
 PURITY = 0.75  # least share of toxic texts, at even classes, for a word to be an insult
 PRIOR = 2.0  # texts that a shorter stem's share counts as
+STRENGTHS = {"": 1.0, "_targeted": 1.25, "_negated": 0.25, "_reported": 0.4, "_negated_reported": 0.1}
+UNAIMED = 0.1  # start of a threat at nobody, as a share of an aimed one
+STRENGTH_PRIOR = 8.0  # texts that a start counts as
 SEEN = 2  # least number of texts with a term that refines a stem
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[" + re.escape(QUOTES + CLAUSE_ENDS) + "]")
 
 
 @dataclass
 class Lexicon:
-    """Numbers of toxic and clean texts (at even classes) by term, and the logistic function over the features.
+    """Numbers of toxic and clean texts (at even classes) by term, the patterns' strengths, the logistic function.
 
     ``starts`` are the shortest terms that count; a word is looked up if it begins with one."""
 
     terms: dict[str, tuple[float, float]] = field(default_factory=dict)
     starts: frozenset[str] = frozenset()
     bias: float = 0.0
-    coefficients: tuple[float, ...] = (0.0,) * len(FEATURES)
+    slope: float = 0.0
+    threat: float = 1.0
+    strengths: tuple[float, ...] = (0.0,) * len(FEATURES)
 
     def __post_init__(self) -> None:
         self.machine = Machine()
@@ -74,7 +83,7 @@ class Lexicon:
                 self.known.clear()
             weight = self.insult(word)
             kind = INSULT if weight else THREAT if word in THREATS else NEGATION if word in NEGATIONS else TARGET if word in TARGETS else REPORT if word in REPORTS else QUOTE if word in QUOTES else OTHER
-            self.known[word] = (kind, weight if weight else float(kind == THREAT))
+            self.known[word] = (kind, weight if weight else self.threat * (kind == THREAT))
         return self.known[word]
 
     def found(self, text: str) -> bool:
@@ -89,7 +98,7 @@ class Lexicon:
         return next(self.search.iter(text), None) is not None
 
     def features(self, text: str) -> list[float]:
-        """Weights by pattern: over all matched clauses, as logarithms, since a text may be long."""
+        """Sums of arc weights by pattern over all matched clauses."""
         total = [0.0] * len(FEATURES)
         low = text.lower()
         if not self.found(low):
@@ -104,10 +113,10 @@ class Lexicon:
             else:
                 clause.append(self.token(token))
                 hit |= clause[-1][0] <= THREAT
-        return [math.log1p(x) for x in total]
+        return total
 
     def score(self, features: list[float]) -> float:
-        raw = self.bias + sum(c * x for c, x in zip(self.coefficients, features))
+        raw = self.bias + self.slope * math.log1p(sum(s * x for s, x in zip(self.strengths, features)))
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, raw))))
 
 
@@ -150,6 +159,35 @@ def with_stems(words: dict[str, tuple[float, float]]) -> dict[str, tuple[float,
     return words | {t: (a, b) for t, (a, b) in votes.items()}
 
 
+def starts_of(kind: str) -> dict[str, float]:
+    """Where the patterns of a kind start; a threat is one if it is aimed."""
+    aimed = STRENGTHS["_targeted"]
+    return STRENGTHS if kind == "insult" else {m: aimed if m == "_targeted" else UNAIMED * aimed * STRENGTHS[m] for m in STRENGTHS}
+
+
+def strengths_of(x: np.ndarray, y: np.ndarray, even: float) -> tuple[float, ...]:
+    """Strength of each pattern from the texts' weights by pattern; a clean text counts ``even`` times."""
+    hit = x > 0
+    alone = hit.sum(1) == 1
+    odds = lambda share: math.log(share / (1 - share))
+    seen = [(float((hit[:, k] & alone & (y > 0)).sum()), even * float((hit[:, k] & alone & (y == 0)).sum())) for k in range(len(FEATURES))]
+    toxic, clean = seen[FEATURES.index("insult")]
+    plain = max(odds(PURITY), odds((toxic + PRIOR * PURITY) / (toxic + clean + PRIOR)))
+    out: dict[str, float] = {}
+    for kind in KINDS:
+        for mark, start in starts_of(kind).items():
+            a, b = seen[FEATURES.index(kind + mark)]
+            share = (a + STRENGTH_PRIOR / (1 + math.exp(-start * plain))) / (a + b + STRENGTH_PRIOR)
+            out[kind + mark] = max(0.0, odds(share) / plain)
+        if kind == "insult":
+            out[kind] = 1.0
+        out[kind + "_targeted"] = max(out[kind], out[kind + "_targeted"])
+        for mark in ("_negated", "_reported"):
+            out[kind + mark] = min(out[kind], out[kind + mark])
+        out[kind + "_negated_reported"] = min(out[kind + m] for m in ("_negated", "_reported", "_negated_reported"))
+    return tuple(out[f] for f in FEATURES)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Lexicon:
     rows = training_rows(labels, "toxic", HOLD_MOD, HELD)
     shares = {int(y): n for y, n in rows.groupBy("y").count().collect() if y in (0.0, 1.0)}
@@ -176,13 +214,17 @@ def fitted(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> Lexicon
     near = counts.where(F.left("term", F.lit(min(STEMS))).isin(heads) & (n >= SEEN)) if heads else counts.limit(0)
     even = toxic / clean
     kept = with_stems({t: (float(a), b * even) for t, a, b in near.where(~F.col("term").endswith("*")).collect()})
-    lexicon = Lexicon(kept, starts)
+    arcs = Lexicon(kept, starts)
+    insults = [w for t in kept if not t.endswith("*") and (w := arcs.insult(t))]
+    threat = max(insults, default=1.0)
+    lexicon = Lexicon(kept, starts, threat=threat)
     got = featured(named, lexicon).toPandas()
-    z = np.array(got["features"].tolist(), "f8").reshape(-1, len(FEATURES))
+    x = np.array(got["features"].tolist(), "f8").reshape(-1, len(FEATURES))
     y = got["y"].to_numpy("f8")
+    strengths = strengths_of(x, y, even)
     weight = np.where(y > 0, shares[1] / toxic, shares[0] / clean)
-    bias, w = lasso_logistic(z, y, weight, 1e-4, 500)
-    return Lexicon(kept, starts, bias, tuple(w.tolist()))
+    bias, w = lasso_logistic(np.log1p(x @ np.array(strengths))[:, None], y, weight, 1e-4, 500)
+    return Lexicon(kept, starts, bias, max(0.0, float(w[0])), threat, strengths)
 
 
 def featured(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
