@@ -38,6 +38,7 @@ COMMON, FEW = 0.02, 6
 COSINE = 0.4
 SURE, LIKELY = 0.75, 0.5
 ITEM_BLOCK = 2_000
+PART = 500_000  # words of texts held at once
 BLOCK = 4_096  # passages compared at once
 PRODUCT = 30_000  # values multiplied at once
 
@@ -119,6 +120,29 @@ def stream(batch: pa.RecordBatch, first: int, unit: int, gap: int) -> tuple[np.n
     return terms.astype("i8"), np.repeat(starts[:-1], [len(r) // 4 for r in rows]) + at // unit, starts
 
 
+def in_parts(make: Any, column: int) -> Any:
+    """Gives batches on in runs of rows with some ``PART`` words, which ``column`` tells, so that a task's memory
+    doesn't follow the size of batches. A longer text is a run of its own."""
+
+    def made() -> Any:
+        step = make()
+
+        def parts(batch: pa.RecordBatch | None) -> Iterator[dict[str, Any]]:
+            if batch is None:
+                yield from step(None)
+                return
+            total = np.cumsum(batch.column(column).to_numpy())
+            at = 0
+            while at < len(total):
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PART, "right")))
+                yield from step(batch.slice(at, to - at))
+                at = to
+
+        return parts
+
+    return made
+
+
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys in order, and how often each occurs."""
     keys = np.sort(keys)
@@ -150,7 +174,7 @@ def frequencies(rows: DataFrame, size: int) -> tuple[np.ndarray, int]:
 
         return step
 
-    got = scan(rows.select("n_words", "at", "terms"), make, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = scan(rows.select("n_words", "at", "terms"), in_parts(make, 0), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size + 1, "i8")
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out[:-1], int(out[-1])
@@ -227,7 +251,7 @@ def range_sketch(rows: DataFrame, weights: np.ndarray, omega: Any) -> np.ndarray
 
         return step
 
-    parts = scan(rows.select("n_words", "at", "terms"), make, "term int, part binary")
+    parts = scan(rows.select("n_words", "at", "terms"), in_parts(make, 0), "term int, part binary")
     got = scan(parts.repartition("term"), add, "term int, part binary").toArrow()
     out = np.zeros(omega.value.shape)
     for term, part in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
@@ -325,7 +349,7 @@ def matches(rows: DataFrame, items: Any, embed: Any) -> DataFrame:
 
         return step
 
-    return scan(rows.select("doc_id", "n_words", "at", "terms"), make, "doc_id long, item_id long, cosine double, lcs double, answer double")
+    return scan(rows.select("doc_id", "n_words", "at", "terms"), in_parts(make, 1), "doc_id long, item_id long, cosine double, lcs double, answer double")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
