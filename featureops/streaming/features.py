@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.features import feature_columns, rule_label
+from ..operators.features import feature_columns, rule_label, session_sum, session_totals
 from ..params import LABEL_COL, TIME_COL, LabelRule
 
 
@@ -24,19 +24,21 @@ def stream_features(
         .groupBy("user_id", F.window("event_time", "1 day").alias("day"))
         .agg(
             F.count("*").alias("_n"),
-            F.sum("session_sec").alias("_sum"),
-            F.count("session_sec").alias("_cnt"),
+            *session_totals(),
             F.max("event_time").alias("_last"),
         )
+        # a day whose decimals overflow is held by none
+        .withColumn("_held", F.when(F.col("_exact").isNotNull(), F.col("_held")).otherwise(0))
     )
     sliding = daily.groupBy(
         "user_id", F.window(F.window_time("day"), f"{window_days} days", "1 day").alias("w")
     ).agg(
-        F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.sum("_cnt").alias("_cnt"), F.max("_last").alias("_last")
+        F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"), F.sum("_cnt").alias("_cnt"), F.max("_last").alias("_last"),
+        F.sum("_held").alias("_held"), F.try_sum("_exact").alias("_exact"),
     )
     features = sliding.select(
         "user_id",
-        *feature_columns(F.col("_n"), F.col("_sum"), F.col("_cnt"), F.col("_last"), F.unix_micros("w.end")),
+        *feature_columns(F.col("_n"), session_sum(), F.col("_cnt"), F.col("_last"), F.unix_micros("w.end")),
         F.col("w.end").alias(TIME_COL),
     )
     return features.withColumn(
