@@ -132,6 +132,20 @@ def counter_rates(counters: DataFrame, grid: EvalGrid, window_us: int, extrapola
     return rows.select("job", "namespace", series_labels(), "eval_ts", "rate")
 
 
+EXACT = "decimal(38,30)"  # a rate below 1e8 with up to 30 digits after the point
+
+
+def rate_sum(rate: Column) -> Column:
+    """Sum of rates that doesn't depend on the order of its rows.
+
+    A sum of doubles does, in its last digits, and a signal that lies on a limit would be judged by chance. Decimals add
+    up to the same in any order; where they don't hold all rates, the doubles are added."""
+    exact = rate.try_cast(EXACT)
+    held = F.when(exact.cast("double") == rate, exact)
+    whole = F.when(F.count(held) == F.count(rate), F.try_sum(held).cast("double"))
+    return F.coalesce(whole, F.sum(rate))
+
+
 def error_signals(rates: DataFrame) -> DataFrame:
     """(job, namespace, eval_ts, total_rps, rps_5xx, ratio_5xx) from request rates by status.
 
@@ -140,7 +154,7 @@ def error_signals(rates: DataFrame) -> DataFrame:
     """
     failed = F.when(label_matches("status", ERROR_STATUS), F.col("rate"))
     sums = rates.groupBy("job", "namespace", "eval_ts").agg(
-        F.sum("rate").alias("total_rps"), F.sum(failed).alias("rps_5xx")
+        rate_sum(F.col("rate")).alias("total_rps"), rate_sum(failed).alias("rps_5xx")
     )
     return sums.withColumn("ratio_5xx", F.col("rps_5xx") / F.greatest(F.col("total_rps"), F.lit(1.0)))
 
@@ -156,7 +170,7 @@ def latency_quantile(rates: DataFrame, q: float = 0.95) -> DataFrame:
         rates.withColumn("le", number_or_null(F.col("labels")["le"]))
         .where(F.col("le").isNotNull() & ~F.isnan("le"))
         .groupBy(*key, "le")
-        .agg(F.sum("rate").alias("rate"))
+        .agg(rate_sum(F.col("rate")).alias("rate"))
     )
     return quantile_of_buckets(by_le, key, q)
 
@@ -299,9 +313,9 @@ def signals_of_rates(rates: DataFrame) -> DataFrame:
         .groupBy(*key, F.when(F.col("metric") == LATENCY_METRIC, le).alias("le"))
         .agg(
             F.min(of(UP_METRIC, "value")).alias("min_up"),
-            F.sum(of(REQUESTS_METRIC, "rate")).alias("total_rps"),
-            F.sum(F.when(label_matches("status", ERROR_STATUS), of(REQUESTS_METRIC, "rate"))).alias("rps_5xx"),
-            F.sum(of(LATENCY_METRIC, "rate")).alias("rate"),
+            rate_sum(of(REQUESTS_METRIC, "rate")).alias("total_rps"),
+            rate_sum(F.when(label_matches("status", ERROR_STATUS), of(REQUESTS_METRIC, "rate"))).alias("rps_5xx"),
+            rate_sum(of(LATENCY_METRIC, "rate")).alias("rate"),
         )
     )
     # the row without a bound holds the other metrics

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 from datetime import datetime, timedelta
@@ -149,6 +150,21 @@ def test_latency_reads_le_text(spark):
     assert row.p95 == pytest.approx(0.095)
 
 
+def test_sums_of_rates_in_any_order(spark):
+    """Counts of four pods by bound over 12 hours, whose p95 lies on a limit: no order of the rows changes a digit."""
+    counts = {"10": (5, 0, 1, 1), "25": (7, 4, 5, 4), "50": (9, 5, 9, 7), "100": (10, 7, 11, 8), "250": (11, 7, 12, 9), "+Inf": (11, 8, 12, 9)}
+    p95, errors = set(), set()
+    for order in itertools.permutations(range(4)):
+        rows = [("http_request_duration_seconds_bucket", "j", "n", {"le": le, "pod": str(i)}, T0, of[i] / 43_200) for le, of in counts.items() for i in order]
+        rates = spark.createDataFrame(rows, "metric string, job string, namespace string, labels map<string,string>, eval_ts timestamp, rate double").coalesce(1)
+        p95.add(latency_quantile(rates).first().p95)
+        failed = rates.where(F.col("labels")["le"] == "50").withColumn("labels", F.create_map(F.lit("status"), F.lit("500")))
+        errors.add(error_signals(failed).first().rps_5xx)
+    assert len(p95) == len(errors) == 1
+    big = spark.createDataFrame([("j", "n", {"status": "500"}, T0, v) for v in (1e300, 2.5, None)], "job string, namespace string, labels map<string,string>, eval_ts timestamp, rate double")
+    assert error_signals(big).first().total_rps == 1e300
+
+
 def test_gauges(spark):
     rows = [("up", {"pod": "a"}, 0, 1), ("up", {"pod": "a"}, 50, 0), ("up", {"pod": "b"}, 20, 1), ("up", {"pod": "c"}, 0, 0)]
     got = {r.labels["pod"]: r.value for r in newest_in_lookback(samples(spark, rows), at(60), MIN).collect()}
