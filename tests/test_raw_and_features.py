@@ -1,3 +1,4 @@
+import itertools
 import math
 from hashlib import sha256
 from datetime import datetime
@@ -8,6 +9,7 @@ from pyspark.errors import AnalysisException
 from featureops.operators.features import align_to_contract, batch_quality, contract_columns, entity_features, label_distribution, rule_label
 from featureops.params import LabelRule
 from featureops.sources.contract import parse_contract, read_contract
+from featureops.streaming.features import stream_features
 from featureops.sources.raw_events import header_groups, raw_line_check, read_raw_events, read_typed_events, require_raw_data, typed_events
 from pyspark.sql import Observation, functions as F
 
@@ -104,6 +106,17 @@ def test_label_thresholds_are_parameters(spark):
     assert df.select(rule_label(F.col("n"), F.col("a"), LabelRule(2, 10.0, 0, 1.0))).first()[0] == 2
 
 
+def test_label_on_the_limit_in_any_order(spark):
+    """Four sessions that average 300 seconds: active, in whatever order their doubles are met, in batches and streams."""
+    orders = enumerate(itertools.permutations((899.4, 100.1, 100.2, 100.3)))
+    rows = [(user, v, datetime(2024, 1, 1, 0, i)) for user, order in orders for i, v in enumerate(order)]
+    df = spark.createDataFrame(rows, "user_id long, session_sec double, event_time timestamp").coalesce(1)
+    for dealt in (df, df.repartition(4)):
+        seen = entity_features(dealt, "2024-01-02T00:00:00").collect()
+        assert [(r.f_avg_session_sec_7d, r.label) for r in seen] == [(300.0, 2)] * 24
+    assert [(r.f_avg_session_sec_7d, r.label) for r in stream_features(df).collect()] == [(300.0, 2)] * 7 * 24
+
+
 def test_window_days(spark):
     rows = [(1, 10.0, datetime(2025, 11, 13)), (1, 20.0, datetime(2025, 11, 13, 0, 0, 1)), (1, 30.0, datetime(2025, 11, 20)),
             (1, 40.0, datetime(2025, 11, 21)), (1, 50.0, None)]
