@@ -67,6 +67,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(same / some)
 
 
+def packed(sign: Column) -> Column:
+    """A fingerprint in about half its room, for storing and shuffling: a bit for each empty bin, then the digits as bytes.
+    Digits of hashes don't compress where only repetitions are looked for."""
+    at = lambda i: F.substring(sign, i * DIGITS + 1, F.lit(DIGITS))
+    places = F.sequence(F.lit(0), F.lit(BINS - 1))
+    bits = F.aggregate(places, F.lit(0).cast("long"), lambda m, i: F.shiftleft(m, 1).bitwiseOR(F.when(at(i) == EMPTY, 1).otherwise(0).cast("long")))
+    whole = F.unhex(F.concat(F.lpad(F.hex(bits), BINS // 4, "0"), F.translate(sign, "-", "0")))
+    return F.when(sign == "", F.lit(b"")).otherwise(whole)
+
+
+def unpacked(bytes_: Column) -> Column:
+    """The fingerprint that was packed."""
+    digits = F.hex(bytes_)
+    nibble = lambda i: F.conv(F.substring(digits, F.floor(i / 4).cast("int") + 1, F.lit(1)), 16, 10).cast("int")
+    empty = lambda i: F.element_at(F.array(*[nibble(i).bitwiseAND(F.lit(b)) for b in (8, 4, 2, 1)]), i % 4 + 1) != 0
+    at = lambda i: F.substring(digits, i * DIGITS + 1 + BINS // 4, F.lit(DIGITS))
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.when(empty(i), EMPTY).otherwise(at(i))), "")
+    return F.when(F.length(bytes_) == 0, "").otherwise(whole)
+
+
 def following(ids: DataFrame) -> DataFrame:
     """``ids`` (id, half) with next_id: the next lower id, after the lowest the highest. Ids are distinct and not null.
 
@@ -124,13 +144,15 @@ def compared(docs: DataFrame) -> DataFrame:
     part = lambda i: F.get("n", F.lit(i))
     info = signs.select(
         "p", "h", F.when(part(2) == "true", F.col("p")).alias("doc_id"), part(1).cast("int").alias("times"), part(0).cast("long").alias("n_chars"),
-        part(3).alias("edited_sha256"), "fingerprint", "edited_fingerprint")
+        F.unhex(part(3)).alias("edited_sha256"), packed(F.col("fingerprint")).alias("fingerprint"), packed(F.col("edited_fingerprint")).alias("edited_fingerprint"))
     info = written(info, "cws-fingerprints")
 
     near = info.where("doc_id is not null").groupBy("p").agg(F.min_by("fingerprint", "h").alias("next_fingerprint"))
     near = near.join(asked.select("p", "id"), "p").select(F.col("id").alias("doc_id"), "next_fingerprint")
     one, edited, other = F.col("fingerprint"), F.col("edited_fingerprint"), F.coalesce("next_fingerprint", blank)
-    out = info.join(near, "doc_id", "left").select(
+    plain = [unpacked(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint", "next_fingerprint")]
+    both = info.join(near, "doc_id", "left").select("doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), *plain, "times")
+    out = both.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(one, edited).alias("near_edited"), likeness(one, other).alias("near_next"), "times")
     return out.select(*out.columns[:-1], F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("again")).drop("again")

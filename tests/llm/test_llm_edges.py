@@ -98,6 +98,15 @@ def test_fingerprints(docs):
     assert fingerprint.compared(docs.limit(0)).count() == 0
 
 
+def test_packed_fingerprints(spark):
+    """Fingerprints are stored and shuffled in 136 bytes instead of 256 letters, and come back as they were."""
+    full = "".join(f"{i * 1021:04X}" for i in range(64))
+    signs = ["", full, full[:128] + "----" * 32, "----" * 63 + "0000", "0000" + "----" * 63, "----" + full[4:252] + "----"]
+    df = spark.createDataFrame([(s,) for s in signs], "s string").withColumn("b", fingerprint.packed(F.col("s")))
+    got = df.select("s", F.length("b").alias("n"), fingerprint.unpacked(F.col("b")).alias("again")).collect()
+    assert [(r.s, r.again) for r in got] == [(s, s) for s in signs] and [r.n for r in got] == [0] + [136] * 5
+
+
 def test_scores(docs):
     got = lm.scored(docs).collect()
     assert len(got) == len(ROWS)
