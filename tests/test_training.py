@@ -139,6 +139,23 @@ def test_newton_reaches_the_dense_optimum(spark, k, C):
     assert all(got[tuple(map(float, r))] == pytest.approx(list(p), abs=1e-6) for r, p in zip(x, want))
 
 
+@pytest.mark.parametrize("k", [2, 3, 4])
+def test_newton_where_the_penalty_is_below_rounding(spark, k):
+    """Many rows or wide features make the penalty too small to tell classes' common moves, or equal features, apart."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2)).round(3)
+    y = np.array([int(rng.integers(k)) if rng.random() < 0.3 else int(sum(a > c for c in (0, 0.5, 1)[: k - 1])) for a, b in x])
+    rows = [(float(a) * 1e9, float(b) * 1e9, int(v)) for (a, b), v in zip(x, y)]
+    df = spark.createDataFrame(rows, "a double, b double, v int").withColumns({"again": F.col("a"), "twice": 2 * F.col("a")}).repartition(3)
+    want = plain_newton(x, y, k, 1e18)
+    for features in (["a", "b"], ["a", "again", "b", "twice"]):
+        model = fit_softmax(df, features, "v", range(k))
+        assert model.gradient <= 1e-9 and model.steps < 40 and list(model.losses) == sorted(model.losses, reverse=True)
+        assert k == 2 or np.abs(np.sum(model.weights, axis=0)).max() < 1e-9 * np.abs(model.weights).max()
+        got = {(r.a, r.b): r.probability for r in model.score(df).collect()}
+        assert all(got[r[:2]] == pytest.approx(list(p), abs=1e-6) for r, p in zip(rows, want))
+
+
 def test_newton_on_separable_and_bad_rows(spark):
     rows = spark.createDataFrame([(float(i), int(i > 50)) for i in range(100)], "a double, v int")
     model = fit_softmax(rows, ["a"], "v", [0, 1])
